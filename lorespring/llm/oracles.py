@@ -76,6 +76,71 @@ SELECT doc_id, size, source_size, target,
 FROM done
 """
 
+OP7 = r"""
+WITH urls AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(rule, host, path, verdict) AS (VALUES
+  ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+  ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
+  ('org/es/', 'org', '/es/', 'block')
+), best AS (
+  SELECT u.page_id, u.host, u.path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS said
+  FROM urls u LEFT JOIN rules r
+    ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+  GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(said,
+  CASE WHEN regexp_matches('.' || host || '.',
+    '[.](ads-track|cheap-pills|doubleclick|adserver|online-casino|free-viagra)[.]') THEN 'block' ELSE 'allow' END
+  ) AS verdict
+FROM best
+"""
+
+OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 75 * (x.n + y.n - c)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT a AS doc_id, a AS here FROM both_ways UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.here
+), firsts AS (SELECT doc_id, min(here) AS first FROM reached GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(first, w.doc_id) AS component_id
+FROM w LEFT JOIN sizes USING (doc_id) LEFT JOIN firsts USING (doc_id)
+"""
+
+OP3 = """
+WITH RECURSIVE valid AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM valid x JOIN valid y
+    ON x.label = y.label AND len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.93
+), reached AS (
+  SELECT a AS vec_id, a AS here FROM links UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.here
+), firsts AS (SELECT vec_id, min(here) AS first FROM reached GROUP BY 1
+), counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(first, e.vec_id) AS component_id,
+  coalesce(first, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.vec_id = e.vec_id LEFT JOIN firsts f ON f.vec_id = e.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op5_source_mixing": OP5}
+    return {"op3_embedding_near_dedup": OP3, "op4_ngram_jaccard": OP4, "op2_quality_rules": OP2, "op5_source_mixing": OP5, "op7_url_filters": OP7}
