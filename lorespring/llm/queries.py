@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespring.llm import html_extract, mixing, near_dedup, ngram_join, packing, pii, quality, token_counts, url_filters
+from lorespring.llm import html_extract, mixing, near_dedup, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filters
 from lorespring.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages")).drop("url")
 

@@ -75,16 +75,30 @@ def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(np.concatenate(places), begins)
 
 
+def _rolled(words: np.ndarray) -> np.ndarray:
+    """The hash of each five words in a row."""
+    n = max(0, len(words) - SHINGLE + 1)
+    rolled = np.zeros(n, dtype=np.uint64)
+    for k in range(SHINGLE):
+        rolled += words[k : k + n] * _PLACE[k]
+    return (mixed(rolled) & _LOW62).astype(np.int64)
+
+
+def token_sequences(texts: Sequence[str]) -> list[np.ndarray]:
+    """For each text its shingles in order, repeats included; none for a text of fewer words."""
+    if not texts:
+        return []
+    words, at = word_hashes(texts)
+    rolled = _rolled(words)
+    return [rolled[int(a) : max(int(a), int(b) - SHINGLE + 1)] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def shingle_sets(texts: Sequence[str]) -> list[np.ndarray]:
     """For each text its distinct shingles as a sorted int64 array; a text of fewer words is one shingle."""
     if not texts:
         return []
     words, at = word_hashes(texts)
-    n = max(0, len(words) - SHINGLE + 1)
-    rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        rolled += words[k : k + n] * _PLACE[k]
-    rolled = (mixed(rolled) & _LOW62).astype(np.int64)
+    rolled = _rolled(words)
     out = []
     for i in range(len(texts)):
         a, b = int(at[i]), int(at[i + 1])
