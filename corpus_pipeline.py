@@ -35,7 +35,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents, packed into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), end_id=1, ranks_path=ranks)
 
 
 STAGES = [

@@ -72,12 +72,17 @@ def assign(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int,
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 2048, ranks_path: str | None = None
+) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``ranks_path`` may name the tokenizer's vocabulary as byte-level ranks, which encode new words faster.
+    """
     n_groups = max(1, -(-docs.count() // GROUP_DOCS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        enc, end = encoder(tokenizer_path, ranks_path), end_id.to_bytes(4, "little")
         row = 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):

@@ -18,7 +18,10 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1)
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    return packing.pack(
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=1, ranks_path=ranks
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,9 +43,10 @@ def some_texts(spark):
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_word_encoder_equals_library(name, some_texts):
+@pytest.mark.parametrize("ranks", [None, "byte_bpe_50k.tiktoken"])
+def test_word_encoder_equals_library(name, ranks, some_texts):
     path = public_tokenizers.path(name)
-    library, own = Tokenizer.from_file(path), WordEncoder(path, limit=2000)
+    library, own = Tokenizer.from_file(path), WordEncoder(path, 2000, ranks and public_tokenizers.path(ranks))
     for text in some_texts:
         ids = library.encode(text or "", add_special_tokens=False).ids
         if name.startswith("byte"):
