@@ -62,6 +62,8 @@ def nearest(
     for number in range(n_blocks):
         part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
         held = part.select("query_id", "vector").toArrow()
+        if not held.num_rows:
+            continue
         ids = held.column("query_id").to_numpy()
         matrix = np.array(held.column("vector").to_pylist(), dtype=np.float64)
 
