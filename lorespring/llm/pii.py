@@ -174,10 +174,13 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
         return _tables(rows(), pair_schema)
 
     near = docs.select("text").mapInArrow(pairs, "term string, entity string, digest binary").distinct()
+    near = written(near, "pii-near")
     counts = near.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
-    counts = written(counts, "pii-pairs")
-    both = counts.where(F.col("term").isNotNull())
     entities = counts.where(F.col("term").isNull()).select("entity", F.col("n_both").alias("n_entity"))
+    # A term is in as many texts as have it near any entity, at least: common words can't reach the share.
+    least = near.where(F.col("term").isNotNull()).groupBy("term").agg(F.count_distinct("digest").alias("n_near"))
+    both = counts.join(least, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_near")).drop("n_near")
+    both = written(both, "pii-pairs")
     holding = None
     for block in _blocks(both.select("term").distinct()):
 
@@ -201,7 +204,7 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     scored = scored.withColumn("share", F.col("n_both") / F.col("n_term"))
     scored = scored.withColumn("bits", F.log2(F.col("share") * n_docs / F.col("n_entity")))
     out = written(scored.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)), "pii-terms")
-    discard(counts)
+    discard(near)
     return out
 
 
