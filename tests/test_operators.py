@@ -102,10 +102,14 @@ def test_nearest_in_blocks_of_queries(spark, monkeypatch):
     data = [(i, rng.normal(size=4).tolist()) for i in range(50)] + [(99, None), (98, [1.0])]
     rows = spark.createDataFrame(data, "id long, vector array<double>")
     queries = rows.where("id < 9").withColumnRenamed("id", "query_id")
-    whole = sorted(vectors.nearest(queries, rows, 3).collect())
+
+    def found():
+        return sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in vectors.nearest(queries, rows, 3).collect())
+
+    whole = found()
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
-    assert sorted(vectors.nearest(queries, rows, 3).collect()) == whole and len(whole) == 27
-    assert all(r.id == r.query_id for r in whole if r.rank == 1)
+    assert found() == whole and len(whole) == 27
+    assert all(q == i for q, rank, i, _ in whole if rank == 1)
     assert vectors.nearest(queries.limit(0), rows, 3).count() == 0
 
 
