@@ -34,15 +34,15 @@ from lorespring.llm.components import components
 from lorespring.llm.shingles import mixed, shingle_sets, texts_in_parts
 
 #: A shingle counts as frequent from this many sightings; so many of the most frequent ones have a place in the order.
-FREQUENT, MOST_FREQUENT = 32, 200_000
+FREQUENT, MOST_FREQUENT = 8, 400_000
 #: Postings of a block, at first and once there are many blocks.
 BLOCK_POSTINGS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 #: Neighbours of similar size that the first product takes.
-NEIGHBOURS = 8
+NEIGHBOURS = 24
 #: Tables of documents to verify up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 #: Characters hashed at a time.
-PART = 4 << 20
+PART = 1 << 20
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -62,17 +62,25 @@ def _batch(columns: list, names: list[str], types: list[pa.DataType]) -> pa.Reco
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One row per document (true, doc_id, set_id, n), and (false, null, shingle, sightings) for repeats in a part."""
+    """One row per document (true, doc_id, set_id, n), and (false, null, shingle, sightings) for repeats.
+
+    Sightings count the distinct sets of a batch that hold a shingle, where two or more do. The batch's shingles are
+    counted in slices by value, so that little is copied at a time.
+    """
+    names, types = ["document", "doc_id", "item", "n"], [pa.bool_(), *[pa.int64()] * 3]
 
     def scan(batches):
-        names, types = ["document", "doc_id", "item", "n"], [pa.bool_(), *[pa.int64()] * 3]
-        for ids, sets in _parts(batches):
-            yield _batch([[True] * len(ids), ids, [_set_id(s) for s in sets], [len(s) for s in sets]], names, types)
-            shingles, n = np.unique(np.concatenate([s for s in sets]), return_counts=True)
-            often = n > 1
-            if often.any():
-                m = int(often.sum())
-                yield _batch([[False] * m, [None] * m, shingles[often], n[often]], names, types)
+        for batch in batches:
+            held: dict[int, np.ndarray] = {}
+            for ids, sets in _parts([batch]):
+                own = [_set_id(s) for s in sets]
+                held.update(zip(own, sets, strict=True))
+                yield _batch([[True] * len(ids), ids, own, [len(s) for s in sets]], names, types)
+            for low in range(0, 1 << 62, 1 << 59):
+                slices = (s[np.searchsorted(s, low) : np.searchsorted(s, low + (1 << 59))] for s in held.values())
+                shingles, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *slices]), return_counts=True)
+                if m := int((n > 1).sum()):
+                    yield _batch([[False] * m, [None] * m, shingles[n > 1], n[n > 1]], names, types)
 
     return docs.mapInArrow(scan, "document boolean, doc_id long, item long, n long")
 
@@ -143,46 +151,57 @@ def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int) -> DataFrame
 def _product(postings: DataFrame, n_blocks: int, neighbours: int | None) -> DataFrame:
     """Candidate pairs (a, b, n_a, n_b): those whose summed overlap can still reach the bound.
 
-    ``postings`` has key, set_id, n, last and component. Sets that follow each other in a shingle's list, ordered by
+    ``postings`` has key, set_id, n, last and component. Only shingles that two components share can add to an
+    overlap, so a set's overlap with any other is no more than its number of those; this rules out most pairs, such as
+    texts that have one passage in common, before they are counted. Sets that follow each other in a shingle's list, ordered by
     size, are paired up to ``neighbours`` places apart (None: all), unless connected or too different in size.
     """
 
     def multiply(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "set_id"], kind="stable")
-        key, ids, n, last, comp = (rows[c].to_numpy() for c in ("key", "set_id", "n", "last", "component"))
-        out, held = [], 0
+        key, n, last, comp, most = (rows[c].to_numpy() for c in ("key", "n", "last", "component", "most"))
+
+        def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            low = np.where(last[a] <= last[b], n[a], n[b])
+            return -(-3 * (n[a] + n[b]) // 7) - ((3 * low + 3) // 4 - 1)
+
+        names, first, own = np.unique(rows["set_id"].to_numpy(), return_index=True, return_inverse=True)
+        pairs, overlap = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        held: list[np.ndarray] = []
 
-        def summed(parts: list[pd.DataFrame]) -> list[pd.DataFrame]:
-            every = pd.concat(parts, ignore_index=True)
-            return [every.groupby(["a", "b", "n_a", "n_b", "need"], as_index=False, sort=False)["overlap"].sum()]
+        def add_up() -> None:
+            nonlocal pairs, overlap
+            every, place = np.unique(np.concatenate([pairs, *held]), return_inverse=True)
+            counts = np.bincount(place[len(pairs) :], minlength=len(every))
+            counts[place[: len(pairs)]] += overlap
+            pairs, overlap = every, counts
+            held.clear()
 
         at, step = np.arange(len(key)), 1
         while neighbours is None or step <= neighbours:
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
+            at = at[3 * n[at + step] <= 4 * n[at]]  # further ones are larger still
             if not len(at):
                 break
-            at = at[3 * n[at + step] <= 4 * n[at]]  # further ones are larger still
             i = at[comp[at] != comp[at + step]]
-            if len(i):
-                j = i + step
-                rest = np.where(last[i] <= last[j], (3 * n[i] + 3) // 4 - 1, (3 * n[j] + 3) // 4 - 1)
-                need = -(-3 * (n[i] + n[j]) // 7) - rest
-                out.append(
-                    pd.DataFrame({"a": ids[i], "b": ids[j], "n_a": n[i], "n_b": n[j], "need": need, "overlap": 1})
-                )
-                held += len(i)
-                if held > 500_000:
-                    out = summed(out)
-                    held = len(out[0]) // 2
+            i = i[np.minimum(most[i], most[i + step]) >= needed(i, i + step)]
+            held.append(own[i] * len(names) + own[i + step])
+            if sum(map(len, held)) > 1_000_000:
+                add_up()
             step += 1
-        if not out:
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("a", "b", "n_a", "n_b", "need", "overlap")})
-        return summed(out)[0]
+        add_up()
+        a, b = first[pairs // len(names)], first[pairs % len(names)]
+        ids = rows["set_id"].to_numpy()
+        out = {"a": ids[a], "b": ids[b], "n_a": n[a], "n_b": n[b], "need": needed(a, b), "overlap": overlap}
+        return pd.DataFrame(out)
 
     block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
     schema = "a long, b long, n_a long, n_b long, need long, overlap long"
-    partial = postings.groupBy(block).applyInPandas(multiply, schema)
+    across = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    postings = postings.join(across.where("low < high").select("key"), "key", "left_semi")
+    most = postings.groupBy("set_id").agg(F.count("*").alias("most"))
+    partial = postings.join(most, "set_id").groupBy(block).applyInPandas(multiply, schema)
     whole = partial.groupBy("a", "b", "n_a", "n_b", "need").agg(F.sum("overlap").alias("overlap"))
     return whole.where(F.col("overlap") >= F.col("need")).select("a", "b", "n_a", "n_b")
 
@@ -215,8 +234,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scan = written(_scan(docs), "shingle-scan")
     found = scan.where("document").select("doc_id", F.col("item").alias("set_id"), "n")
     often = scan.where(~F.col("document")).groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    often = often.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).select("item").collect()
-    frequent = np.array([r.item for r in reversed(often)], dtype=np.int64)
+    often = often.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).select("item").toArrow()
+    frequent = often.column("item").to_numpy()[::-1].astype(np.int64)
 
     classes = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = classes.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -224,6 +243,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     total = (found.agg(F.sum("n")).first()[0] or 0) // 4
     n_blocks = max(1, min(total // BLOCK_POSTINGS, MANY_BLOCKS), total // LARGE_BLOCK)
     postings = written(_postings(docs, frequent, n_blocks), "postings")
+    n_blocks = max(1, postings.count() // BLOCK_POSTINGS)
     sizes = postings.where("info").select("set_id", F.col("key").alias("last"))
     sizes = sizes.join(classes.select("set_id", "n"), "set_id")
     described = postings.where(~F.col("info")).select("key", "set_id").join(sizes, "set_id")
