@@ -47,13 +47,13 @@ def screened_datasets(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT ps.n_nationkey AS query_id, c_mktsegment AS id, round(avg(c_acctbal) / 10000, 6) AS score FROM customer JOIN nation ps ON c_nationkey = n_nationkey GROUP BY 1, 2),
+WITH s AS (SELECT ps.n_nationkey AS query_id, c_mktsegment AS id, round(avg(c_acctbal) / 10000, 12) AS score FROM customer JOIN nation ps ON c_nationkey = n_nationkey GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s)
 SELECT query_id, id, score, rank FROM r WHERE rank = 1 OR (rank <= 3 AND score >= 0.45)""")
 def selected_sources(spark, sf_dir):
     customers = read(spark, sf_dir, "customer")
     scored = customers.groupBy(F.col("c_nationkey").alias("query_id"), F.col("c_mktsegment").alias("id"))
-    scored = scored.agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("score"))
+    scored = scored.agg(F.round(F.avg("c_acctbal") / 10000, 12).alias("score"))
     return screening.selected(scored, 0.45)
 
 
