@@ -153,8 +153,11 @@ def _product(postings: DataFrame, n_blocks: int, neighbours: int | None) -> Data
 
     ``postings`` has key, set_id, n, last and component. Only shingles that two components share can add to an
     overlap, so a set's overlap with any other is no more than its number of those; this rules out most pairs, such as
-    texts that have one passage in common, before they are counted. Sets that follow each other in a shingle's list, ordered by
-    size, are paired up to ``neighbours`` places apart (None: all), unless connected or too different in size.
+    texts that have one passage in common, before they are counted. Sets that follow each other in a shingle's list,
+    ordered by size, are paired up to ``neighbours`` places apart (None: all), unless connected or too different in size.
+
+    Shingles whose lists begin with the same component share a block as far as its size allows, so most of a pair's
+    overlap is added up in one place, and a block returns only pairs that can reach the bound with what lies elsewhere.
     """
 
     def multiply(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,15 +196,20 @@ def _product(postings: DataFrame, n_blocks: int, neighbours: int | None) -> Data
         add_up()
         a, b = first[pairs // len(names)], first[pairs % len(names)]
         ids = rows["set_id"].to_numpy()
-        out = {"a": ids[a], "b": ids[b], "n_a": n[a], "n_b": n[b], "need": needed(a, b), "overlap": overlap}
-        return pd.DataFrame(out)
+        elsewhere = most - np.bincount(own, minlength=len(names))[own]
+        need = needed(a, b)
+        keep = overlap + np.minimum(elsewhere[a], elsewhere[b]) >= need
+        out = {"a": ids[a], "b": ids[b], "n_a": n[a], "n_b": n[b], "need": need, "overlap": overlap}
+        return pd.DataFrame(out)[keep]
 
-    block = F.pmod(F.xxhash64("key"), F.lit(n_blocks)).alias("block")
     schema = "a long, b long, n_a long, n_b long, need long, overlap long"
     across = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    postings = postings.join(across.where("low < high").select("key"), "key", "left_semi")
+    postings = postings.join(across.where("low < high").select("key", "low"), "key")
     most = postings.groupBy("set_id").agg(F.count("*").alias("most"))
-    partial = postings.join(most, "set_id").groupBy(block).applyInPandas(multiply, schema)
+    sizes = postings.groupBy("low").agg(F.ceil(F.count("*") / LARGE_BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts"))
+    block = F.pmod(F.xxhash64("low", part), F.lit(n_blocks)).alias("block")
+    partial = postings.join(most, "set_id").join(sizes, "low").groupBy(block).applyInPandas(multiply, schema)
     whole = partial.groupBy("a", "b", "n_a", "n_b", "need").agg(F.sum("overlap").alias("overlap"))
     return whole.where(F.col("overlap") >= F.col("need")).select("a", "b", "n_a", "n_b")
 
