@@ -37,8 +37,9 @@ from lorespring.llm.shingles import SHINGLE, mixed, texts_in_parts, token_sequen
 
 #: Tokens of a passage: 50 words.
 PASSAGE = 46
-#: Hash functions; each two in a row make a signature.
+#: Hash functions; each two of them make a signature.
 HASHES = 4
+PAIRS = tuple((g, h) for h in range(HASHES) for g in range(h))
 #: Tokens of a passage that agree in place, at least, for a similarity of 0.75: 40 / (46 + 46 - 40).
 IN_PLACE = 40
 #: Rounds in which what is left of a group elects a member to compare with.
@@ -49,14 +50,8 @@ BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 BROADCAST_DOCS = 1_000_000
 PART = 1 << 20
 #: A stored window: its group, text, first passage, and from there to the last passage and to the minimum.
-#: Even hashes also keep what the tokens after and before the minimum are, half a passage each; 0 where a text ends.
-_PACKED = np.dtype(
-    [("key", "<i8"), ("text", "<i8"), ("lo", "<i4"), ("ahead", "<u4"), ("back", "<u4"), ("wide", "u1"), ("at", "u1")]
-)
-_WINDOW = "key long, text long, lo long, hi long, at long, ahead long, back long"
-#: Tokens on one side of a minimum. A passage around it has so many of its tokens on one side at least.
-HALF = PASSAGE // 2
-_WEIGHTS = np.random.default_rng(127).integers(0, 1 << 64, HALF, dtype=np.uint64) | np.uint64(1)
+_PACKED = np.dtype([("key", "<i8"), ("text", "<i8"), ("lo", "<i4"), ("wide", "u1"), ("at", "u1")])
+_WINDOW = "key long, text long, lo long, hi long, at long"
 _SEEDS = np.random.default_rng(8191).integers(0, 1 << 64, HASHES, dtype=np.uint64)
 
 
@@ -88,18 +83,6 @@ def minima(tokens: np.ndarray, seed: np.uint64, starts: np.ndarray | None = None
     return at[first], starts[first], starts[last]
 
 
-def half_passages(tokens: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the ``HALF`` tokens from each place on, and of those up to it; 0 where its text has fewer.
-
-    ``low`` and ``high`` are where the text of each place begins and ends.
-    """
-    ahead, back = np.zeros(len(at), dtype=np.uint32), np.zeros(len(at), dtype=np.uint32)
-    for out, first, inside in ((ahead, at, at + HALF <= high), (back, at - HALF + 1, at - HALF + 1 >= low)):
-        rows = tokens[first[inside][:, None] + np.arange(HALF)].astype(np.uint64)
-        out[inside] = (mixed((rows * _WEIGHTS).sum(axis=1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | 1
-    return ahead, back
-
-
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(column).to_pylist()
@@ -133,7 +116,6 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
                 part["key"] = (mixed(row[at].astype(np.uint64) ^ _SEEDS[h]) >> np.uint64(3)).astype(np.int64)
                 part["key"] = part["key"] * HASHES + h
                 part["text"], part["lo"], part["wide"], part["at"] = ids[of], lo - low[of], hi - lo, at - lo
-                part["ahead"], part["back"] = half_passages(row, at, low[of], high[of]) if h % 2 == 0 else (0, 0)
                 found.append(part)
             every = np.concatenate(found)
             block = (mixed(every["key"].astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
@@ -156,34 +138,33 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
         every = every[keep]
         out = {n: every[n].astype("int64") for n in _PACKED.names}
         out["hi"], out["at"] = out["lo"] + out.pop("wide"), out["lo"] + out["at"]
-        return pd.DataFrame(out)[["key", "text", "lo", "hi", "at", "ahead", "back"]]
+        return pd.DataFrame(out)[["key", "text", "lo", "hi", "at"]]
 
     packed = docs.select("doc_id", "text").mapInArrow(cut, "block long, windows binary")
     return packed.groupBy("block").applyInPandas(shared, _WINDOW)
 
 
 def joined_intervals(
-    key: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, ahead: np.ndarray, back: np.ndarray
+    key: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, *_more: np.ndarray, pairs=((0, 1), (2, 3))
 ) -> pd.DataFrame:
     """Signatures (sig, text, s, e, c): from passage s to e, windows of both hashes of a pair overlap.
 
-    ``c`` is the place of the first hash's minimum, by which two texts with the signature are aligned. There are two
-    signatures a segment: one with the half passage after that minimum, one with that before it. A repeated passage has
-    one of the halves inside; a phrase that many texts share, such as a licence line, is too short for either.
+    ``c`` is the place of the first hash's minimum, by which two texts with the signature are aligned. Nothing but the
+    two minima is in a signature: repeats need no further words in common. More columns than these are ignored.
 
     The intervals of one text and hash are disjoint. All ends cut the passages into segments; each hash's window over
     a segment is found by carrying the last interval start forward.
     """
     out = []
     names, place = np.unique(text, return_inverse=True)
-    for pair in range(0, HASHES, 2):
-        mine = (key % HASHES == pair) | (key % HASHES == pair + 1)
+    for pair in pairs:
+        mine = np.isin(key % HASHES, pair)
         k, p, a, b, c = key[mine], place[mine], lo[mine], hi[mine] + 1, at[mine]
         step = int(b.max(initial=0)) + 1
         starts, ends = p * step + a, p * step + b
         cuts = np.unique(np.concatenate([starts, ends]))
         over = []
-        for h in (pair, pair + 1):
+        for h in pair:
             of = k % HASHES == h
             state = np.zeros(len(cuts), dtype=np.int64)
             state[np.searchsorted(cuts, ends[of])] = -1
@@ -195,10 +176,7 @@ def joined_intervals(
         sig = mixed(k[x].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ mixed(k[y].astype(np.uint64)))
         begin, end = cuts[both], np.append(cuts[1:], 0)[both] - 1
         found = {"text": names[p[x]], "s": begin - p[x] * step, "e": end - p[x] * step, "c": c[x]}
-        for side, half in enumerate((ahead[mine][x], back[mine][x])):
-            full = mixed(sig ^ mixed(half.astype(np.uint64) * np.uint64(2) + np.uint64(side)))
-            rows = pd.DataFrame({"sig": (full >> np.uint64(1)).astype("int64")} | found)
-            out.append(rows[half != 0])
+        out.append(pd.DataFrame({"sig": (sig >> np.uint64(1)).astype("int64")} | found))
     return pd.concat(out, ignore_index=True)
 
 
@@ -363,14 +341,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     n_blocks = max(1, min(total // BLOCK_WINDOWS, MANY_BLOCKS), total // LARGE_BLOCK)
     windows = written(_windows(docs, n_blocks), "windows")
 
-    def signatures(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return joined_intervals(*(rows[c].to_numpy() for c in ("key", "text", "lo", "hi", "at", "ahead", "back")))
+    first_docs = listed.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+
+    def signatures(_key: tuple, rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        out = joined_intervals(*(rows[c].to_numpy() for c in ("key", "text", "lo", "hi", "at")), pairs=PAIRS)
+        return out.assign(d=out["text"].map(first.set_index("text")["doc_id"]).astype("int64"))
 
-    text_block = F.pmod(F.xxhash64("text"), F.lit(n_blocks)).alias("block")
-    signed = windows.groupBy(text_block).applyInPandas(signatures, "sig long, text long, s long, e long, c long")
+    by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (windows, first_docs)]
+    signed = by_block[0].cogroup(by_block[1]).applyInPandas(signatures, "sig long, text long, s long, e long, c long, d long")
     signed = written(signed, "signatures")
-    member = F.struct("text", "s", "e", "c")
-    first_docs = listed.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
+    # The first of a group is its text of the smallest document.
+    member = F.struct("d", "text", "s", "e", "c")
 
     def side(name: str) -> list:
         return [F.col("text").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("s", "e", "c"))]

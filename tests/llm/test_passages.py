@@ -113,3 +113,19 @@ def test_shuffled_lookup_repeated_rows_and_empty_table(spark, found, monkeypatch
     again = sd.repeated_passages(docs.unionByName(docs.where("doc_id < 5"))).collect()
     assert sorted(again) == sorted(rows)
     assert sd.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_repeats_changed_in_the_middle_are_found(spark):
+    rng = random.Random(77)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(60):
+        same = some(75 if k % 3 == 2 else 50)
+        changed = list(same)
+        for at in ((23,), (rng.randrange(18, 32),), (24, 49))[k % 3]:
+            changed[at] = "other"
+        texts += [some(30) + same + some(30), some(30) + changed + some(30)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    ids = {r.doc_id for r in sd.repeated_passages(docs).collect()}
+    of_kind = [sum(2 * k in ids and 2 * k + 1 in ids for k in range(kind, 60, 3)) for kind in range(3)]
+    assert min(of_kind) >= 16, of_kind
