@@ -7,11 +7,15 @@ once, with the interval of passages it stands for. Windows of all texts that sha
 
 Within a text the intervals of different hashes are joined: where the windows of two hashes overlap, all passages in
 the overlap share both minima, and the two form a signature. Texts that share a signature are candidates: each is
-compared with the first of its group, and what doesn't repeat that one elects another. No group is squared: what is
-left after the rounds, such as many texts that share a line of 40 words, is grouped by its whole passages, which finds
-every exact repeat. Candidates are laid on their minima; a pair of passages is a repeat if its shingles are 0.75 alike
-or more. All minima of exact repeats agree, so they share every signature. Neighbouring repeats of two
-texts join into spans.
+compared with the first of its group. Candidates are laid on their minima; a pair of passages is a repeat if its
+shingles are 0.75 alike or more.
+
+Passages that no repeat covers so far are left, even where other passages of their interval are repeats. They are
+compared with all members of their groups, covered or not, that share one of the 7 rarest tokens of a passage: any two
+passages with 40 of 46 tokens in common do, while texts that share a line of 40 words differ in more tokens than that.
+Large groups are gone through in slices of growing size, until each passage is covered or has met them all. So every
+exact repeat is found, and every near repeat in place whose passages share a signature. A passage that repeats its
+own tokens counts them as often as it has them. Neighbouring repeats of two texts join into spans.
 
 Equal texts are one text until the end, and each of them is a repeat as a whole.
 
@@ -42,8 +46,12 @@ HASHES = 4
 PAIRS = tuple((g, h) for h in range(HASHES) for g in range(h))
 #: Tokens of a passage that agree in place, at least, for a similarity of 0.75: 40 / (46 + 46 - 40).
 IN_PLACE = 40
-#: Rounds in which what is left of a group elects a member to compare with.
-ROUNDS = 2
+#: Two passages that share 40 of 46 tokens share one of the 7 rarest of each.
+RAREST = PASSAGE - IN_PLACE + 1
+#: Tokens whose count every task knows; only the order of tokens depends on it.
+FREQUENT = 400_000
+#: Members of a group that what is left is compared with at first; so many times more up to each later round.
+LEADERS, MORE = 32, 8
 #: Windows of a block, at first and once there are many blocks.
 BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 #: Tables of texts to verify up to this size are broadcast; larger ones are joined by shuffle.
@@ -222,7 +230,7 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     i = F.greatest("s_a", F.least(F.col("e_a"), F.col("s_b") + shift))
     last = F.greatest(i, F.least(F.col("e_a"), F.col("e_b") + shift))
     out = pairs.select(
-        "a", "s_a", i.alias("i"), (last - i + 1).alias("n"), "b", "s_b",
+        "a", i.alias("i"), (last - i + 1).alias("n"), "b",
         F.greatest("s_b", F.least(F.col("e_b"), i - shift)).alias("j"),
     )
     return out.where((F.col("a") != F.col("b")) | (F.abs(F.col("i") - F.col("j")) >= PASSAGE + SHINGLE - 1))
@@ -251,14 +259,14 @@ def _places(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
-    """Of aligned candidates the runs that repeat (a, i, b, j, n), and (a, s_a, null, null, 0) for those that don't.
+    """Of aligned candidates the runs that repeat (a, i, b, j, n).
 
     A candidate says that the passages of ``a`` from i to i + n - 1 may be those of ``b`` from j on. Candidates of two
     texts with one shift between them are compared together; only that stretch of each text's tokens is joined to them.
     """
     i, n = F.col("i"), F.col("n")
     grouped = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(
-        F.min(i).alias("low"), F.max(i + n).alias("high"), F.collect_set(F.struct("i", "n", "s_a")).alias("places")
+        F.min(i).alias("low"), F.max(i + n).alias("high"), F.collect_set(F.struct("i", "n")).alias("places")
     )
     grouped = written(grouped, "passage-pairs")
     chosen = written(_tokens(grouped.select(F.explode(F.array("a", "b")).alias("text")), docs, first_docs), "tokens")
@@ -276,13 +284,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4") for c in ("left", "right"))
                 ends = np.cumsum(high - low + PASSAGE - 1)
                 begin = np.append(0, ends[:-1])
-                row, (i, n, s) = _places(batch.column("places"))
-                at, length, found = compared(x, y, begin[row] + i - low[row], n)
+                row, (i, n) = _places(batch.column("places"))
+                at, length, _ = compared(x, y, begin[row] + i - low[row], n)
                 of = np.searchsorted(begin, at, side="right") - 1
                 first = at - begin[of] + low[of]
                 yield _batch([a[of], first, b[of], first - shift[of], length], out)
-                none = pa.nulls(int((~found).sum()), pa.int64())
-                yield _batch([a[row[~found]], s[~found], none, none, np.zeros(len(none), dtype=np.int64)], out)
 
     left = grouped.join(chosen.withColumnRenamed("text", "a"), "a").withColumn("left", stretch(F.col("low"))).drop("tokens")
     both = left.join(chosen.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
@@ -290,36 +296,118 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
     return written(both.mapInArrow(compare, "a long, i long, b long, j long, n long"), "repeats")
 
 
-def _exact_repeats(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
-    """Runs (a, i, b, j, n) of the members' passages that are equal to another one, found by a hash of all their tokens."""
-    weights = np.random.default_rng(509).integers(0, 1 << 64, PASSAGE, dtype=np.uint64) | np.uint64(1)
-    schema = pa.schema([("key", pa.int64()), ("text", pa.int64()), ("at", pa.int64())])
-    places = pool.groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("places"))
+def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether a passage of a text from s to e is in runs of n passages from ``at`` on in the text ``of``."""
+    if not len(of):
+        return np.zeros(len(text), dtype=bool)
+    _, place = np.unique(np.concatenate([text, of]), return_inverse=True)
+    place = place.astype(np.int64) << 32
+    starts = place[len(text) :] + at
+    order = np.argsort(starts)
+    starts, ends = starts[order], np.maximum.accumulate((starts + n)[order])
+    first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
+    last = ends[np.append(first[1:], len(starts)) - 1]
+    k = np.searchsorted(starts[first], place[: len(text)] + e, side="right") - 1
+    return (k >= 0) & (last[k] > place[: len(text)] + s)
+
+
+def _uncovered(rows: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
+    """The rows (text, s, e and more) of which no hit covers a passage."""
+    sides = [hits.select(F.col(t).alias("text"), F.col(p).alias("at"), "n") for t, p in ("ai", "bj")]
+    by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (rows, sides[0].unionByName(sides[1]).distinct())]
+
+    def left(_key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        return rows[~covered(*(rows[c].to_numpy() for c in ("text", "s", "e")), *(runs[c].to_numpy() for c in ("text", "at", "n")))]
+
+    return by_block[0].cogroup(by_block[1]).applyInPandas(left, rows.schema)
+
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, (s, e) = _places(batch.column("places"))
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                tokens = np.frombuffer(batch.column("tokens")[k].as_buffer(), dtype="<u4").astype(np.uint64)
-                inside = np.zeros(len(tokens) + 1, dtype=np.int64)
-                np.add.at(inside, s[row == k], 1)
-                np.add.at(inside, e[row == k] + 1, -1)
-                every = np.flatnonzero(np.cumsum(inside) > 0)
-                for c in range(0, len(every), 65536):
-                    at = every[c : c + 65536]
-                    total = np.zeros(len(at), dtype=np.uint64)
-                    for p in range(PASSAGE):
-                        total += tokens[at + p] * weights[p]
-                    yield _batch([(mixed(total) >> np.uint64(1)).astype(np.int64), [text] * len(at), at], schema)
+def rarest(order: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens are among the ``RAREST`` of a passage: the token's place, and the first and last passage of each run.
 
+    ``order`` is small where a token is rare.
+    """
+    found = []
+    for k in range(0, len(passages), 8192):
+        at = passages[k : k + 8192]
+        values = order[at[:, None] + np.arange(PASSAGE)]
+        bound = np.partition(values, RAREST - 1, axis=1)[:, RAREST - 1 : RAREST]
+        row, column = np.nonzero(values <= bound)
+        passage = at[row]
+        place = passage + column
+        by_place = np.lexsort((passage, place))
+        place, passage = place[by_place], passage[by_place]
+        new = np.flatnonzero(np.append(True, (np.diff(place) != 0) | (np.diff(passage) != 1)))
+        found.append((place[new], passage[new], passage[np.append(new[1:], len(passage)) - 1]))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
+
+
+def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
+    """(sig, text, s, e, c): in the pool's passages from s to e, the token sig at place c is one of the rarest."""
+    places = pool.groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("places"))
     joined = places.join(_tokens(pool, docs, first_docs), "text").select("text", "places", "tokens")
-    passages = written(joined.mapInArrow(hashed, "key long, text long, at long"), "left-passages")
-    twice = passages.groupBy("key").agg(F.min(F.struct("text", "at")).alias("p"), F.count("*").alias("m")).where("m > 1")
-    pairs = passages.join(twice, "key").select(
-        F.col("text").alias("a"), F.col("at").alias("i"), F.col("p.text").alias("b"), F.col("p.at").alias("j")
-    )
-    pairs = pairs.where((F.col("a") != F.col("b")) | (F.abs(F.col("i") - F.col("j")) >= PASSAGE + SHINGLE - 1))
-    return pairs.withColumn("n", F.lit(1).cast("long"))
+    joined = written(joined, "left-texts")
+    counts = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("sig", "text", "s", "e", "c")])
+
+    def parts(batches: Iterator[pa.RecordBatch]):
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                rows = [np.frombuffer(t, dtype="<u4") for t in batch.column("tokens").to_pylist()]
+                begin = np.cumsum([0] + [len(r) for r in rows])
+                row, (s, e) = _places(batch.column("places"))
+                inside = []
+                for end in (e + 1, e + PASSAGE):
+                    steps = np.zeros(begin[-1] + 1, dtype=np.int64)
+                    np.add.at(steps, begin[row] + s, 1)
+                    np.add.at(steps, begin[row] + end, -1)
+                    inside.append(np.flatnonzero(np.cumsum(steps) > 0))
+                yield batch.column("text").to_numpy(), begin, np.concatenate(rows), *inside
+
+    def counted(batches):
+        for *_, tokens, _, at in parts(batches):
+            yield _batch([*np.unique(tokens[at], return_counts=True)], counts)
+
+    usual = joined.mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    usual = usual.where("n > 3").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
+    known, often = (usual.column(c).to_numpy().astype(np.uint64) for c in ("token", "n"))
+
+    def postings(batches):
+        for texts, begin, tokens, passages, _ in parts(batches):
+            tokens = tokens.astype(np.uint64)
+            order = mixed(tokens) >> np.uint64(32)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+                order |= np.where(known[k] == tokens, np.minimum(often[k], np.uint64((1 << 31) - 1)), np.uint64(0)) << np.uint64(32)
+            place, lo, hi = rarest(order, passages)
+            # A run is of one text: its passages all hold the place, but neighbours in the buffer may be of the next.
+            of = np.searchsorted(begin, place, side="right") - 1
+            yield _batch([tokens[place].astype(np.int64), texts[of], lo - begin[of], hi - begin[of], place - begin[of]], schema)
+
+    return joined.mapInArrow(postings, "sig long, text long, s long, e long, c long")
+
+
+def _left_over(pool: DataFrame, hits: DataFrame, docs: DataFrame, first_docs: DataFrame, n_blocks: int) -> list[DataFrame]:
+    """Runs (a, i, b, j, n) of the pool's passages that repeat others of the pool, until each is covered or met all."""
+    every = written(_by_rarest(pool, docs, first_docs), "rarest")
+    several = every.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
+    every = written(every.join(several, "sig"), "rarest-shared")
+    left = written(_uncovered(every, hits, n_blocks), "left-over")
+    share = F.pmod(F.xxhash64("sig", "text", "s"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
+    out, low, high = [], 0, LEADERS
+    while not left.isEmpty():
+        leaders = every.where((share >= low) & (share < high))
+        ends = [t.select("sig", F.struct("text", "s", "e", "c").alias(n)) for t, n in ((left, "x"), (leaders, "y"))]
+        both = ends[0].join(ends[1], "sig").where("x != y")
+        both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        pairs = both.select(
+            F.col("x.text").alias("a"), F.col("y.text").alias("b"), *(F.col(f"{o}.{c}").alias(f"{c}_{t}") for o, t in ("xa", "yb") for c in "sec")
+        )
+        out.append(_verified(_aligned(pairs), docs, first_docs))
+        left = written(_uncovered(left.where(F.col("members") > high), out[-1], n_blocks), "left-over")
+        low, high = high, high * MORE
+    return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -356,25 +444,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     def side(name: str) -> list:
         return [F.col("text").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("s", "e", "c"))]
 
-    # Each member meets the first of its group, and those that don't repeat it elect a new one among them. What is
-    # left after the rounds is looked up by whole passages.
-    pool, hits = signed, None
-    for _ in range(ROUNDS):
-        groups = pool.groupBy("sig").agg(F.min(member).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-        ends = pool.join(groups, "sig").select(
-            *side("a"), F.col("p.text").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "sec")
-        )
-        told = _verified(_aligned(ends), docs, first_docs)
-        found = told.where("n > 0")
-        hits = found if hits is None else hits.unionByName(found)
-        missed = told.where("n = 0").select(F.col("a").alias("text"), F.col("i").alias("s")).distinct()
-        if missed.isEmpty():
-            pool = None
-            break
-        pool = written(pool.join(missed, ["text", "s"], "left_semi").select(*signed.columns), "left-over")
-    if pool is not None:
-        several = pool.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1").select("sig")
-        hits = hits.unionByName(_exact_repeats(pool.join(several, "sig", "left_semi"), docs, first_docs))
+    # Each member meets the first of its group. Passages that nothing covers then are looked up by their rarest tokens.
+    groups = signed.groupBy("sig").agg(F.min(member).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(signed.drop("d").join(groups, "sig"), "signatures-shared")
+    ends = shared.select(*side("a"), F.col("p.text").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "sec"))
+    hits = _verified(_aligned(ends), docs, first_docs)
+    left = written(_uncovered(shared.select("sig", "text", "s", "e"), hits, n_blocks).select("sig").distinct(), "left-groups")
+    if not left.isEmpty():
+        pool = written(shared.join(left, "sig", "left_semi").select("text", "s", "e").distinct(), "left-members")
+        for more in _left_over(pool, hits, docs, first_docs, n_blocks):
+            hits = hits.unionByName(more)
 
     # From places to spans, and from texts to documents.
     sides = [

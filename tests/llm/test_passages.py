@@ -129,3 +129,20 @@ def test_repeats_changed_in_the_middle_are_found(spark):
     ids = {r.doc_id for r in sd.repeated_passages(docs).collect()}
     of_kind = [sum(2 * k in ids and 2 * k + 1 in ids for k in range(kind, 60, 3)) for kind in range(3)]
     assert min(of_kind) >= 16, of_kind
+
+
+def test_near_repeats_in_a_large_group_meet(spark):
+    # All texts share a line of 40 words; near twins with changes beside it are told apart from the many others.
+    rng = random.Random(5)
+    some = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    line, texts = some(40), []
+    for k in range(120):
+        before, after = some(5), some(5)
+        texts.append(some(20) + before + line + after + some(20))
+        if k % 6 == 0:
+            changed = list(before)
+            changed[0] = "other"
+            texts.append(some(20) + changed + line + after + some(20))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    twins = {d for i, t in enumerate(texts) if t[20] == "other" for d in (i - 1, i)}
+    assert {r.doc_id for r in sd.repeated_passages(docs).collect()} == twins
