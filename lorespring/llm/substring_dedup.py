@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
 
 
 def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Whether a passage of a text from s to e is in runs of n passages from ``at`` on in the text ``of``."""
+    """Whether all passages of a text from s to e are in runs of n passages from ``at`` on in the text ``of``."""
     if not len(of):
         return np.zeros(len(text), dtype=bool)
     _, place = np.unique(np.concatenate([text, of]), return_inverse=True)
@@ -307,12 +307,12 @@ def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at:
     starts, ends = starts[order], np.maximum.accumulate((starts + n)[order])
     first = np.flatnonzero(np.append(True, starts[1:] > ends[:-1]))
     last = ends[np.append(first[1:], len(starts)) - 1]
-    k = np.searchsorted(starts[first], place[: len(text)] + e, side="right") - 1
-    return (k >= 0) & (last[k] > place[: len(text)] + s)
+    k = np.searchsorted(starts[first], place[: len(text)] + s, side="right") - 1
+    return (k >= 0) & (last[k] > place[: len(text)] + e)
 
 
 def _uncovered(rows: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
-    """The rows (text, s, e and more) of which no hit covers a passage."""
+    """The rows (text, s, e and more) with a passage that no hit covers."""
     sides = [hits.select(F.col(t).alias("text"), F.col(p).alias("at"), "n") for t, p in ("ai", "bj")]
     by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (rows, sides[0].unionByName(sides[1]).distinct())]
 

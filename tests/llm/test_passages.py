@@ -146,3 +146,42 @@ def test_near_repeats_in_a_large_group_meet(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     twins = {d for i, t in enumerate(texts) if t[20] == "other" for d in (i - 1, i)}
     assert {r.doc_id for r in sd.repeated_passages(docs).collect()} == twins
+
+
+def test_covered_equals_brute_force():
+    rng = np.random.default_rng(12)
+    for n_runs in (0, 1, 40):
+        text, of = rng.integers(0, 5, 200), rng.integers(0, 5, n_runs)
+        s, at, n = rng.integers(0, 60, 200), rng.integers(0, 60, n_runs), rng.integers(1, 9, n_runs)
+        e = s + rng.integers(0, 9, 200)
+        inside = {(t, i) for t, a, m in zip(of, at, n) for i in range(a, a + m)}
+        want = [all((t, i) in inside for i in range(a, b + 1)) for t, a, b in zip(text, s, e)]
+        assert sd.covered(text, s, e, of, at, n).tolist() == want
+
+
+def test_rarest_equal_brute_force():
+    rng = np.random.default_rng(13)
+    order = rng.integers(0, 40, 300).astype(np.uint64)
+    passages = np.array([*range(0, 120), *range(180, 255)])
+    got = {(int(p), i) for p, a, b in zip(*sd.rarest(order, passages)) for i in range(a, b + 1)}
+    want = set()
+    for i in passages.tolist():
+        bound = sorted(order[i : i + sd.PASSAGE])[sd.RAREST - 1]
+        want |= {(i + k, i) for k in range(sd.PASSAGE) if order[i + k] <= bound}
+    assert got == want
+
+
+def test_a_passage_is_found_where_others_of_its_interval_are(spark):
+    # The elected text repeats the first part of the second text only, and the third repeats the second's other part.
+    rng = random.Random(9)
+    some = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    texts, want = [], []
+    for k in range(40):
+        one, mid, end = some((20, 15)[k % 2]), some((42, 40)[k % 2]), some((8, 10)[k % 2])
+        d = len(texts)
+        texts += [some(20) + t + some(20) for t in (one + mid, one + mid + end, mid + end)]
+        want += [(d + 1, 20 + len(one)), (d + 2, 20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in sd.repeated_passages(docs).collect()}
+    lost = [(d, i) for d, i in want if not any(e == d and a <= i and i + 50 <= b for e, a, b in spans)]
+    assert not lost
