@@ -2,10 +2,11 @@
 
 Pages of one host are grouped, in chunks of bounded size, and their DOM trees are aligned by simple tree matching:
 two nodes match when they have the same tag and class, and the children of matching nodes are aligned in order by
-dynamic programming over the number of matched nodes below. A node whose text is the same on most of a chunk's
-distinct pages is template; what varies is a slot. The text of a page is the blocks of its content slots: the
-article where the page marks one, else every slot that is not a menu, header, footer, sidebar, notice, advert, form
-or comment. Constant nodes are dropped only outside a marked article, where nothing but the article's words stand.
+dynamic programming over the number of matched nodes below; the page whose tree has the most usual shape is the one
+aligned with. A node whose text is the same on most of a chunk's distinct pages is template; what varies is a slot. The
+text of a page is the blocks of its content slots: those of the article where the page marks one, else every slot that
+is not a menu, header, footer, sidebar, notice, advert, form or comment. Pages with the same article, whatever stands
+around it, are one page as evidence, so that an article copied all over a host is no template.
 
 Defined results: null or empty html gives an empty text; a page alone on its host is read by its marks only; hosts
 come from the URL (null: one host of its own); repeated rows and copies of a page count once as evidence and each get
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lorespring.llm.url_filters import host_of
 
-#: Pages that are aligned together, on average; a host with more pages has more chunks.
+#: Pages that are aligned together, on average and at least; a host with twice as many pages has more chunks.
 CHUNK_PAGES = 24
 #: Host tables up to this many rows are broadcast; larger ones join by shuffle.
 BROADCAST_HOSTS = 100_000
@@ -218,40 +219,61 @@ def match(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[list[Node], lis
     return 1 + n, [(a, b), *pairs]
 
 
+def article_roots(tree: Node) -> list[Node]:
+    """The marked articles, or else the main elements."""
+    return outermost(tree, lambda x: x.tag == "article" and not x.apart) or outermost(
+        tree, lambda x: x.tag == "main" and not x.apart
+    )
+
+
+def shape(tree: Node) -> tuple:
+    """The kinds of the nodes that can be aligned, two levels down."""
+    return tuple((sign, tuple(k for x in xs for k, _ in grouped_kids(x))) for sign, xs in aligned_level(tree))
+
+
+def aligned_level(tree: Node) -> list[tuple[tuple, list[Node]]]:
+    """The first grouped children below a tree's root that are not a lone html or body."""
+    level = grouped_kids(tree)
+    while len(level) == 1 and len(level[0][1]) == 1 and level[0][0][0] in ("html", "body"):
+        level = grouped_kids(level[0][1][0])
+    return level
+
+
 def induce(trees: list[Node]) -> None:
-    """Mark the template nodes of a chunk's trees, each aligned with the first."""
-    texts = [tuple(blocks(t)) for t in trees]
+    """Mark the template nodes of a chunk's trees, each aligned with one of the most usual shape."""
+    texts = [tuple(b for r in article_roots(t) or [t] for b in blocks(r)) for t in trees]
     distinct = {t: i for i, t in reversed(list(enumerate(texts)))}
     least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(distinct))
     if len(distinct) < TEMPLATE_PAGES:
         return
+    shapes = [shape(trees[i]) for i in sorted(distinct.values())]
+    usual = Counter(shapes).most_common(1)[0][0]
+    pattern = trees[sorted(distinct.values())[shapes.index(usual)]]
     seen: dict[tuple[int, tuple], int] = defaultdict(int)
     aligned = []
     for i, tree in enumerate(trees):
-        for mine, others in match([trees[0]], [tree])[1]:
+        own = set()
+        for mine, others in match([pattern], [tree])[1]:
             for node in others:
                 key = (id(mine[0]), tuple(blocks(node)))
                 aligned.append((key, node))
-                if distinct[texts[i]] == i:
-                    seen[key] += 1
+                own.add(key)
+        if distinct[texts[i]] == i:
+            for key in own:
+                seen[key] += 1
     for key, node in aligned:
         node.template = key[1] != () and seen[key] >= least
 
 
 def main_text(tree: Node) -> str:
-    """The blocks of the marked article, or else of the page's slots."""
-    roots = outermost(tree, lambda x: x.tag == "article" and not x.apart)
-    if not roots:
-        roots = outermost(tree, lambda x: x.tag == "main" and not x.apart)
-    if roots:
-        return "\n".join(b for r in roots for b in blocks(r, lambda x: not x.apart))
-    return "\n".join(blocks(tree))
+    """The blocks of the marked article's slots, or else of the page's."""
+    return "\n".join(b for r in article_roots(tree) or [tree] for b in blocks(r))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of ``pages``."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    hosts = pages.groupBy("host").agg(F.ceil(F.count("*") / CHUNK_PAGES).alias("n_chunks"))
+    hosts = pages.groupBy("host").agg(F.greatest(F.lit(1), F.floor(F.count("*") / CHUNK_PAGES)).alias("n_chunks"))
     if hosts.count() <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
     chunk = F.pmod(F.xxhash64("page_id", "url"), F.col("n_chunks"))

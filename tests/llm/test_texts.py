@@ -176,3 +176,16 @@ def test_template_nodes_are_found_by_alignment(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "BROADCAST_HOSTS", 0)
     assert html_extract.extract(pages.unionByName(pages)).count() == 2 * len(rows)
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_template_inside_articles_is_dropped_and_a_copied_article_kept(spark):
+    page = '<html><body><div class="x{2}">Today {2}</div><article><h1>{0}</h1><div class="line">Read it first with us.</div><p>{1}</p></article></body></html>'
+    rows = [(i, "https://a.org/", page.format(f"Title {i}", f"Body {i} of its own.", 0)) for i in range(8)]
+    rows += [(100 + i, "https://b.org/", page.format("One title", "One body.", i % 3)) for i in range(8)]
+    # The first page is not of the usual shape, and one host has a few pages more than a chunk.
+    rows.append((-1, "https://a.org/", "<html><body><section><p>Odd.</p></section></body></html>"))
+    rows += [(200 + i, f"https://c.org/{i}", page.format(f"Title {i}", f"Body {i} of its own.", 0)) for i in range(25)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(100, 108)} == {"One title\nRead it first with us.\nOne body."} and got[-1] == "Odd."
+    for first, n in ((0, 8), (200, 25)):
+        assert [got[first + i] for i in range(n)] == [f"Title {i}\nBody {i} of its own." for i in range(n)]
