@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespring.llm.common import written
-from lorespring.llm.components import components
+from lorespring.llm.components import components, forest
 
 #: Vectors that the centroids are fitted on, at most, and rounds of fitting.
 SAMPLE, ROUNDS = 20_000, 8
@@ -55,18 +55,6 @@ def fit_cells(sample: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def forest(mask: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and column of a link matrix the smallest id that it reaches through the matrix."""
-    big = np.iinfo(np.int64).max
-    rows, columns = left.copy(), right.copy()
-    while True:
-        down = np.minimum(columns, np.where(mask, rows[:, None], big).min(axis=0))
-        over = np.minimum(rows, np.where(mask, down[None, :], big).min(axis=1))
-        if (down == columns).all() and (over == rows).all():
-            return rows, columns
-        rows, columns = over, down
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of ``vectors``."""
     spark = vectors.sparkSession

@@ -2,13 +2,16 @@
 
 Two documents link when their sets of 5-word shingles have a Jaccard similarity of 0.75 or more. Shingles have one
 global order, frequent ones last. A set of n shingles can only reach the similarity with another if they share one of
-its first ``n - ceil(0.75 n) + 1`` shingles, so only those columns of the incidence matrix are kept. They are dealt
-over blocks of columns; each block multiplies its part with itself, and the overlaps that the blocks find are added
-up. A pair goes on only if sizes, and the overlap so far, can still reach the bound. What is left is counted exactly.
+its first ``n - ceil(0.75 n) + 1`` shingles, so only those columns of the incidence matrix are kept. Sets that share
+such a shingle meet in the group named by the smallest set that holds it. Sizes, ends of prefixes and numbers of shared
+shingles rule out most pairs of a group before a set is looked at; what is left is multiplied: the block's part of the
+incidence matrix with itself, in dense slices for the columns that many sets hold and pair by pair for the others. The
+overlaps are those of whole sets, so the bound is decided in the block, which returns a spanning forest of its links.
 
-Equal sets are one row of the matrix. Groups of near copies are not expanded: a first product takes each set with its
-neighbours of similar size only, the links found are joined into components, and the second, complete product skips
-pairs that are connected already. So no link between components is lost and no group is squared once it is known.
+Equal sets are one row of the matrix. A group of over ``BLOCK`` sets is cut into parts at random, in two ways, and each
+part is compared whole; that connects near copies. Sets outside the group's main component then meet all others, block
+against block. So no link between components is lost, no group is in one task, and rows grow with the sets, not with
+the pairs. In a group of texts alike, but not enough to link, all pairs of blocks are multiplied: that work is squared.
 
 Frequent shingles are found from counts over all documents (a shingle that repeats within a part of the input); the
 order may be any order, so what those counts miss costs time and no result.
@@ -21,6 +24,7 @@ doc_id gets a null component; an empty table gives an empty result. Only doc_id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -29,16 +33,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import written
-from lorespring.llm.components import components
+from lorespring.llm.common import discard, written
+from lorespring.llm.components import components, forest
 from lorespring.llm.shingles import mixed, shingle_sets, texts_in_parts
 
 #: A shingle counts as frequent from this many sightings; so many of the most frequent ones have a place in the order.
 FREQUENT, MOST_FREQUENT = 8, 400_000
 #: Postings of a block, at first and once there are many blocks.
 BLOCK_POSTINGS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
-#: Neighbours of similar size that the first product takes.
-NEIGHBOURS = 24
+#: Rows of a block of groups that are looked at without their sets.
+BLOCK_ROWS = 200_000
+#: Sets of one side of a block product; larger groups are cut into blocks.
+BLOCK = 1024
+#: Shingles that the sets of one task have together, on average; groups up to this size are compared pair by pair.
+TASK_SHINGLES, FEW = 500_000, 48
+#: Dense columns that are multiplied at a time.
+SLICE = 512
 #: Tables of documents to verify up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
 #: Characters hashed at a time.
@@ -53,8 +63,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nd
             yield ids[a:b], shingle_sets([t or "" for t in texts[a:b]])
 
 
-def _set_id(members: np.ndarray) -> int:
-    return int.from_bytes(blake2b(members.tobytes(), digest_size=8).digest(), "little") >> 1
+def _set_ids(members: np.ndarray, clashing: frozenset = frozenset()) -> tuple[int, int]:
+    """The id of a set, and a second one that it takes if its first is among the clashing ones."""
+    digest = blake2b(members.tobytes(), digest_size=16).digest()
+    one, two = (int.from_bytes(digest[k : k + 8], "little") >> 1 for k in (0, 8))
+    return (two if one in clashing else one), two
 
 
 def _batch(columns: list, names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -62,37 +75,42 @@ def _batch(columns: list, names: list[str], types: list[pa.DataType]) -> pa.Reco
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One row per document (true, doc_id, set_id, n), and (false, null, shingle, sightings) for repeats.
+    """One row per document (true, doc_id, set_id, n, second id), and (false, null, shingle, sightings) for repeats.
 
     Sightings count the distinct sets of a batch that hold a shingle, where two or more do. The batch's shingles are
     counted in slices by value, so that little is copied at a time.
     """
-    names, types = ["document", "doc_id", "item", "n"], [pa.bool_(), *[pa.int64()] * 3]
+    names, types = ["document", "doc_id", "item", "n", "more"], [pa.bool_(), *[pa.int64()] * 4]
 
     def scan(batches):
         for batch in batches:
             held: dict[int, np.ndarray] = {}
             for ids, sets in _parts([batch]):
-                own = [_set_id(s) for s in sets]
+                own = [_set_ids(s) for s in sets]
                 held.update(zip(own, sets, strict=True))
-                yield _batch([[True] * len(ids), ids, own, [len(s) for s in sets]], names, types)
+                yield _batch([[True] * len(ids), ids, [x for x, _ in own], [len(s) for s in sets], [y for _, y in own]], names, types)
             for low in range(0, 1 << 62, 1 << 59):
                 slices = (s[np.searchsorted(s, low) : np.searchsorted(s, low + (1 << 59))] for s in held.values())
                 shingles, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *slices]), return_counts=True)
                 if m := int((n > 1).sum()):
-                    yield _batch([[False] * m, [None] * m, shingles[n > 1], n[n > 1]], names, types)
+                    yield _batch([[False] * m, [None] * m, shingles[n > 1], n[n > 1], [None] * m], names, types)
 
-    return docs.mapInArrow(scan, "document boolean, doc_id long, item long, n long")
+    return docs.mapInArrow(scan, "document boolean, doc_id long, item long, n long, more long")
 
 
-def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int) -> DataFrame:
-    """Block-wise postings: rows (block, keys, sets) of packed int64 pairs; block -1-k has (last key, set) pairs."""
+def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int, clashing: frozenset) -> DataFrame:
+    """Of each shingle that the prefixes of two sets or more hold, the sets, as (false, low, set_id, keys).
+
+    ``low`` is the smallest set of the shingle's list and names the group in which its sets meet; of several shingles
+    with one ``low`` in a block, each set is told once, with their number. Rows (true, last, set_id, 1) tell where the
+    prefix of a set ends. On the way postings are packed: (block, keys, sets), with the ends in blocks below 0.
+    """
     by_value = np.argsort(frequent)
     ordered = frequent[by_value]
 
     def cut(batches):
         for _, sets in _parts(batches):
-            own = {_set_id(s): s for s in sets if len(s)}
+            own = {_set_ids(s, clashing)[0]: s for s in sets if len(s)}
             if not own:
                 continue
             sizes = np.array([len(s) for s in own.values()])
@@ -127,7 +145,7 @@ def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int) -> DataFrame
                 )
 
     def shared(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Of a block, the distinct postings whose shingle two sets or more have; all of a negative one."""
+        """Of a block, the sets of each group; all of a negative one."""
         key = np.frombuffer(b"".join(rows["keys"]), dtype=np.int64)
         owner = np.frombuffer(b"".join(rows["sets"]), dtype=np.int64)
         order = np.lexsort((owner, key))
@@ -135,139 +153,279 @@ def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int) -> DataFrame
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
         key, owner = key[new], owner[new]
-        info = rows["block"].iloc[0] < 0
-        if not info:
-            same = key[1:] == key[:-1]
-            keep = np.zeros(len(key), dtype=bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            key, owner = key[keep], owner[keep]
-        return pd.DataFrame({"info": info, "key": key, "set_id": owner})
+        if rows["block"].iloc[0] < 0:
+            return pd.DataFrame({"info": True, "low": key, "set_id": owner, "keys": 1})
+        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+        size = np.diff(np.append(first, len(key)))
+        low, shared = np.repeat(owner[first], size), np.repeat(size > 1, size)
+        low, owner = low[shared], owner[shared]
+        order = np.lexsort((owner, low))
+        low, owner = low[order], owner[order]
+        new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))[: len(low)])
+        return pd.DataFrame({"info": False, "low": low[new], "set_id": owner[new], "keys": np.diff(np.append(new, len(low)))})
 
     packed = docs.mapInArrow(cut, "block long, keys binary, sets binary")
-    return packed.groupBy("block").applyInPandas(shared, "info boolean, key long, set_id long")
+    return packed.groupBy("block").applyInPandas(shared, "info boolean, low long, set_id long, keys long")
 
 
-def _product(postings: DataFrame, n_blocks: int, neighbours: int | None) -> DataFrame:
-    """Candidate pairs (a, b, n_a, n_b): those whose summed overlap can still reach the bound.
+def needed(n_a: np.ndarray, n_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
+    """How many shingles two sets' prefixes share at least, if the sets reach the similarity.
 
-    ``postings`` has key, set_id, n, last and component. Only shingles that two components share can add to an
-    overlap, so a set's overlap with any other is no more than its number of those; this rules out most pairs, such as
-    texts that have one passage in common, before they are counted. Sets that follow each other in a shingle's list,
-    ordered by size, are paired up to ``neighbours`` places apart (None: all), unless connected or too different in size.
-
-    Shingles whose lists begin with the same component share a block as far as its size allows, so most of a pair's
-    overlap is added up in one place, and a block returns only pairs that can reach the bound with what lies elsewhere.
+    Sets of these sizes have ``ceil(3 (n_a + n_b) / 7)`` shingles in common then. The set whose prefix ends first in
+    the global order has no more than the rest of its own behind that end.
     """
+    low = np.where(last_a <= last_b, n_a, n_b)
+    return -(-3 * (n_a + n_b) // 7) - ((3 * low + 3) // 4 - 1)
+
+
+def possible(n: np.ndarray, last: np.ndarray, most: np.ndarray, a, b) -> np.ndarray:
+    """Whether two sets can link, by their sizes and by how many shared shingles their prefixes have in all."""
+    fits = (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
+    return fits & (np.minimum(most[a], most[b]) >= needed(n[a], n[b], last[a], last[b]))
+
+
+def group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places of one group, where groups are sorted; those a step apart at a time."""
+    at, step = np.arange(len(group)), 1
+    while len(at := at[at + step < len(group)]) and len(at := at[group[at] == group[at + step]]):
+        yield at, at + step
+        step += 1
 
-    def multiply(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "n", "set_id"], kind="stable")
-        key, n, last, comp, most = (rows[c].to_numpy() for c in ("key", "n", "last", "component", "most"))
-
-        def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            low = np.where(last[a] <= last[b], n[a], n[b])
-            return -(-3 * (n[a] + n[b]) // 7) - ((3 * low + 3) // 4 - 1)
-
-        names, first, own = np.unique(rows["set_id"].to_numpy(), return_index=True, return_inverse=True)
-        pairs, overlap = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        held: list[np.ndarray] = []
-
-        def add_up() -> None:
-            nonlocal pairs, overlap
-            every, place = np.unique(np.concatenate([pairs, *held]), return_inverse=True)
-            counts = np.bincount(place[len(pairs) :], minlength=len(every))
-            counts[place[: len(pairs)]] += overlap
-            pairs, overlap = every, counts
-            held.clear()
-
-        at, step = np.arange(len(key)), 1
-        while neighbours is None or step <= neighbours:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            at = at[3 * n[at + step] <= 4 * n[at]]  # further ones are larger still
-            if not len(at):
-                break
-            i = at[comp[at] != comp[at + step]]
-            i = i[np.minimum(most[i], most[i + step]) >= needed(i, i + step)]
-            held.append(own[i] * len(names) + own[i + step])
-            if sum(map(len, held)) > 1_000_000:
-                add_up()
-            step += 1
-        add_up()
-        a, b = first[pairs // len(names)], first[pairs % len(names)]
-        ids = rows["set_id"].to_numpy()
-        elsewhere = most - np.bincount(own, minlength=len(names))[own]
-        need = needed(a, b)
-        keep = overlap + np.minimum(elsewhere[a], elsewhere[b]) >= need
-        out = {"a": ids[a], "b": ids[b], "n_a": n[a], "n_b": n[b], "need": need, "overlap": overlap}
-        return pd.DataFrame(out)[keep]
-
-    schema = "a long, b long, n_a long, n_b long, need long, overlap long"
-    across = postings.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    postings = postings.join(across.where("low < high").select("key", "low"), "key")
-    most = postings.groupBy("set_id").agg(F.count("*").alias("most"))
-    sizes = postings.groupBy("low").agg(F.ceil(F.count("*") / LARGE_BLOCK).alias("parts"))
-    part = F.pmod(F.xxhash64("key"), F.col("parts"))
-    block = F.pmod(F.xxhash64("low", part), F.lit(n_blocks)).alias("block")
-    partial = postings.join(most, "set_id").join(sizes, "low").groupBy(block).applyInPandas(multiply, schema)
-    whole = partial.groupBy("a", "b", "n_a", "n_b", "need").agg(F.sum("overlap").alias("overlap"))
-    return whole.where(F.col("overlap") >= F.col("need")).select("a", "b", "n_a", "n_b")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that do reach the similarity, counted on their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = written(wanted.join(classes, "set_id").select("doc_id"), "to-verify")
-    if wanted.count() <= BROADCAST_DOCS:
-        wanted = F.broadcast(wanted)
+
+def _prune(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of small groups the members that can link with another."""
+    rows = rows.sort_values(["low", "n", "set_id"], kind="stable", ignore_index=True)
+    n, last, most = (rows[c].to_numpy() for c in ("n", "last", "most"))
+    keep = np.zeros(len(rows), dtype=bool)
+    for a, b in group_pairs(rows["low"].to_numpy()):
+        fits = possible(n, last, most, a, b)
+        keep[a[fits]] = True
+        keep[b[fits]] = True
+    return rows.loc[keep, ["low", "set_id", "n", "last", "most"]]
+
+
+def overlap_matrix(
+    row_a: np.ndarray, item_a: np.ndarray, row_b: np.ndarray, item_b: np.ndarray, shape: tuple, items: int, dense: int = 256
+) -> np.ndarray:
+    """The product of two incidence matrices, given by the rows and items of their ones.
+
+    Items whose pairs of rows are over 1 in ``dense`` of all are columns of dense slices; for the others the pairs are
+    added up one by one.
+    """
+    n_a, n_b = (np.bincount(x, minlength=items) for x in (item_a, item_b))
+    work = n_a * n_b
+    heavy = work * dense > shape[0] * shape[1]
+    out = np.zeros(shape, dtype=np.float32)
+    columns = np.cumsum(heavy) - 1
+    sides = []
+    for row, item in ((row_a, item_a), (row_b, item_b)):
+        mine = heavy[item]
+        column = columns[item[mine]]
+        order = np.argsort(column, kind="stable")
+        sides.append((row[mine][order], column[order]))
+    for c in range(0, int(heavy.sum()), SLICE):
+        parts = []
+        for (row, column), n in zip(sides, shape):
+            a, b = np.searchsorted(column, [c, c + SLICE])
+            parts.append(np.zeros((n, SLICE), dtype=np.float32))
+            parts[-1][row[a:b], column[a:b] - c] = 1
+        out += parts[0] @ parts[1].T
+    light = ~heavy & (work > 0)
+    mine, theirs = light[item_a], light[item_b]
+    row_a, item_a, row_b, item_b = row_a[mine], item_a[mine], row_b[theirs], item_b[theirs]
+    order = np.argsort(item_b, kind="stable")
+    row_b, item_b = row_b[order], item_b[order]
+    first = np.searchsorted(item_b, item_a, side="left")
+    count = np.searchsorted(item_b, item_a, side="right") - first
+    ends = np.cumsum(count)
+    for a, b in _slices(ends):
+        k = np.arange(int(count[a:b].sum())) + np.repeat(first[a:b] - (ends[a:b] - count[a:b] - (ends[a - 1] if a else 0)), count[a:b])
+        flat = np.repeat(row_a[a:b] * shape[1], count[a:b]) + row_b[k]
+        out += np.bincount(flat, minlength=shape[0] * shape[1]).reshape(shape)
+    return out
+
+
+def _slices(ends: np.ndarray, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of entries, whose lengths add up to ``ends``, of about ``size`` together."""
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
+class Members:
+    """The sets of one task, with shingles numbered from 0 on, so that few bits tell them apart."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.id, self.n, self.last, self.most = (rows[c].to_numpy() for c in ("set_id", "n", "last", "most"))
+        found, self.item = np.unique(np.frombuffer(b"".join(rows["members"]), dtype="<i8"), return_inverse=True)
+        self.items = len(found)
+        self.end = np.cumsum(self.n)
+        self.begin = self.end - self.n
+
+    def places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each shingle of these sets, which of them holds it and where it lies."""
+        n = self.n[rows]
+        row = np.repeat(np.arange(len(rows)), n)
+        return row, np.arange(len(row)) + np.repeat(self.begin[rows] - (np.cumsum(n) - n), n)
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs of sets reach the similarity."""
+        code = np.repeat(np.arange(len(self.n)) * self.items, self.n) + self.item
+        out = np.zeros(len(a), dtype=bool)
+        for s, e in _slices(np.cumsum(self.n[a])):
+            row, place = self.places(a[s:e])
+            wanted = b[s:e][row] * self.items + self.item[place]
+            at = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+            common = np.bincount(row[code[at] == wanted], minlength=e - s)
+            out[s:e] = 7 * common >= 3 * (self.n[a[s:e]] + self.n[b[s:e]])
+        return out
+
+    def links(self, left: np.ndarray, right: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, root) of a spanning forest of the links that ``allowed`` permits between two blocks of sets."""
+        allowed = allowed & possible(self.n, self.last, self.most, left[:, None], right[None, :])
+        left, right, allowed = left[allowed.any(axis=1)], right[allowed.any(axis=0)], allowed[allowed.any(axis=1)][:, allowed.any(axis=0)]
+        if not len(left):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        (row_a, at_a), (row_b, at_b) = self.places(left), self.places(right)
+        common = overlap_matrix(row_a, self.item[at_a], row_b, self.item[at_b], allowed.shape, self.items)
+        mask = allowed & (7 * common >= 3 * (self.n[left][:, None] + self.n[right][None, :]))
+        rows, columns = forest(mask, self.id[left], self.id[right])
+        return np.concatenate([self.id[left], self.id[right]]), np.concatenate([rows, columns])
+
+
+def _compare(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of a spanning forest of all links within the groups of one task; a group is all sets of one ``low``."""
+    rows = rows.sort_values(["low", "n", "set_id"], kind="stable", ignore_index=True)
+    sets, low = Members(rows), rows["low"].to_numpy()
+    first = np.flatnonzero(np.diff(low, prepend=low[0] - 1))
+    size = np.diff(np.append(first, len(low)))
+    own = np.repeat(size, size)
+    few = np.flatnonzero(own <= FEW)
+    pairs = []
+    for a, b in group_pairs(low[few]):
+        a, b = few[a], few[b]
+        fits = possible(sets.n, sets.last, sets.most, a, b)
+        pairs.append((a[fits], b[fits]))
+    a, b = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, dtype=np.int64),) * 2
+    hit = sets.linked(a, b)
+    found = [(sets.id[b[hit]], sets.id[a[hit]])]
+    for at, n in zip(first[size > FEW].tolist(), size[size > FEW].tolist()):
+        block = np.arange(at, at + n)
+        found.append(sets.links(block, block, ~np.eye(n, dtype=bool)))
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"a": a, "b": b})[a != b]
+
+
+def _compare_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) of a spanning forest of the links of blocks x and y of a large group that join two components."""
+    rows = rows.sort_values("set_id", kind="stable", ignore_index=True)
+    sets, part, component = Members(rows), rows["part"].to_numpy(), rows["component"].to_numpy()
+    left, right = np.flatnonzero(part == key[1]), np.flatnonzero(part == key[2])
+    a, b = sets.links(left, right, component[left][:, None] != component[right][None, :])
+    return pd.DataFrame({"a": a, "b": b})[a != b]
+
+
+def _members(wanted: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> DataFrame:
+    """(set_id, members) of the sets in ``wanted``."""
+    wanted = written(wanted.select("set_id").distinct().join(classes, "set_id").select("doc_id"), "to-compare")
+    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
 
     def members(batches):
         for _, sets in _parts(batches):
             full = [s for s in sets if len(s)]
-            columns = [[_set_id(s) for s in full], full]
-            yield _batch(columns, ["set_id", "members"], [pa.int64(), pa.list_(pa.int64())])
-
-    chosen = docs.join(wanted, "doc_id", "left_semi").mapInArrow(members, "set_id long, members array<long>")
-    chosen = chosen.dropDuplicates(["set_id"])
-    left = chosen.select(F.col("set_id").alias("a"), F.col("members").alias("left"))
-    right = chosen.select(F.col("set_id").alias("b"), F.col("members").alias("right"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("common", F.size(F.array_intersect("left", "right")))
-    return both.where(175 * F.col("common") >= 75 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+            columns = [[_set_ids(s, clashing)[0] for s in full], [s.tobytes() for s in full]]
+            yield _batch(columns, ["set_id", "members"], [pa.int64(), pa.binary()])
+
+    found = docs.join(chosen, "doc_id", "left_semi").mapInArrow(members, "set_id long, members binary")
+    out = written(found.dropDuplicates(["set_id"]), "members")
+    discard(wanted)
+    return out
+
+
+def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> list[DataFrame]:
+    """Tables (a, b) of links that connect the sets. ``groups`` has low, set_id, n, last and most."""
+    sizes = groups.groupBy("low").agg(F.count("*").alias("sets")).where(F.col("sets") > BLOCK)
+    large = written(sizes.withColumn("parts", F.ceil(F.col("sets") / BLOCK).cast("int")).drop("sets"), "large-groups")
+    n_large = large.count()
+    listed = F.broadcast(large) if n_large <= BROADCAST_DOCS else large
+    small = groups.join(listed.select("low"), "low", "left_anti")
+    n_blocks = max(1, groups.count() // BLOCK_ROWS)
+    columns = "low long, set_id long, n long, last long, most long"
+    pruned = small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")).applyInPandas(_prune, columns)
+    pruned = written(pruned, "pruned")
+    crowd = written(groups.join(listed, "low"), "crowd")
+    members = _members(pruned.select("set_id").unionByName(crowd.select("set_id")), docs, classes, clashing)
+
+    # Small groups are compared whole; of large ones, the parts of two random ways to cut them.
+    n_tasks = max(1, (pruned.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES)
+    tasks = [pruned.withColumn("task", F.pmod(F.xxhash64("low"), F.lit(n_tasks)))]
+    for way in range(2 if n_large else 0):
+        part = F.pmod(F.xxhash64("set_id", F.lit(way)), F.col("parts"))
+        tasks.append(crowd.withColumn("task", -1 - F.pmod(F.xxhash64("low", part, F.lit(way)), F.lit(1 << 62))).drop("parts"))
+    near = reduce(DataFrame.unionByName, tasks).join(members, "set_id").groupBy("task").applyInPandas(_compare, "a long, b long")
+    near = written(near, "near-links")
+    out = [near]
+    if n_large:
+        # What is still apart: the sets outside a group's main component meet all the others, block against block.
+        known = crowd.join(components(near).withColumnRenamed("id", "set_id"), "set_id", "left")
+        known = written(known.withColumn("component", F.coalesce("component", "set_id")), "known")
+        main = known.groupBy("low", "component").agg(F.count("*").alias("sets")).groupBy("low")
+        main = main.agg(F.max_by("component", F.struct("sets", "component")).alias("main"), F.max("sets").alias("most_sets"), F.sum("sets").alias("sets"))
+        main = main.where(F.col("most_sets") < F.col("sets")).select(
+            "low",
+            "main",
+            F.ceil((F.col("sets") - F.col("most_sets")) / BLOCK).cast("int").alias("apart"),
+            F.ceil(F.col("most_sets") / BLOCK).cast("int").alias("inside"),
+        )
+        inner = F.col("component") == F.col("main")
+        own = F.pmod(F.xxhash64("set_id"), F.when(inner, F.col("inside")).otherwise(F.col("apart"))).cast("int")
+        dealt = known.join(F.broadcast(main) if n_large <= BROADCAST_DOCS else main, "low").withColumn("part", own + F.when(inner, F.col("apart")).otherwise(0))
+        others = F.sequence(F.lit(0), F.when(inner, F.col("apart") - 1).otherwise(F.col("apart") + F.col("inside") - 1))
+        dealt = dealt.withColumn("other", F.explode(others))
+        dealt = dealt.select(
+            "low", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "set_id", "component", "n", "last", "most"
+        )
+        far = dealt.join(members, "set_id").groupBy("low", "x", "y").applyInPandas(_compare_blocks, "a long, b long")
+        out.append(written(far, "far-links"))
+        discard(known)
+    for df in (pruned, crowd, members, large):
+        discard(df)
+    return out
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scan = written(_scan(docs), "shingle-scan")
-    found = scan.where("document").select("doc_id", F.col("item").alias("set_id"), "n")
+    every = scan.where("document")
     often = scan.where(~F.col("document")).groupBy("item").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     often = often.orderBy(F.desc("n"), "item").limit(MOST_FREQUENT).select("item").toArrow()
     frequent = often.column("item").to_numpy()[::-1].astype(np.int64)
+    # Two digests of 63 bits stand for a set: the first, or the second where sets clash in the first.
+    twice = every.where("n > 0").groupBy("item").agg(F.min("more").alias("x"), F.max("more").alias("y")).where("x < y")
+    clashing = frozenset(r.item for r in twice.select("item").collect())
+    set_id = F.when(F.col("item").isin(list(clashing)), F.col("more")).otherwise(F.col("item")) if clashing else F.col("item")
+    found = every.select("doc_id", set_id.alias("set_id"), "n")
 
     classes = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = classes.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     classes = written(classes, "classes")
     total = (found.agg(F.sum("n")).first()[0] or 0) // 4
     n_blocks = max(1, min(total // BLOCK_POSTINGS, MANY_BLOCKS), total // LARGE_BLOCK)
-    postings = written(_postings(docs, frequent, n_blocks), "postings")
-    n_blocks = max(1, postings.count() // BLOCK_POSTINGS)
-    sizes = postings.where("info").select("set_id", F.col("key").alias("last"))
-    sizes = sizes.join(classes.select("set_id", "n"), "set_id")
-    described = postings.where(~F.col("info")).select("key", "set_id").join(sizes, "set_id")
-
-    alone = described.withColumn("component", F.col("set_id"))
-    tried = written(_product(alone, n_blocks, NEIGHBOURS), "near-pairs")
-    near = written(_verified(tried, docs, classes), "near-links")
-    grouped = components(near).withColumnRenamed("id", "set_id")
-    known = described.join(grouped, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    others = _product(known, n_blocks, None).join(tried, ["a", "b"], "left_anti")
-    others = written(others, "far-pairs")
-    far = written(_verified(others, docs, classes), "far-links")
+    postings = written(_postings(docs, frequent, n_blocks, clashing), "postings")
+    shared = postings.where(~F.col("info"))
+    most = shared.groupBy("set_id").agg(F.sum("keys").alias("most"))
+    sizes = postings.where("info").select("set_id", F.col("low").alias("last")).join(classes.select("set_id", "n"), "set_id")
+    groups = shared.select("low", "set_id").distinct().join(most, "set_id").join(sizes, "set_id")
+    groups = written(groups.select("low", "set_id", "n", "last", "most"), "groups")
+    discard(postings)
+    links = reduce(DataFrame.unionByName, _links(groups, docs, classes, clashing))
+    discard(groups)
 
     # From sets to documents: a class stands for its first document, and an id with two texts joins their classes.
     first = classes.select("set_id", F.col("doc_id").alias("first"))
-    links = near.unionByName(far)
     links = links.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     texts = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).distinct()
     several = texts.groupBy("doc_id").agg(F.count("*").alias("texts")).where(F.col("texts") > 1)

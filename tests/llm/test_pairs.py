@@ -107,10 +107,42 @@ def brute_components(texts):
     return sets, closed(range(len(texts)), links)
 
 
-@pytest.mark.parametrize("frequent,neighbours", [(32, 8), (3, 1)])
-def test_jaccard_components_equal_brute_force(spark, corpus, monkeypatch, frequent, neighbours):
+def test_overlap_matrix_equals_set_intersections():
+    rng = random.Random(6)
+    for n_a, n_b, items, dense in ((3, 4, 5, 256), (40, 30, 60, 256), (40, 30, 600, 4), (1, 1, 1, 1)):
+        left, right = ([sorted(rng.sample(range(items), rng.randrange(1, 1 + min(items, 50)))) for _ in range(n)] for n in (n_a, n_b))
+        places = [(np.repeat(np.arange(len(s)), [len(x) for x in s]), np.concatenate(s)) for s in (left, right)]
+        got = ngram_join.overlap_matrix(*places[0], *places[1], (n_a, n_b), items, dense)
+        assert got.tolist() == [[len(set(x) & set(y)) for y in right] for x in left]
+
+
+def test_texts_alike_but_not_enough_stay_apart_and_make_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        ws = list(base)
+        for at in rng.sample(range(10, 90), 4):
+            ws[at] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    _, want = brute_components(texts)
+    rows = ngram_join.jaccard_components(documents(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
+def test_sets_that_clash_in_their_first_id_stay_apart(spark, monkeypatch):
+    assert ngram_join._set_ids(np.arange(3))[0] != ngram_join._set_ids(np.arange(3))[1]
+    one, two = ngram_join._set_ids(np.arange(3))
+    assert ngram_join._set_ids(np.arange(3), frozenset([one])) == (two, two)
+
+
+@pytest.mark.parametrize("frequent,block", [(32, 1024), (3, 12), (3, 40)])
+def test_jaccard_components_equal_brute_force(spark, corpus, monkeypatch, frequent, block):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "NEIGHBOURS", neighbours)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TASK_SHINGLES", 3000)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 200)
     monkeypatch.setattr(ngram_join, "BLOCK_POSTINGS", 700)
     monkeypatch.setattr(ngram_join, "BROADCAST_DOCS", 10 if frequent == 3 else 10**6)
     docs = documents(spark, corpus)
