@@ -193,12 +193,12 @@ def group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _prune(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a block of small groups the members that can link with another."""
+    """Of a block of small groups the members that can link with another and don't meet it in their common home."""
     rows = rows.sort_values(["low", "n", "set_id"], kind="stable", ignore_index=True)
-    n, last, most = (rows[c].to_numpy() for c in ("n", "last", "most"))
+    n, last, most, home, low = (rows[c].to_numpy() for c in ("n", "last", "most", "home", "low"))
     keep = np.zeros(len(rows), dtype=bool)
-    for a, b in group_pairs(rows["low"].to_numpy()):
-        fits = possible(n, last, most, a, b)
+    for a, b in group_pairs(low):
+        fits = possible(n, last, most, a, b) & ((home[a] != home[b]) | (home[a] == low[a]))
         keep[a[fits]] = True
         keep[b[fits]] = True
     return rows.loc[keep, ["low", "set_id", "n", "last", "most"]]
@@ -339,15 +339,25 @@ def _members(wanted: DataFrame, docs: DataFrame, classes: DataFrame, clashing: f
             yield _batch(columns, ["set_id", "members"], [pa.int64(), pa.binary()])
 
     found = docs.join(chosen, "doc_id", "left_semi").mapInArrow(members, "set_id long, members binary")
-    out = written(found.dropDuplicates(["set_id"]), "members")
+    out = written(found, "members")
+    if out.count() > wanted.count():  # repeated ids
+        once = written(out.dropDuplicates(["set_id"]), "members")
+        discard(out)
+        out = once
     discard(wanted)
     return out
 
 
 def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> list[DataFrame]:
-    """Tables (a, b) of links that connect the sets. ``groups`` has low, set_id, n, last and most."""
-    sizes = groups.groupBy("low").agg(F.count("*").alias("sets")).where(F.col("sets") > BLOCK)
-    large = written(sizes.withColumn("parts", F.ceil(F.col("sets") / BLOCK).cast("int")).drop("sets"), "large-groups")
+    """Tables (a, b) of links that connect the sets. ``groups`` has low, set_id, n, last, most and home.
+
+    A set's home is the group in which it has most shingles; sets of one home need not meet anywhere else.
+    """
+    sizes = groups.groupBy("low").agg(F.count("*").alias("sets"), F.min("home").alias("home"), F.max("home").alias("other"))
+    sizes = sizes.where(F.col("sets") > BLOCK)
+    own = (F.col("home") != F.col("other")) | (F.col("home") == F.col("low"))
+    sizes = sizes.select("low", F.when(own, F.ceil(F.col("sets") / BLOCK)).otherwise(0).cast("int").alias("parts"))
+    large = written(sizes, "large-groups")
     n_large = large.count()
     listed = F.broadcast(large) if n_large <= BROADCAST_DOCS else large
     small = groups.join(listed.select("low"), "low", "left_anti")
@@ -355,7 +365,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     columns = "low long, set_id long, n long, last long, most long"
     pruned = small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")).applyInPandas(_prune, columns)
     pruned = written(pruned, "pruned")
-    crowd = written(groups.join(listed, "low"), "crowd")
+    crowd = written(groups.join(listed.where("parts > 0"), "low"), "crowd")
     members = _members(pruned.select("set_id").unionByName(crowd.select("set_id")), docs, classes, clashing)
 
     # Small groups are compared whole; of large ones, the parts of two random ways to cut them.
@@ -363,7 +373,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     tasks = [pruned.withColumn("task", F.pmod(F.xxhash64("low"), F.lit(n_tasks)))]
     for way in range(2 if n_large else 0):
         part = F.pmod(F.xxhash64("set_id", F.lit(way)), F.col("parts"))
-        tasks.append(crowd.withColumn("task", -1 - F.pmod(F.xxhash64("low", part, F.lit(way)), F.lit(1 << 62))).drop("parts"))
+        tasks.append(crowd.where("home = low").drop("home").withColumn("task", -1 - F.pmod(F.xxhash64("low", part, F.lit(way)), F.lit(1 << 62))).drop("parts"))
     near = reduce(DataFrame.unionByName, tasks).join(members, "set_id").groupBy("task").applyInPandas(_compare, "a long, b long")
     near = written(near, "near-links")
     out = [near]
@@ -416,10 +426,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     n_blocks = max(1, min(total // BLOCK_POSTINGS, MANY_BLOCKS), total // LARGE_BLOCK)
     postings = written(_postings(docs, frequent, n_blocks, clashing), "postings")
     shared = postings.where(~F.col("info"))
-    most = shared.groupBy("set_id").agg(F.sum("keys").alias("most"))
+    shared = shared.groupBy("set_id", "low").agg(F.sum("keys").alias("keys"))
+    most = shared.groupBy("set_id").agg(F.sum("keys").alias("most"), F.max_by("low", F.struct("keys", "low")).alias("home"))
     sizes = postings.where("info").select("set_id", F.col("low").alias("last")).join(classes.select("set_id", "n"), "set_id")
-    groups = shared.select("low", "set_id").distinct().join(most, "set_id").join(sizes, "set_id")
-    groups = written(groups.select("low", "set_id", "n", "last", "most"), "groups")
+    groups = shared.join(most, "set_id").join(sizes, "set_id")
+    groups = written(groups.select("low", "set_id", "n", "last", "most", "home"), "groups")
     discard(postings)
     links = reduce(DataFrame.unionByName, _links(groups, docs, classes, clashing))
     discard(groups)
