@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, the word separators of every operator here: space and \x09-\x0D.
 WHITE = r"[\x20\x09-\x0D]"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
+#: Batches to Python are bounded in rows and bytes, so that neither side holds many long texts at once.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Bytes of text that a function on texts takes at a time.
+PART = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +49,14 @@ def free_name(wanted: str, *frames: DataFrame) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
+    """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
+    if not where and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        # Driver and executors are one process of this machine.
         where = tempfile.mkdtemp(prefix="lorespring-")
         spark.conf.set("spark.checkpoint.dir", where)
+    if not where:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
@@ -67,3 +80,50 @@ def discard(df: DataFrame) -> None:
         jvm = df.sparkSession._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release() -> None:
+    """Give memory that this worker has freed back to the system: workers live on and serve later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in bounded batches; a worker gives its memory back at the end of a task."""
+    for name, value in BATCHES.items():
+        df.sparkSession.conf.set(name, value)
+
+    def run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def grouped(groups: GroupedData, function: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``applyInPandas``; a worker gives its memory back after each group."""
+
+    def run(key, rows):
+        try:
+            return function(key, rows)
+        finally:
+            release()
+
+    return groups.applyInPandas(run, schema)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = PART) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about ``size`` bytes of the texts in a column; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

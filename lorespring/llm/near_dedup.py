@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import written
+from lorespring.llm.common import grouped, mapped, written
 from lorespring.llm.components import components, forest
 
 #: Vectors that the centroids are fitted on, at most, and rounds of fitting.
@@ -129,7 +129,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     if centres is None:
         compared = spark.createDataFrame([], "id long, links long, root long")
     else:
-        assigned = written(distinct.mapInArrow(assign, _ASSIGNED), "cells")
+        assigned = written(mapped(distinct, assign, _ASSIGNED), "cells")
         place = ["label", "width", "cell"]
         blocks = assigned.groupBy(*place).agg(
             F.ceil(F.count_if(~F.col("visits")) / BLOCK).cast("int").alias("members"),
@@ -151,7 +151,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             F.least("block", "other").alias("x"),
             F.greatest("block", "other").alias("y"),
         )
-        compared = dealt.groupBy(*place, "x", "y").applyInPandas(compare, "id long, links long, root long")
+        compared = grouped(dealt.groupBy(*place, "x", "y"), compare, "id long, links long, root long")
         compared = written(compared, "links")
 
     links = compared.groupBy("id").agg(F.sum("links").alias("links"))

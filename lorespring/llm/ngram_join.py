@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import discard, written
+from lorespring.llm.common import discard, grouped, in_parts, mapped, written
 from lorespring.llm.components import components, forest
-from lorespring.llm.shingles import mixed, shingle_sets, texts_in_parts
+from lorespring.llm.shingles import mixed, shingle_sets
 
 #: A shingle counts as frequent from this many sightings; so many of the most frequent ones have a place in the order.
 FREQUENT, MOST_FREQUENT = 8, 400_000
@@ -51,16 +51,14 @@ TASK_SHINGLES, FEW = 500_000, 48
 SLICE = 512
 #: Tables of documents to verify up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
-#: Characters hashed at a time.
-PART = 1 << 20
+#: Shingles of a part of the input whose repeats are counted together.
+HELD = 4_000_000
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, some megabytes of text at a time."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in texts_in_parts(texts, PART):
-            yield ids[a:b], shingle_sets([t or "" for t in texts[a:b]])
+    """Ids and shingle sets, about a megabyte of text at a time."""
+    for part in in_parts(batches):
+        yield part.column(0).to_pylist(), shingle_sets([t or "" for t in part.column(1).to_pylist()])
 
 
 def _set_ids(members: np.ndarray, clashing: frozenset = frozenset()) -> tuple[int, int]:
@@ -77,25 +75,30 @@ def _batch(columns: list, names: list[str], types: list[pa.DataType]) -> pa.Reco
 def _scan(docs: DataFrame) -> DataFrame:
     """One row per document (true, doc_id, set_id, n, second id), and (false, null, shingle, sightings) for repeats.
 
-    Sightings count the distinct sets of a batch that hold a shingle, where two or more do. The batch's shingles are
-    counted in slices by value, so that little is copied at a time.
+    Sightings count the distinct sets of a part of the input that hold a shingle, where two or more do. A part's
+    shingles are counted in slices by value, so that little is copied at a time.
     """
     names, types = ["document", "doc_id", "item", "n", "more"], [pa.bool_(), *[pa.int64()] * 4]
 
+    def repeats(held: dict[int, np.ndarray]):
+        for low in range(0, 1 << 62, 1 << 59):
+            slices = (s[np.searchsorted(s, low) : np.searchsorted(s, low + (1 << 59))] for s in held.values())
+            shingles, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *slices]), return_counts=True)
+            if m := int((n > 1).sum()):
+                yield _batch([[False] * m, [None] * m, shingles[n > 1], n[n > 1], [None] * m], names, types)
+
     def scan(batches):
-        for batch in batches:
-            held: dict[int, np.ndarray] = {}
-            for ids, sets in _parts([batch]):
-                own = [_set_ids(s) for s in sets]
-                held.update(zip(own, sets, strict=True))
-                yield _batch([[True] * len(ids), ids, [x for x, _ in own], [len(s) for s in sets], [y for _, y in own]], names, types)
-            for low in range(0, 1 << 62, 1 << 59):
-                slices = (s[np.searchsorted(s, low) : np.searchsorted(s, low + (1 << 59))] for s in held.values())
-                shingles, n = np.unique(np.concatenate([np.empty(0, dtype=np.int64), *slices]), return_counts=True)
-                if m := int((n > 1).sum()):
-                    yield _batch([[False] * m, [None] * m, shingles[n > 1], n[n > 1], [None] * m], names, types)
+        held: dict[int, np.ndarray] = {}
+        for ids, sets in _parts(batches):
+            own = [_set_ids(s) for s in sets]
+            held.update(zip((x for x, _ in own), sets, strict=True))
+            yield _batch([[True] * len(ids), ids, [x for x, _ in own], [len(s) for s in sets], [y for _, y in own]], names, types)
+            if sum(map(len, held.values())) > HELD:
+                yield from repeats(held)
+                held.clear()
+        yield from repeats(held)
 
-    return docs.mapInArrow(scan, "document boolean, doc_id long, item long, n long, more long")
+    return mapped(docs, scan, "document boolean, doc_id long, item long, n long, more long")
 
 
 def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int, clashing: frozenset) -> DataFrame:
@@ -164,8 +167,8 @@ def _postings(docs: DataFrame, frequent: np.ndarray, n_blocks: int, clashing: fr
         new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))[: len(low)])
         return pd.DataFrame({"info": False, "low": low[new], "set_id": owner[new], "keys": np.diff(np.append(new, len(low)))})
 
-    packed = docs.mapInArrow(cut, "block long, keys binary, sets binary")
-    return packed.groupBy("block").applyInPandas(shared, "info boolean, low long, set_id long, keys long")
+    packed = mapped(docs, cut, "block long, keys binary, sets binary")
+    return grouped(packed.groupBy("block"), shared, "info boolean, low long, set_id long, keys long")
 
 
 def needed(n_a: np.ndarray, n_b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> np.ndarray:
@@ -338,7 +341,7 @@ def _members(wanted: DataFrame, docs: DataFrame, classes: DataFrame, clashing: f
             columns = [[_set_ids(s, clashing)[0] for s in full], [s.tobytes() for s in full]]
             yield _batch(columns, ["set_id", "members"], [pa.int64(), pa.binary()])
 
-    found = docs.join(chosen, "doc_id", "left_semi").mapInArrow(members, "set_id long, members binary")
+    found = mapped(docs.join(chosen, "doc_id", "left_semi"), members, "set_id long, members binary")
     out = written(found, "members")
     if out.count() > wanted.count():  # repeated ids
         once = written(out.dropDuplicates(["set_id"]), "members")
@@ -363,7 +366,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     small = groups.join(listed.select("low"), "low", "left_anti")
     n_blocks = max(1, groups.count() // BLOCK_ROWS)
     columns = "low long, set_id long, n long, last long, most long"
-    pruned = small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")).applyInPandas(_prune, columns)
+    pruned = grouped(small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")), _prune, columns)
     pruned = written(pruned, "pruned")
     crowd = written(groups.join(listed.where("parts > 0"), "low"), "crowd")
     members = _members(pruned.select("set_id").unionByName(crowd.select("set_id")), docs, classes, clashing)
@@ -374,7 +377,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     for way in range(2 if n_large else 0):
         part = F.pmod(F.xxhash64("set_id", F.lit(way)), F.col("parts"))
         tasks.append(crowd.where("home = low").drop("home").withColumn("task", -1 - F.pmod(F.xxhash64("low", part, F.lit(way)), F.lit(1 << 62))).drop("parts"))
-    near = reduce(DataFrame.unionByName, tasks).join(members, "set_id").groupBy("task").applyInPandas(_compare, "a long, b long")
+    near = grouped(reduce(DataFrame.unionByName, tasks).join(members, "set_id").groupBy("task"), _compare, "a long, b long")
     near = written(near, "near-links")
     out = [near]
     if n_large:
@@ -397,7 +400,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
         dealt = dealt.select(
             "low", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "set_id", "component", "n", "last", "most"
         )
-        far = dealt.join(members, "set_id").groupBy("low", "x", "y").applyInPandas(_compare_blocks, "a long, b long")
+        far = grouped(dealt.join(members, "set_id").groupBy("low", "x", "y"), _compare_blocks, "a long, b long")
         out.append(written(far, "far-links"))
         discard(known)
     for df in (pruned, crowd, members, large):

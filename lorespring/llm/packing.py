@@ -22,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespring.llm.common import grouped, in_parts, mapped
 from lorespring.llm.word_tokens import encoder
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 #: Documents a packing group gets on average; a group is one task's unit of work.
 GROUP_DOCS = 2048
+#: Up to about so many groups, each is a partition of the shuffle.
+MANY_PARTS = 4096
 
 _CUT = "doc_id long, start long, length long, doc_tokens long, spread long, ids binary, crc long"
 _PIECE = (
@@ -84,25 +87,23 @@ def pack(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer_path, ranks_path), end_id.to_bytes(4, "little")
         row = 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                cols = [[] for _ in range(7)]
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = enc.ids_of(text or "") + end
-                    total = len(ids) // 4
-                    row += 1
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        n, full = len(piece) // 4, len(piece) == 4 * capacity
-                        kept = None if full else np.frombuffer(piece, "<u4").tobytes()
-                        for c, v in zip(cols, (doc, start, n, total, row, kept, zlib.crc32(piece)), strict=True):
-                            c.append(v)
-                types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                    names=["doc_id", "start", "length", "doc_tokens", "spread", "ids", "crc"],
-                )
+        for part in in_parts(batches):
+            cols = [[] for _ in range(7)]
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids = enc.ids_of(text or "") + end
+                total = len(ids) // 4
+                row += 1
+                for start in range(0, total, capacity):
+                    piece = ids[4 * start : 4 * (start + capacity)]
+                    n, full = len(piece) // 4, len(piece) == 4 * capacity
+                    kept = None if full else np.frombuffer(piece, "<u4").tobytes()
+                    for c, v in zip(cols, (doc, start, n, total, row, kept, zlib.crc32(piece)), strict=True):
+                        c.append(v)
+            types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                names=["doc_id", "start", "length", "doc_tokens", "spread", "ids", "crc"],
+            )
 
     def place(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "start", "crc", "spread"], kind="stable", ignore_index=True)
@@ -133,6 +134,7 @@ def pack(
         )
         return pd.concat([packed, whole], ignore_index=True)[names] if len(packed) else whole[names]
 
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, _CUT)
+    pieces = mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, _CUT)
     group = F.pmod(F.xxhash64("doc_id", "start", "spread"), F.lit(n_groups)).alias("packing_group")
-    return pieces.withColumn("packing_group", group).groupBy("packing_group").applyInPandas(place, _PIECE)
+    pieces = pieces.withColumn("packing_group", group).repartition(min(n_groups, MANY_PARTS + n_groups // 64), "packing_group")
+    return grouped(pieces.groupBy("packing_group"), place, _PIECE)

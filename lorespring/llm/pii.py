@@ -7,7 +7,8 @@ A term that is near one entity in almost every text that holds it discloses the
 stands; the entity itself is generalised to its kind.
 
 Counts go by distinct text, so copies of a text are no evidence by themselves. Terms are looked up in blocks of
-bounded size, so any number of them is handled.
+bounded size, a pass over the texts for each, so any number of them is handled. Near an entity are the eight words
+before and after it; words are runs of letters of any length, and those inside of entities are left out.
 
 Defined results: a null text is an empty one, without spans; texts of any length are searched whole, in linear time;
 repeated rows get their spans each; an empty table gives an empty result. Only doc_id and text are read by ``find``;
@@ -17,14 +18,18 @@ repeated rows get their spans each; an empty table gives an empty result. Only d
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import blake2b, sha256
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import discard, free_name, written
+from lorespring.llm.common import BATCHES, discard, free_name, in_parts, mapped, release, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -33,10 +38,11 @@ DIGIT = re.compile("[0-9]")
 NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+#: A word is a run of letters; a term is one of four or more.
+WORD, TERM = re.compile(r"[^\W\d_]+"), re.compile(r"[^\W\d_]{4,}")
 
-#: Words on either side of an entity that count as near it.
-WINDOW = 8
+#: Words on either side of an entity that count as near it, whatever else lies between.
+WINDOW, LEAST = 8, 4
 #: A term discloses an entity if so many distinct texts show them together, at this share of all texts with the term,
 #: with so many bits of mutual information.
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.8, 3.0
@@ -104,33 +110,56 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class Covered:
+    """Where a text's spans lie, overlapping ones as one."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b) - 1
+        return k >= 0 and self.ends[k] > a
+
+
+def entity_of(text: str, kind: str, start: int, end: int) -> str:
+    return f"{kind}:{''.join(text[start:end].lower().split())}"
+
+
 def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
-    """(term, entity) for the words near each span that are no part of one."""
+    """(term, entity): the terms among the ``WINDOW`` words before and after each span, words in spans left out."""
+    covered = Covered(spans)
+    words = [m.span() for m in WORD.finditer(text)]
+    words = [w for w in words if not covered.touches(*w)]
+    starts = [a for a, _ in words]
     out = set()
     for kind, start, end in spans:
-        entity = f"{kind}:{''.join(text[start:end].lower().split())}"
-        before = text[max(0, start - 24 * WINDOW) : start].split()[-WINDOW:]
-        after = text[end : end + 24 * WINDOW].split()[:WINDOW]
-        for part in (" ".join(before), " ".join(after)):
-            inside = base_spans(part)
-            for m in TERM.finditer(part):
-                if not any(s < m.end() and m.start() < e for _, s, e in inside):
-                    out.add((m[0].lower(), entity))
+        entity = entity_of(text, kind, start, end)
+        before, after = bisect_left(starts, start), bisect_left(starts, end)
+        for a, b in words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]:
+            if b - a >= LEAST:
+                out.add((text[a:b].lower(), entity))
     return out
 
 
-def term_spans(text: str, terms: frozenset, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The disclosing terms of a text, outside of base spans."""
+def term_spans(text: str, terms: frozenset, spans: list[tuple[str, int, int]]) -> list[Span]:
+    """Where the terms stand in a text, outside of base spans."""
     if not terms or terms.isdisjoint(w.lower() for w in set(TERM.findall(text))):
         return []
+    covered = Covered(spans)
     found = (m.span() for m in TERM.finditer(text) if m[0].lower() in terms)
-    return [("term", a, b) for a, b in found if not any(s < b and a < e for _, s, e in spans)]
+    return [s for s in found if not covered.touches(*s)]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True)
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+    for part in in_parts(batches, column):
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
 def _tables(rows: Iterator[tuple], schema: pa.Schema, size: int = 2048) -> Iterator[pa.RecordBatch]:
@@ -163,17 +192,17 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
     def pairs(batches):
         def rows():
-            for (text,) in _texts(batches):
+            for (text,) in _texts(batches, 0):
                 if text and (spans := base_spans(text)):
                     digest = _digest(text)
                     for term, entity in near_terms(text, spans):
                         yield term, entity, digest
-                    for entity in {f"{k}:{''.join(text[s:e].lower().split())}" for k, s, e in spans}:
+                    for entity in {entity_of(text, *s) for s in spans}:
                         yield None, entity, digest
 
         return _tables(rows(), pair_schema)
 
-    near = docs.select("text").mapInArrow(pairs, "term string, entity string, digest binary").distinct()
+    near = mapped(docs.select("text"), pairs, "term string, entity string, digest binary").distinct()
     near = written(near, "pii-near")
     counts = near.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_TEXTS)
     entities = counts.where(F.col("term").isNull()).select("entity", F.col("n_both").alias("n_entity"))
@@ -181,12 +210,12 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     least = near.where(F.col("term").isNotNull()).groupBy("term").agg(F.count_distinct("digest").alias("n_near"))
     both = counts.join(least, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_near")).drop("n_near")
     both = written(both, "pii-pairs")
-    holding = None
+    counted = []
     for block in _blocks(both.select("term").distinct()):
 
         def holders(batches, block=block):
             def rows():
-                for (text,) in _texts(batches):
+                for (text,) in _texts(batches, 0):
                     if text and (hit := block.intersection({w.lower() for w in set(TERM.findall(text))})):
                         digest = _digest(text)
                         for term in hit:
@@ -194,53 +223,85 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
 
             return _tables(rows(), text_schema)
 
-        part = docs.select("text").mapInArrow(holders, "term string, digest binary").distinct()
-        part = part.groupBy("term").agg(F.count("*").alias("n_term"))
-        holding = part if holding is None else holding.unionByName(part)
-    if holding is None:
+        part = mapped(docs.select("text"), holders, "term string, digest binary").distinct()
+        counted.append(written(part.groupBy("term").agg(F.count("*").alias("n_term")), "pii-holding"))
+    if counted:
+        holding = reduce(DataFrame.unionByName, counted)
+    else:
         holding = docs.sparkSession.createDataFrame([], "term string, n_term long")
     n_docs = max(1, docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0])
     scored = both.join(holding, "term").join(entities, "entity")
     scored = scored.withColumn("share", F.col("n_both") / F.col("n_term"))
     scored = scored.withColumn("bits", F.log2(F.col("share") * n_docs / F.col("n_entity")))
     out = written(scored.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)), "pii-terms")
-    discard(near)
+    for df in (near, both, *counted):
+        discard(df)
     return out
 
 
+def _packed(spans: list[Span]) -> str:
+    return ",".join(f"{a}:{b}" for a, b in spans)
+
+
+def _unpacked(spans: str) -> list[Span]:
+    return [tuple(map(int, s.split(":"))) for s in spans.split(",")] if spans else []
+
+
+def _looked_up(docs: DataFrame, terms: DataFrame | None, found: str) -> tuple[DataFrame, frozenset]:
+    """``docs`` with a column of the term spans found so far, and the block of terms that is left to look up.
+
+    Each block but the last is a pass of its own over the texts, so no task holds more terms than one block.
+    """
+    for name, value in BATCHES.items():
+        docs.sparkSession.conf.set(name, value)
+    terms = disclosing_terms(docs) if terms is None else terms
+    out, last = docs.withColumn(found, F.lit("")), frozenset()
+    for block in _blocks(terms.select("term").distinct()):
+        if last:
+
+            @F.pandas_udf("string")
+            def more(texts, spans, block=last):
+                return pd.Series(
+                    [s if not t else _packed(_unpacked(s) + term_spans(t, block, base_spans(t))) for t, s in zip(texts, spans, strict=True)],
+                    dtype=object,
+                )
+
+            out = written(out.withColumn(found, more("text", found)), "pii-looked-up")
+        last = block
+    return out, last
+
+
 def find(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, n_term, base_sha256 and spans for each row of ``docs``."""
-    terms = disclosing_terms(docs) if terms is None else terms
-    sets = list(_blocks(terms.select("term").distinct())) or [frozenset()]
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    plain, last = _looked_up(plain, terms, "found")
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
     types = [pa.int64()] * 6 + [pa.string()] * 2
     schema = pa.schema(list(zip(names, types, strict=True)))
 
     def spans_of(batches):
         def rows():
-            for doc, text in _texts(batches):
+            for doc, text, found in _texts(batches, 1):
                 text = text or ""
                 base = base_spans(text)
-                every = base + sorted(s for t in sets for s in term_spans(text, t, base))
+                every = base + [("term", *s) for s in sorted(_unpacked(found) + term_spans(text, last, base))]
                 told = [f"{k}:{s}:{e}" for k, s, e in every]
                 digest = sha256(",".join(told[: len(base)]).encode()).hexdigest()
-                yield doc, *(sum(k == x[0] for x in every) for k in KINDS), digest, ",".join(told)
+                counts = Counter(k for k, _, _ in every)
+                yield doc, *(counts[k] for k in KINDS), digest, ",".join(told)
 
         return _tables(rows(), schema)
 
     kinds = "n_email long, n_ip long, n_card long, n_phone long, n_term long"
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return plain.mapInArrow(spans_of, f"doc_id long, {kinds}, base_sha256 string, spans string")
+    return mapped(plain, spans_of, f"doc_id long, {kinds}, base_sha256 string, spans string")
 
 
-def mask(text: str, sets: list[frozenset]) -> str:
+def mask(text: str, terms: frozenset, found: list[Span] = ()) -> str:
     """The text with each span replaced by its kind; overlapping spans become one, named by the first."""
     base = base_spans(text)
-    every = sorted((s, e, k) for k, s, e in base + [x for t in sets for x in term_spans(text, t, base)])
-    if not every:
-        return text
+    every = [(s, e, k) for k, s, e in base] + [(s, e, "term") for s, e in [*found, *term_spans(text, terms, base)]]
     out, at, end = [], 0, 0
-    for s, e, kind in every:
+    for s, e, kind in sorted(every):
         if s >= end:
             out += [text[at:s] if at < s else "", f"[{kind.upper()}]"]
         end = at = max(end, e)
@@ -249,17 +310,19 @@ def mask(text: str, sets: list[frozenset]) -> str:
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """``docs`` with personal data generalised to its kind and disclosing terms removed from the text."""
-    terms = disclosing_terms(docs) if terms is None else terms
-    sets = list(_blocks(terms.select("term").distinct())) or [frozenset()]
+    columns, found = docs.columns, free_name("found", docs)
+    docs, last = _looked_up(docs, terms, found)
 
     @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: mask(t, sets) if t else t)
+    def masked(texts, spans):
+        out = [mask(t, last, _unpacked(s)) if t else t for t, s in zip(texts, spans, strict=True)]
+        release()
+        return pd.Series(out, dtype=object)
 
     name = free_name("masked_text", docs)
-    out = docs.withColumn(name, masked("text"))
-    if "n_chars" in docs.columns:
+    out = docs.withColumn(name, masked("text", found))
+    if "n_chars" in columns:
         changed = ~F.col(name).eqNullSafe(F.col("text"))
         length = F.length(name).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col(name)).drop(name)
+    return out.withColumn("text", F.col(name)).select(columns)

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import written
-from lorespring.llm.shingles import SHINGLE, mixed, texts_in_parts, token_sequences
+from lorespring.llm.common import discard, grouped, in_parts, mapped, written
+from lorespring.llm.shingles import SHINGLE, mixed, token_sequences
 
 #: Tokens of a passage: 50 words.
 PASSAGE = 46
@@ -56,7 +56,6 @@ LEADERS, MORE = 32, 8
 BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 #: Tables of texts to verify up to this size are broadcast; larger ones are joined by shuffle.
 BROADCAST_DOCS = 1_000_000
-PART = 1 << 20
 #: A stored window: its group, text, first passage, and from there to the last passage and to the minimum.
 _PACKED = np.dtype([("key", "<i8"), ("text", "<i8"), ("lo", "<i4"), ("wide", "u1"), ("at", "u1")])
 _WINDOW = "key long, text long, lo long, hi long, at long"
@@ -92,10 +91,9 @@ def minima(tokens: np.ndarray, seed: np.uint64, starts: np.ndarray | None = None
 
 
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(column).to_pylist()
-        for a, b in texts_in_parts(texts, PART):
-            yield ids[a:b], texts[a:b], token_sequences([t or "" for t in texts[a:b]])
+    for part in in_parts(batches, column):
+        ids, texts = part.column(0).to_pylist(), part.column(column).to_pylist()
+        yield ids, texts, token_sequences([t or "" for t in texts])
 
 
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -148,7 +146,7 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
         out["hi"], out["at"] = out["lo"] + out.pop("wide"), out["lo"] + out["at"]
         return pd.DataFrame(out)[["key", "text", "lo", "hi", "at"]]
 
-    packed = docs.select("doc_id", "text").mapInArrow(cut, "block long, windows binary")
+    packed = mapped(docs.select("doc_id", "text"), cut, "block long, windows binary")
     return packed.groupBy("block").applyInPandas(shared, _WINDOW)
 
 
@@ -249,7 +247,7 @@ def _tokens(wanted: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFr
             yield _batch([[text_id(texts[i]) for i in long], [rows[i].astype("<u4").tobytes() for i in long]], schema)
 
     chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(tokens, "text long, tokens binary").dropDuplicates(["text"])
+    return mapped(chosen, tokens, "text long, tokens binary").dropDuplicates(["text"])
 
 
 def _places(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -293,7 +291,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
     left = grouped.join(chosen.withColumnRenamed("text", "a"), "a").withColumn("left", stretch(F.col("low"))).drop("tokens")
     both = left.join(chosen.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
     both = both.select("a", "b", "shift", "low", "high", "places", "left", "right")
-    return written(both.mapInArrow(compare, "a long, i long, b long, j long, n long"), "repeats")
+    return written(mapped(both, compare, "a long, i long, b long, j long, n long"), "repeats")
 
 
 def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -369,7 +367,7 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
         for *_, tokens, _, at in parts(batches):
             yield _batch([*np.unique(tokens[at], return_counts=True)], counts)
 
-    usual = joined.mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    usual = mapped(joined, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     usual = usual.where("n > 3").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
     known, often = (usual.column(c).to_numpy().astype(np.uint64) for c in ("token", "n"))
 
@@ -385,7 +383,7 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
             of = np.searchsorted(begin, place, side="right") - 1
             yield _batch([tokens[place].astype(np.int64), texts[of], lo - begin[of], hi - begin[of], place - begin[of]], schema)
 
-    return joined.mapInArrow(postings, "sig long, text long, s long, e long, c long")
+    return mapped(joined, postings, "sig long, text long, s long, e long, c long")
 
 
 def _left_over(pool: DataFrame, hits: DataFrame, docs: DataFrame, first_docs: DataFrame, n_blocks: int) -> list[DataFrame]:
@@ -423,7 +421,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         for ids, texts, rows in _parts(batches, 1):
             yield _batch([ids, [text_id(t or "") for t in texts], [len(r) for r in rows]], schema)
 
-    listed = docs.mapInArrow(scan, "doc_id long, text long, n long").where(F.col("n") >= PASSAGE)
+    listed = mapped(docs, scan, "doc_id long, text long, n long").where(F.col("n") >= PASSAGE)
     listed = written(listed.distinct(), "passage-scan")
     total = (listed.agg(F.sum("n")).first()[0] or 0) * 2 * HASHES // PASSAGE
     n_blocks = max(1, min(total // BLOCK_WINDOWS, MANY_BLOCKS), total // LARGE_BLOCK)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import shared_dir
+from lorespring.llm.common import in_parts, mapped, shared_dir
 from lorespring.llm.word_tokens import encoder, version_of
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
@@ -49,14 +49,14 @@ def count_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        for batch in batches:
+        for batch in in_parts(batches):
             counts = [enc.count(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([version] * len(counts), pa.string()), batch.column("digest"), pa.array(counts, pa.int64())],
                 names=["tokenizer", "digest", "n_tokens"],
             )
 
-    misses.select("digest", "text").mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    mapped(misses.select("digest", "text"), encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
     cache = cache.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # appenders may race
     sizes = docs.select(

@@ -2,7 +2,10 @@
 
 Neither public tokenizer lets a token reach from a non-space character into the white space after it, so a text can be
 cut before each white-space run and the pieces encoded apart. ``WordEncoder`` keeps the result for pieces already
-seen; it is a bounded memo around the library, not a tokenizer. Tests hold it against the library text by text.
+seen; it is a bounded memo around the library, not a tokenizer. Where a file of the same vocabulary's byte-level ranks is
+given, new pieces go through ``tiktoken``, which encodes many in one call; ids are those of ``tokenizers`` all the same,
+and tests hold both against it text by text, on random Unicode too. Null texts are up to the callers; an empty text
+has no ids; odd white space and special strings send a text to the library whole.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ class WordEncoder:
     go to ``tokenizers`` whole, as those with odd white space do.
     """
 
-    def __init__(self, path: str, limit: int = 400_000, ranks: str | None = None):
+    def __init__(self, path: str, limit: int = 100_000, ranks: str | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
