@@ -1,16 +1,19 @@
 """Main-text extraction by wrapper induction.
 
 Pages of one host are grouped, in chunks of bounded size, and their DOM trees are aligned by simple tree matching:
-two nodes match when they have the same tag and class, and the children of matching nodes are aligned in order by
-dynamic programming over the number of matched nodes below; the page whose tree has the most usual shape is the one
-aligned with. A node whose text is the same on most of a chunk's distinct pages is template; what varies is a slot. The
-text of a page is the blocks of its content slots: those of the article where the page marks one, else every slot that
-is not a menu, header, footer, sidebar, notice, advert, form or comment. Pages with the same article, whatever stands
-around it, are one page as evidence, so that an article copied all over a host is no template.
+two nodes match when they have the same tag and class, siblings of one kind are one repeated slot, and the children of
+matching nodes are aligned in order so that the most nodes match below; as kinds are distinct by then, that is a
+heaviest increasing subsequence, and the work is linear in the pages but for a logarithm. The page whose tree has the
+most usual shape is the one aligned with. A node whose text is the same on most of a chunk's distinct pages is
+template; what varies is a slot. The text of a page is the blocks of its content slots: those of the article where the
+page marks one, else every slot that is not a menu, header, footer, sidebar, notice, advert, form or comment. Class
+words that article text may carry too (``SOFT_WORDS``) set apart nothing inside an article. Pages with the same
+article, whatever stands around it, are one page as evidence, so that an article copied all over a host is no template.
 
 Defined results: null or empty html gives an empty text; a page alone on its host is read by its marks only; hosts
 come from the URL (null: one host of its own); repeated rows and copies of a page count once as evidence and each get
-their text; broken markup is closed where HTML closes it; pages of any length are read whole; an empty table gives an
+their text; broken markup is closed where HTML closes it, and a tag that nothing closes is text; pages of any length and depth are
+read whole, in linear time; an empty table gives an
 empty result. Only page_id, url and html are read, so other columns may have any names.
 """
 
@@ -19,11 +22,13 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorespring.llm.common import grouped
 from lorespring.llm.url_filters import host_of
 
 #: Pages that are aligned together, on average and at least; a host with twice as many pages has more chunks.
@@ -62,25 +67,26 @@ NOT_TEXT = RAW | set(
 NOT_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register "
-    "sidebar side widget widgets related recommended recommendations share sharing social comment comments respond "
-    "replies discussion disqus breadcrumb breadcrumbs menu menus nav navigation navbar topbar toolbar header masthead "
-    "footer foot pagination pager skip search copyright legal".split()
+    "sidebar widget widgets related recommended recommendations share sharing social comment comments disqus "
+    "breadcrumb breadcrumbs menu menus nav navigation navbar topbar toolbar masthead footer pagination pager".split()
 )
+# Such words that tell nothing inside an article.
+SOFT_WORDS = set("side foot header respond replies discussion skip search copyright legal".split())
 NOT_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)", re.S)
+TAG_END = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
 class Node:
     """An element: its tag, its class, whether it is set apart from the main text, and what it holds in order."""
 
-    __slots__ = ("tag", "sign", "apart", "items", "parent", "template")
+    __slots__ = ("tag", "sign", "apart", "inside", "items", "parent", "template", "print")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.parent, self.items, self.template = tag, parent, [], False
+        self.tag, self.parent, self.items, self.template, self.print = tag, parent, [], False, 0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
         self.sign = (tag, found.get("class", "").strip())
         words = set(re.findall("[a-z]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
@@ -90,55 +96,95 @@ class Node:
         if tag in ("html", "body", "main", "article"):
             self.apart |= tag == "article" and bool(words & {"comment", "comments", "reply", "related", "teaser", "promo"})
         else:
-            self.apart |= bool(words & NOT_WORDS)
+            self.apart |= bool(words & NOT_WORDS) or not self.inside and bool(words & SOFT_WORDS)
 
     def kids(self) -> list[Node]:
         return [x for x in self.items if isinstance(x, Node)]
 
 
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag, comment and declaration (both without a name), in linear time.
+
+    Quotes count behind an equals sign. Where a quoted value is never closed, quotes count no more from there on.
+    """
+    at, quotes = 0, True
+    while m := OPEN.search(page, at):
+        if m[2] is None:
+            yield m.start(), m.end(), "", "", ""
+            at = m.end()
+            continue
+        end = m.end()
+        while quotes and (e := TAG_END.search(page, end)):
+            if e[1] is None:
+                end = e.start()
+                break
+            shut = page.find(e[1], e.end())
+            if shut < 0:
+                quotes = False
+            end = shut + 1
+        else:
+            quotes = False
+            end = page.find(">", m.end())
+            if end < 0:
+                return
+        yield m.start(), end + 1, m[1], m[2].lower(), page[m.end() : end]
+        at = end + 1 if m[1] or m[2].lower() not in RAW else raw_end(page, end + 1, m[2].lower())
+
+
+def raw_end(page: str, at: int, tag: str) -> int:
+    """Where the raw text of an element and its end tag end."""
+    shut = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+    end = page.find(">", shut.end()) if shut else -1
+    return end + 1 if end >= 0 else len(page)
+
+
 def parse(page: str) -> Node:
     """The DOM tree, with the end tags that HTML lets a page leave out."""
     root = here = Node("#root", "", None)
-    at, end = 0, len(page)
+    at, still_open = 0, Counter()
 
-    def close(tags: set, scope: set) -> None:
+    def leave(node: Node) -> None:
         nonlocal here
+        while here is not node:
+            still_open[here.tag] -= 1
+            here = here.parent
+
+    def close(shut: set, scope: set) -> None:
+        if not any(still_open[t] for t in shut):
+            return
         x = here
         while x.parent is not None and x.tag not in scope:
-            if x.tag in tags:
-                here = x.parent
+            if x.tag in shut:
+                leave(x.parent)
                 return
             x = x.parent
 
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            here.items.append(page[at:])
-            break
-        if m.start() > at:
-            here.items.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    for start, end, slash, tag, attributes in tags(page):
+        if start > at:
+            here.items.append(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            x = here
-            while x.parent is not None and x.tag != tag:
-                x = x.parent
-            if x.parent is not None:
-                here = x.parent
+        if slash:
+            if still_open[tag]:
+                x = here
+                while x.tag != tag:
+                    x = x.parent
+                leave(x.parent)
             continue
         if tag in CLOSES_P:
             close({"p"}, P_SCOPE)
         if tag in CLOSES_OWN:
             close(*CLOSES_OWN[tag])
-        node = Node(tag, m[3], here)
+        node = Node(tag, attributes, here)
         here.items.append(node)
         if tag in RAW:
-            shut = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = shut.end() if shut else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            at = raw_end(page, end, tag)
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
             here = node
+            still_open[tag] += 1
+    if at < len(page):
+        here.items.append(page[at:])
     return root
 
 
@@ -187,36 +233,84 @@ def outermost(node: Node, wanted) -> list[Node]:
     return out
 
 
-def grouped_kids(node: Node) -> list[tuple[tuple, list[Node]]]:
-    """Children that can be aligned, neighbours of one kind as one."""
-    out: list[tuple[tuple, list[Node]]] = []
+def kinds(node: Node) -> dict[tuple, list[Node]]:
+    """Children that can be aligned, those of one kind together, kinds in the order of their first."""
+    out: dict[tuple, list[Node]] = {}
     for k in node.kids():
-        if k.apart or k.tag in PHRASING:
-            continue
-        if out and out[-1][0] == k.sign:
-            out[-1][1].append(k)
-        else:
-            out.append((k.sign, [k]))
+        if not k.apart and k.tag not in PHRASING:
+            out.setdefault(k.sign, []).append(k)
     return out
 
 
-def match(a: list[Node], b: list[Node]) -> tuple[int, list[tuple[list[Node], list[Node]]]]:
-    """Simple tree matching: the most nodes below two matching nodes that match in order, and which."""
-    left = grouped_kids(a[0]) if len(a) == 1 else []
-    right = grouped_kids(b[0]) if len(b) == 1 else []
-    if not left or not right:
-        return 1, [(a, b)]
-    best = [[(0, [])] * (len(right) + 1) for _ in range(len(left) + 1)]
-    for i, (sign, x) in enumerate(left):
-        for j, (other, y) in enumerate(right):
-            top = max(best[i][j + 1], best[i + 1][j], key=lambda t: t[0])
-            if sign == other:
-                n, pairs = match(x, y)
-                if best[i][j][0] + n > top[0]:
-                    top = (best[i][j][0] + n, best[i][j][1] + pairs)
-            best[i + 1][j + 1] = top
-    n, pairs = best[-1][-1]
-    return 1 + n, [(a, b), *pairs]
+def heaviest(places: list[int], weights: list[int]) -> list[int]:
+    """Which entries make the heaviest sequence of increasing places; places are distinct."""
+    order = {p: i for i, p in enumerate(sorted(places), 1)}
+    best: list[tuple[int, int]] = [(0, -1)] * (len(places) + 1)
+    before, last = [], (0, -1)
+    for k, (place, weight) in enumerate(zip(places, weights, strict=True)):
+        i, top = order[place] - 1, (0, -1)
+        while i > 0:
+            top = max(top, best[i])
+            i -= i & -i
+        before.append(top[1])
+        mine, i = (top[0] + weight, k), order[place]
+        last = max(last, mine)
+        while i < len(best):
+            best[i] = max(best[i], mine)
+            i += i & -i
+    out, k = [], last[1]
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def match(pattern: Node, tree: Node) -> list[tuple[Node, list[Node]]]:
+    """Simple tree matching: which nodes of a tree match which of the pattern's, so that the most do.
+
+    Nodes of one kind below one parent are a slot, named by the pattern's first of the kind.
+    """
+    pairs = [([pattern], [tree])]
+    below: list[list[tuple[list[int], list[int]]]] = []
+    for x, y in pairs:  # grows on the way
+        mine = []
+        for i, q in enumerate(y):
+            left, right = kinds(x[i] if len(x) == len(y) else x[0]), kinds(q)
+            place = {sign: k for k, sign in enumerate(left)}
+            common = [sign for sign in right if sign in left]
+            mine.append((list(range(len(pairs), len(pairs) + len(common))), [place[c] for c in common]))
+            pairs.extend((left[c], right[c]) for c in common)
+        below.append(mine)
+    weight, kept = [0] * len(pairs), [[] for _ in pairs]
+    for k in range(len(pairs) - 1, -1, -1):
+        weight[k] = len(pairs[k][1])
+        for ids, places in below[k]:
+            chosen = heaviest(places, [weight[i] for i in ids])
+            kept[k] += [ids[c] for c in chosen]
+            weight[k] += sum(weight[ids[c]] for c in chosen)
+    out, todo = [], [0]
+    while todo:
+        k = todo.pop()
+        out.append((pairs[k][0][0], pairs[k][1]))
+        todo.extend(kept[k])
+    return out
+
+
+def fingerprint(root: Node) -> None:
+    """Give each node a number that equal texts below it share; 0 where there is none."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(k for k in x.kids() if not k.apart)
+    for x in reversed(order):
+        parts = []
+        for i in x.items:
+            if isinstance(i, Node):
+                parts.append(i.print)
+            elif words := i.split():
+                parts.append(entities.unescape(" ".join(words)))
+        x.print = hash(tuple(p for p in parts if p)) if any(parts) else 0
 
 
 def article_roots(tree: Node) -> list[Node]:
@@ -227,16 +321,11 @@ def article_roots(tree: Node) -> list[Node]:
 
 
 def shape(tree: Node) -> tuple:
-    """The kinds of the nodes that can be aligned, two levels down."""
-    return tuple((sign, tuple(k for x in xs for k, _ in grouped_kids(x))) for sign, xs in aligned_level(tree))
-
-
-def aligned_level(tree: Node) -> list[tuple[tuple, list[Node]]]:
-    """The first grouped children below a tree's root that are not a lone html or body."""
-    level = grouped_kids(tree)
-    while len(level) == 1 and len(level[0][1]) == 1 and level[0][0][0] in ("html", "body"):
-        level = grouped_kids(level[0][1][0])
-    return level
+    """The kinds of the nodes that can be aligned, two levels down from the body."""
+    level = kinds(tree)
+    while len(level) == 1 and len(only := next(iter(level.values()))) == 1 and only[0].tag in ("html", "body"):
+        level = kinds(only[0])
+    return tuple((sign, tuple(k for x in xs for k in kinds(x))) for sign, xs in level.items())
 
 
 def induce(trees: list[Node]) -> None:
@@ -249,20 +338,22 @@ def induce(trees: list[Node]) -> None:
     shapes = [shape(trees[i]) for i in sorted(distinct.values())]
     usual = Counter(shapes).most_common(1)[0][0]
     pattern = trees[sorted(distinct.values())[shapes.index(usual)]]
-    seen: dict[tuple[int, tuple], int] = defaultdict(int)
+    seen: dict[tuple[int, int], int] = defaultdict(int)
     aligned = []
     for i, tree in enumerate(trees):
-        own = set()
-        for mine, others in match([pattern], [tree])[1]:
-            for node in others:
-                key = (id(mine[0]), tuple(blocks(node)))
-                aligned.append((key, node))
-                own.add(key)
+        fingerprint(tree)
+        own = {}
+        for mine, nodes in match(pattern, tree):
+            for node in nodes:
+                own.setdefault((id(mine), node.print), []).append(node)
+        aligned.append(own)
         if distinct[texts[i]] == i:
             for key in own:
                 seen[key] += 1
-    for key, node in aligned:
-        node.template = key[1] != () and seen[key] >= least
+    for own in aligned:
+        for key, nodes in own.items():
+            for node in nodes:
+                node.template = key[1] != 0 and seen[key] >= least
 
 
 def main_text(tree: Node) -> str:
@@ -279,7 +370,7 @@ def extract(pages: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64("page_id", "url"), F.col("n_chunks"))
     chunked = pages.join(hosts, "host").withColumn("chunk", chunk)
 
-    def of_chunk(group: pd.DataFrame) -> pd.DataFrame:
+    def of_chunk(_key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("page_id", kind="stable")
         trees = [parse(x or "") for x in group["html"]]
         induce(trees)
@@ -288,4 +379,4 @@ def extract(pages: DataFrame) -> DataFrame:
             {"page_id": group["page_id"], "url": group["url"], "text": texts, "n_chars": [len(t) for t in texts]}
         )
 
-    return chunked.groupBy("host", "chunk").applyInPandas(of_chunk, "page_id long, url string, text string, n_chars long")
+    return grouped(chunked.groupBy("host", "chunk"), of_chunk, "page_id long, url string, text string, n_chars long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -157,6 +158,8 @@ PAGE = (
         ("<article><p title='a>b'>x</p><p hidden>y</p></article>", "x"),
         ("<article></article>", ""),
         ("<p>5 < 6 and <3</p>", "5 < 6 and <3"),
+        ("<article><p class='side note'>in</p><div class='legal analysis'>too</div><div class='comments'>no</div></article>", "in\ntoo"),
+        ("<article><p title=it's>a</p><p title='b>b</p><p>c</article>", "a\nb\nc"),
     ],
 )
 def test_main_text_of_one_page(inner, want):
@@ -189,3 +192,52 @@ def test_template_inside_articles_is_dropped_and_a_copied_article_kept(spark):
     assert {got[i] for i in range(100, 108)} == {"One title\nRead it first with us.\nOne body."} and got[-1] == "Odd."
     for first, n in ((0, 8), (200, 25)):
         assert [got[first + i] for i in range(n)] == [f"Title {i}\nBody {i} of its own." for i in range(n)]
+
+
+def brute_match(a, b):
+    """The most nodes of two trees that match, all ways tried; kinds of siblings are distinct."""
+    left, right = (list(html_extract.kinds(x).values()) for x in (a, b))
+
+    def best(i, j):
+        if i == len(left) or j == len(right):
+            return 0
+        n = max(best(i + 1, j), best(i, j + 1))
+        if left[i][0].sign == right[j][0].sign:
+            n = max(n, brute_match(left[i][0], right[j][0]) + best(i + 1, j + 1))
+        return n
+
+    return 1 + best(0, 0)
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth):
+        if not depth:
+            return ""
+        return "".join(f"<div class='{c}'>{tree(depth - 1)}</div>" for c in rng.sample("abcdef", rng.randrange(1, 6)))
+
+    for _ in range(60):
+        a, b = (html_extract.parse(tree(3)) for _ in range(2))
+        assert sum(len(nodes) for _, nodes in html_extract.match(a, b)) == brute_match(a, b)
+    for _ in range(300):
+        n = rng.randrange(8)
+        places, weights = rng.sample(range(20), n), [rng.randrange(1, 9) for _ in range(n)]
+        rising = lambda ks: all(places[x] < places[y] for x, y in zip(ks, ks[1:]))
+        ways = [[k for k in range(n) if bits >> k & 1] for bits in range(1 << n)]
+        got = html_extract.heaviest(places, weights)
+        assert rising(got) and sum(weights[k] for k in got) == max(sum(weights[k] for k in w) for w in ways if rising(w))
+
+
+def test_deep_long_and_broken_pages_take_linear_time(spark):
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    many = "".join(f"<h2>t{i}</h2><p>text {i}</p>" for i in range(3000))
+    quotes = "<a title='" * 5000 + "x"
+    odd = "<p>" + "<a b=\">\" " * 5000 + "end"
+    inline = "<b>" * 5000 + "<p>x" * 5000
+    rows = [(i, "https://a.org/", p + f"<p>{i}</p>") for i, p in enumerate([deep, many, quotes, odd, inline, "</p>" * 5000 + "<script" * 5000] * 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    begun = time.perf_counter()
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert time.perf_counter() - begun < 60
+    assert got[0] == "deep\n0" and got[1].startswith("t0\ntext 0\nt1") and got[1].endswith("text 2999\n1") and len(got) == 12
