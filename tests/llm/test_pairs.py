@@ -172,9 +172,30 @@ def test_one_id_with_two_texts_joins_their_groups(spark):
     assert {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect()} == {(5, 3), (3, 3), (9, 3)}
 
 
+def test_an_id_with_several_vectors_has_the_links_of_all(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SPLIT", 6)
+    monkeypatch.setattr(near_dedup, "CELL", 3)
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(6, 8))
+    data = []
+    for i in range(60):
+        for _ in range(1 + int(rng.integers(0, 3)) * (i % 3 == 0)):
+            p = points[int(rng.integers(0, 6))]
+            data.append((i, (p + rng.normal(scale=0.05, size=8) * int(rng.integers(0, 2))).tolist(), int(rng.integers(0, 2))))
+    data += [(3, None, 1), (3, data[0][1], None)]
+    good = [(i, np.array(v) / np.linalg.norm(v), k) for i, v, k in data if v is not None and k is not None]
+    links = {(a, b) for a, x, k in good for b, y, m in good if a != b and k == m and x @ y >= 0.93}
+    want = closed(range(60), links)
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = [(r.vec_id, r.n_links, r.component_id) for r in near_dedup.near_duplicates(df).collect()]
+    assert sorted(got) == sorted((i, len({b for a, b in links if a == i}), want[i]) for i, _, _ in data)
+
+
 @pytest.mark.parametrize("cell,block", [(1024, 1024), (10, 7)])
 def test_near_vectors_equal_brute_force(spark, monkeypatch, cell, block):
     monkeypatch.setattr(near_dedup, "CELL", cell)
+    monkeypatch.setattr(near_dedup, "SPLIT", 2 * cell)
+    monkeypatch.setattr(near_dedup, "CHUNK", 5 * cell)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     rng = np.random.default_rng(4)
     points = rng.normal(size=(60, 16))
