@@ -330,25 +330,33 @@ def _compare_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": a, "b": b})[a != b]
 
 
-def _members(wanted: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> DataFrame:
-    """(set_id, members) of the sets in ``wanted``."""
-    wanted = written(wanted.select("set_id").distinct().join(classes, "set_id").select("doc_id"), "to-compare")
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_DOCS else wanted
+def _with_members(rows: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> DataFrame:
+    """``rows`` with a column of the members of their set_id, taken from the first document that has the set.
+
+    Up to ``BROADCAST_DOCS`` rows go to the documents, so that sets are shuffled once, to their tasks; more than that
+    meet the sets in a join.
+    """
+    light = written(rows.join(classes.select("set_id", "doc_id"), "set_id"), "to-compare")
+    few = light.count() <= BROADCAST_DOCS
+    more = F.collect_list(F.struct(*(c for c in rows.columns if c != "set_id"))).alias("rows")
+    by_doc = light.groupBy("doc_id", "set_id").agg(more) if few else light.select("doc_id", "set_id").distinct()
+    by_doc = written(by_doc, "to-hash")
+    chosen = docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id").select("doc_id", "text", "set_id", *(["rows"] if few else []))
 
     def members(batches):
-        for _, sets in _parts(batches):
-            full = [s for s in sets if len(s)]
-            columns = [[_set_ids(s, clashing)[0] for s in full], [s.tobytes() for s in full]]
-            yield _batch(columns, ["set_id", "members"], [pa.int64(), pa.binary()])
-
-    found = mapped(docs.join(chosen, "doc_id", "left_semi"), members, "set_id long, members binary")
-    out = written(found, "members")
-    if out.count() > wanted.count():  # repeated ids
-        once = written(out.dropDuplicates(["set_id"]), "members")
-        discard(out)
-        out = once
-    discard(wanted)
-    return out
+        for part in in_parts(batches):
+            sets = shingle_sets([t or "" for t in part.column(1).to_pylist()])
+            same = pa.array([_set_ids(s, clashing)[0] == i for s, i in zip(sets, part.column(2).to_pylist(), strict=True)])
+            columns = [pa.array([s.tobytes() for s in sets], pa.binary()), *part.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["members", *part.schema.names[2:]]).filter(same)
+
+    kind = chosen.schema["rows"].dataType.simpleString() if few else ""
+    found = mapped(chosen, members, f"members binary, set_id long, rows {kind}" if few else "members binary, set_id long")
+    if docs.join(F.broadcast(by_doc.select("doc_id")) if few else by_doc, "doc_id", "left_semi").count() > by_doc.count():
+        found = found.dropDuplicates(["set_id"])  # ids that several rows have
+    if few:
+        return found.select("set_id", "members", F.explode("rows").alias("row")).select("set_id", "members", "row.*")
+    return light.drop("doc_id").join(found, "set_id")
 
 
 def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> list[DataFrame]:
@@ -369,7 +377,6 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     pruned = grouped(small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")), _prune, columns)
     pruned = written(pruned, "pruned")
     crowd = written(groups.join(listed.where("parts > 0"), "low"), "crowd")
-    members = _members(pruned.select("set_id").unionByName(crowd.select("set_id")), docs, classes, clashing)
 
     # Small groups are compared whole; of large ones, the parts of two random ways to cut them.
     n_tasks = max(1, (pruned.agg(F.sum("n")).first()[0] or 0) // TASK_SHINGLES)
@@ -377,8 +384,8 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     for way in range(2 if n_large else 0):
         part = F.pmod(F.xxhash64("set_id", F.lit(way)), F.col("parts"))
         tasks.append(crowd.where("home = low").drop("home").withColumn("task", -1 - F.pmod(F.xxhash64("low", part, F.lit(way)), F.lit(1 << 62))).drop("parts"))
-    near = grouped(reduce(DataFrame.unionByName, tasks).join(members, "set_id").groupBy("task"), _compare, "a long, b long")
-    near = written(near, "near-links")
+    tasks = _with_members(reduce(DataFrame.unionByName, tasks), docs, classes, clashing)
+    near = written(grouped(tasks.groupBy("task"), _compare, "a long, b long"), "near-links")
     out = [near]
     if n_large:
         # What is still apart: the sets outside a group's main component meet all the others, block against block.
@@ -400,10 +407,11 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
         dealt = dealt.select(
             "low", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "set_id", "component", "n", "last", "most"
         )
-        far = grouped(dealt.join(members, "set_id").groupBy("low", "x", "y"), _compare_blocks, "a long, b long")
+        dealt = _with_members(dealt, docs, classes, clashing)
+        far = grouped(dealt.groupBy("low", "x", "y"), _compare_blocks, "a long, b long")
         out.append(written(far, "far-links"))
         discard(known)
-    for df in (pruned, crowd, members, large):
+    for df in (pruned, crowd, large):
         discard(df)
     return out
 
