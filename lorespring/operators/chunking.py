@@ -6,6 +6,8 @@ lines, headings, paragraphs and ids around it are plain expressions. Offsets are
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -26,64 +28,68 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError(f"overlap must be in [0, {size}), not {overlap}")
 
 
+class Blanks:
+    """The white-space runs of a text, for looking up words and ends by place."""
+
+    def __init__(self, text: str):
+        self.runs = [m.span() for m in re.finditer(r"\s+", text)]
+        self.starts = [a for a, _ in self.runs]
+
+    def word_from(self, place: int) -> int:
+        """The first place from here on that is not white space."""
+        k = bisect_right(self.starts, place) - 1
+        return max(place, self.runs[k][1]) if k >= 0 else place
+
+    def last_between(self, low: int, high: int) -> int | None:
+        """The last white space after ``low`` and before ``high``."""
+        k = bisect_left(self.starts, high) - 1
+        found = min(self.runs[k][1], high) - 1 if k >= 0 else low
+        return found if found > low else None
+
+
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Span]:
-    """Windows of at most ``size`` characters that begin at a word and end before white space where they can."""
-    out, at, n = [], 0, len(text)
-    while True:
-        while at < n and text[at].isspace():
-            at += 1
-        if at >= n:
-            return out
-        end = min(at + size, n)
-        if end < n:
-            inner = next((i for i in range(end - 1, at, -1) if text[i].isspace()), end)
-            end = inner
-        out.append((at, end))
-        if end == n:
-            return out
-        at = max(end - overlap, at + 1)
+    """Windows of at most ``size`` characters that begin at a word and end before white space where they can.
+
+    The next one begins ``overlap`` characters before the end, but later than the one before.
+    """
+    blanks, spans = Blanks(text), []
+    begin = blanks.word_from(0)
+    while begin + size < len(text):
+        stop = blanks.last_between(begin, begin + size) or begin + size
+        spans.append((begin, stop))
+        begin = blanks.word_from(max(stop - overlap, begin + 1))
+    return spans + [(begin, len(text))] * (begin < len(text))
+
+
+def _fitted(text: str, low: int, high: int, size: int, marks: Sequence[str]) -> Iterator[Span]:
+    """The stretch from ``low`` to ``high`` in spans of at most ``size``, ended behind the coarsest mark that it holds."""
+    if high - low <= size:
+        yield low, high
+        return
+    for finer, mark in enumerate(marks, 1):
+        ends = [m.end() for m in re.compile(re.escape(mark)).finditer(text, low, high)]
+        if ends:
+            break
+    else:
+        yield from ((low + a, low + b) for a, b in windows(text[low:high], size, 0))
+        return
+    ends += [high] * (ends[-1] < high)
+    while low < high:
+        first = bisect_right(ends, low)
+        reach = bisect_right(ends, low + size) - 1
+        if reach >= first:
+            yield low, ends[reach]
+            low = ends[reach]
+        else:
+            yield from _fitted(text, low, ends[first], size, marks[finer:])
+            low = ends[first]
 
 
 def recursive_spans(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[Span]:
-    """Pieces by the coarsest separator that a part holds, merged up to ``size``, each reaching back over the last one."""
-
-    def pieces(part: str, base: int, left: Sequence[str]) -> Iterator[Span]:
-        if len(part) <= size:
-            if part.strip():
-                yield base, base + len(part)
-            return
-        found = next((i for i, s in enumerate(left) if s in part), None)
-        if found is None:
-            yield from ((base + a, base + b) for a, b in windows(part, size, 0))
-            return
-        mark, at, open_at = left[found], 0, 0
-        ends = []
-        while (hit := part.find(mark, at)) >= 0:
-            at = hit + len(mark)
-            ends.append(at)
-        if at < len(part):
-            ends.append(len(part))
-        closed = 0
-        for end in ends:
-            if end - open_at <= size:
-                closed = end
-                continue
-            if closed > open_at:
-                if part[open_at:closed].strip():
-                    yield base + open_at, base + closed
-                open_at = closed
-            if end - open_at > size:
-                yield from pieces(part[open_at:end], base + open_at, left[found + 1 :])
-                open_at = end
-            closed = end
-        if closed > open_at and part[open_at:closed].strip():
-            yield base + open_at, base + closed
-
-    spans = list(pieces(text, 0, separators))
-    out = spans[:1]
-    for (before, _), (start, end) in zip(spans, spans[1:]):
-        out.append((start - max(0, min(overlap, size - (end - start), start - before)), end))
-    return out
+    """Spans that end at separators, the coarsest first; each reaches back over the one before as far as sizes allow."""
+    plain = [(a, b) for a, b in _fitted(text, 0, len(text), size, separators) if not text[a:b].isspace() and a < b]
+    reach = [0] + [min(overlap, size - (b - a), a - before) for (before, _), (a, b) in zip(plain, plain[1:])]
+    return [(a - max(0, r), b) for (a, b), r in zip(plain, reach)]
 
 
 def _exploded(df: DataFrame, spans: Column) -> DataFrame:

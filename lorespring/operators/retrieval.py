@@ -52,11 +52,22 @@ def first_of(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
 
 
 def deduplicated(passages: DataFrame) -> DataFrame:
-    """Of (query_id, rank, id, text), the first of each id and then of each text with white space folded."""
-    once = passages.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("rank")))
-    once = once.where("nth = 1").withColumn("key", T.fold_white(F.col("text")))
-    once = once.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "key").orderBy("rank")))
-    return once.where("nth = 1").drop("nth", "key")
+    """Of (query_id, rank, id, text) in order, what has neither an id nor a text (white space folded) kept before.
+
+    A row that falls by its text doesn't make its id known, so the rows of a query are gone through in order; they are
+    the pool of one ranking, which is bounded.
+    """
+    keyed = passages.withColumn("key", T.fold_white(F.col("text")))
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, seen, kept = rows.sort_values("rank"), set(), []
+        for i, key in zip(rows["id"], rows["key"], strict=True):
+            new = ("id", i) not in seen and ("text", key) not in seen
+            kept.append(new)
+            seen |= {("id", i), ("text", key)} if new else set()
+        return rows.loc[kept].drop(columns="key")
+
+    return keyed.groupBy("query_id").applyInPandas(fold, passages.schema)
 
 
 def within_budget(

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespring.operators.steps import written
+
 
 def new_rows(existing: DataFrame, batch: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The rows of a batch to append: the first of each key, where the table hasn't the key yet."""
+    """The rows of a batch to append: the first of each key, where the table hasn't the key yet; nulls are equal."""
     first = batch.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return first.where("nth = 1").drop("nth").join(existing.select(*keys), keys, "left_anti")
+    first, known = first.where("nth = 1").drop("nth").alias("n"), existing.select(*keys).alias("o")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return first.join(known, reduce(lambda a, b: a & b, same), "left_anti")
 
 
 def upserted(existing: DataFrame, batch: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
@@ -32,7 +38,8 @@ def labelled(existing: DataFrame, batch: DataFrame, key: str, order: str) -> Dat
     known = batch.join(existing.select(key, "label"), key, "left")
     fresh = known.where("label is null").drop("label")
     top = existing.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
-    ranged = fresh.repartitionByRange(order).withColumn("part", F.spark_partition_id())
+    # Written once: the number of a range must be the same for its rows and its size.
+    ranged = written(fresh.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
     ranged = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(order)))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -50,15 +50,19 @@ def nearest(
     k: int,
     scores: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosine_scores,
     descending: bool = True,
+    by: str | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k rows nearest to each query, ties by id.
 
     ``queries`` has (query_id, vector) and ``rows`` (id, vector); vectors of another width than the queries' are left
-    out. Queries are read block by block in order of id.
+    out. Queries are read block by block in order of id. ``by`` names a column of whole numbers of ``rows``: then the k
+    nearest of each of its values are found in the same pass, and the column comes along; rows without one are left out.
     """
     n_blocks = -(-queries.count() // QUERY_BLOCK)
     sign = -1.0 if descending else 1.0
     found = None
+    schema = "query_id long, id long, score double" + (f", {by} long" if by else "")
+    names = ["query_id", "id", "score", *([by] if by else [])]
     for number in range(n_blocks):
         part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
         held = part.select("query_id", "vector").toArrow()
@@ -71,7 +75,8 @@ def nearest(
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     vectors = batch.column("vector").slice(at, 2048).to_pylist()
-                    fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1]]
+                    groups = batch.column(2).slice(at, 2048).to_pylist() if by else [0] * len(vectors)
+                    fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and groups[i] is not None]
                     if not fits:
                         continue
                     own = batch.column("id").to_numpy(zero_copy_only=False)[at:][fits]
@@ -79,21 +84,20 @@ def nearest(
                     own = own[order]
                     table = np.array([vectors[i] for i in fits], dtype=np.float64)[order]
                     got = scores(matrix, table)
-                    best = np.argsort(sign * got, axis=1, kind="stable")[:, :k]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(ids, best.shape[1])),
-                            pa.array(own[best].ravel()),
-                            pa.array(np.take_along_axis(got, best, axis=1).ravel()),
-                        ],
-                        names=["query_id", "id", "score"],
-                    )
-
-        scored = rows.select("id", "vector").mapInArrow(score, "query_id long, id long, score double")
+                    group = np.array([groups[i] for i in fits], dtype=np.int64)[order]
+                    for value in np.unique(group):
+                        of = np.flatnonzero(group == value)
+                        best = of[np.argsort(sign * got[:, of], axis=1, kind="stable")[:, :k]]
+                        n = best.shape[1]
+                        columns = [np.repeat(ids, n), own[best].ravel(), np.take_along_axis(got, best, axis=1).ravel()]
+                        columns += [np.full(len(ids) * n, value)] * bool(by)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*names])
+
+        scored = rows.select("id", "vector", *([F.col(by).cast("long").alias(by)] if by else [])).mapInArrow(score, schema)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
-        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    return ranked(found, ["query_id"], F.desc("score") if descending else F.asc("score"), F.asc("id"), limit=k)
+        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
+    return ranked(found, ["query_id", *([by] if by else [])], F.desc("score") if descending else F.asc("score"), F.asc("id"), limit=k)
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column, limit: int | None = None) -> DataFrame:

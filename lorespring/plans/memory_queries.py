@@ -19,11 +19,11 @@ def turn_range(spark, sf_dir):
     return turns(spark, sf_dir).where(F.col("turn").between(1, 3)).select("conv_id", "turn", "role", "text")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id % 2 = 0 AND NOT (conv_id = 4 AND turn >= 2)")
+@query("SELECT conv_id, turn, NOT (conv_id = 4 AND turn >= 2) AS in_scope FROM conversations")
 def turns_in_scope(spark, sf_dir):
-    rows = turns(spark, sf_dir)
-    scope = (F.col("conv_id") % 2 == 0) & memory.in_scope(F.col("conv_id"), F.col("turn"), None, 4, 2)
-    return rows.where(scope).select("conv_id", "turn")
+    """Every turn with whether a search from turn 2 of conversation 4 may see it."""
+    scope = memory.in_scope(F.col("conv_id"), F.col("turn"), None, 4, 2)
+    return turns(spark, sf_dir).select("conv_id", "turn", scope.alias("in_scope"))
 
 
 @query("""SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3""")

@@ -135,13 +135,10 @@ _LISTS = f"{_DENSE}, {_LABEL}, lists AS (SELECT query_id, 'a_cosine' AS list, id
 
 
 def two_lists(spark, sf_dir) -> DataFrame:
-    near = vector_queries(spark, sf_dir).select("query_id", F.col("vector").alias("q"), "label").join(vector_rows(spark, sf_dir), "label")
-    square = F.aggregate(
-        F.zip_with("q", "vector", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
-        F.lit(0.0), lambda s, x: s + x,
-    )
-    near = near.select("query_id", "id", F.round(square, 6).alias("score"))
-    near = vectors.ranked(near, ["query_id"], F.asc("score"), F.asc("id"), limit=K)
+    queries = vector_queries(spark, sf_dir)
+    scores = lambda q, r: vectors.l2_scores(q, r).round(6)
+    near = vectors.nearest(queries, vector_rows(spark, sf_dir), K, scores, descending=False, by="label")
+    near = near.join(queries.select("query_id", F.col("label").cast("long").alias("label")), ["query_id", "label"])
     a = dense(spark, sf_dir).select("query_id", F.lit("a_cosine").alias("list"), "id", "rank")
     return a.unionByName(near.select("query_id", F.lit("b_label").alias("list"), "id", "rank"))
 
@@ -244,12 +241,8 @@ def resolved_projects(spark, sf_dir):
     """The project (label) whose best vector is nearest to each query, and how far ahead it is."""
     queries, rows = vector_queries(spark, sf_dir), vector_rows(spark, sf_dir)
     scores = lambda q, r: vectors.cosine_scores(q, r).round(6)
-    labels = [r.label for r in rows.select("label").distinct().where("label is not null").orderBy("label").collect()]
-    best = None
-    for label in labels:
-        two = vectors.nearest(queries, rows.where(F.col("label") == label), 2, scores).where("id <> query_id")
-        two = two.groupBy("query_id").agg(F.max("score").alias("score")).withColumn("project", F.lit(label))
-        best = two if best is None else best.unionByName(two)
+    best = vectors.nearest(queries, rows, 2, scores, by="label").where("id <> query_id")
+    best = best.groupBy("query_id", F.col("label").cast("int").alias("project")).agg(F.max("score").alias("score"))
     order = vectors.ranked(best, ["query_id"], F.desc("score"), F.asc("project"), limit=2)
     pair = order.groupBy("query_id").agg(
         F.max_by("project", -F.col("rank")).alias("project"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespring.operators import screening, tables
+from lorespring.operators import acquisition, screening, tables
 from lorespring.plans.registry import query, read
 
 
@@ -150,12 +150,6 @@ WITH RECURSIVE up AS (SELECT n_nationkey AS id, n_nationkey AS root, 0 AS depth
 SELECT id, root, depth FROM up""")
 def transitive_dependents(spark, sf_dir):
     """Each job with what it depends on, however far: nations hang on the one before, every fifth on none."""
-    nations = read(spark, sf_dir, "nation")
-    nations.createOrReplaceTempView("lorespring_jobs")
-    return spark.sql("""
-        WITH RECURSIVE up AS (
-          SELECT n_nationkey AS id, n_nationkey AS root, 0 AS depth FROM lorespring_jobs WHERE n_nationkey % 5 = 0
-          UNION ALL
-          SELECT n.n_nationkey, up.root, up.depth + 1 FROM up JOIN lorespring_jobs n
-            ON n.n_nationkey = up.id + 1 AND n.n_nationkey % 5 > 0)
-        SELECT id, root, depth FROM up""")
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
+    edges = nations.where("id % 5 > 0").select("id", (F.col("id") - 1).alias("needs"))
+    return acquisition.dependents(edges, nations.where("id % 5 = 0"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
-from lorespring.operators import chunking, lexical, memory, retrieval, screening, tables, vectors
+from lorespring.operators import acquisition, chunking, lexical, memory, retrieval, screening, tables, vectors
 from lorespring.sources import files, generations
 from lorespring.streaming import sync
 
@@ -211,7 +211,7 @@ def test_files_of_every_kind(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: r for r in files.extracted(files.scan(spark, str(tmp_path / "in"))).collect()}
     text = {k: r.text for k, r in got.items()}
     assert text["d.docx"] == "## Head\ntext\na | b" and text["s.pptx"] == "# Top\npoint" and text["x.xlsx"] == "# ONE\nhi | 3"
-    assert text["p.html"] == "# T\na & b" and text["j.json"] == "a[0]: 1\na[1].b: x\nc: null" and text["bad.json"] == "{nope"
+    assert text["p.html"] == "# T\na & b" and text["j.json"] == "a[0]: 1\na[1].b: x\nc: None" and text["bad.json"] == "{nope"
     assert text["n.ipynb"] == "a\nb\n\nc" and text["latin.txt"] == "café" and text["utf16.txt"] == "hey" and text["noend"] == "plain"
     assert got["bin.txt"].error == "binary file" and got["q.pdf"].error and "empty.txt" not in got and "h.txt" not in got
     rows = [(n, bytearray(c)) for n, c in contents.items()] + [("f.pdf", bytearray(b"nope")), ("x", bytearray(b"a"))]
@@ -253,3 +253,24 @@ def test_text_functions_are_unicode_aware(spark):
     t = F.col("t")
     r = df.select(T.words(t), T.fold_white(t), T.strip_white(t)).first()
     assert r[0] == ["naïve", "STRASSE", "x"] and r[1] == "naïve STRASSE x" and r[2] == "naïve  STRASSE\t x"
+
+
+def test_an_id_that_falls_by_its_text_is_not_seen(spark):
+    rows = [(1, 1, 1, "X"), (1, 2, 2, " X "), (1, 3, 2, "Y"), (1, 4, 1, "Z"), (2, 1, 1, "X")]
+    df = spark.createDataFrame(rows, "query_id long, rank int, id long, text string")
+    got = sorted((r.query_id, r.rank) for r in retrieval.deduplicated(df).collect())
+    assert got == [(1, 1), (1, 3), (2, 1)]
+
+
+def test_dependents_of_long_chains_and_cycles(spark):
+    edges = [(i, i - 1) for i in range(1, 12)] + [(100, 101), (101, 100)]
+    jobs = spark.createDataFrame(edges, "id long, needs long")
+    roots = spark.createDataFrame([(0,), (100,)], "id long")
+    got = {(r.id, r.root, r.depth) for r in acquisition.dependents(jobs, roots).collect()}
+    assert got == {(i, 0, i) for i in range(12)} | {(100, 100, 0), (101, 100, 1)}
+
+
+def test_new_rows_with_null_keys_are_added_once(spark):
+    old = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
+    new = spark.createDataFrame([(1, "c"), (None, "d"), (2, "e")], "k long, v string")
+    assert [tuple(r) for r in tables.new_rows(old, new, ["k"], F.col("v")).collect()] == [(2, "e")]
