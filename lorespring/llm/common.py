@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the word separators of every operator here: space and \x09-\x0D.
 WHITE = r"[\x20\x09-\x0D]"
@@ -117,6 +118,20 @@ def grouped(groups: GroupedData, function: Callable[[tuple, pd.DataFrame], pd.Da
     return groups.applyInPandas(run, schema)
 
 
+def cogrouped(
+    left: GroupedData, right: GroupedData, function: Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str | StructType
+) -> DataFrame:
+    """``cogroup`` and ``applyInPandas``; a worker gives its memory back after each group."""
+
+    def run(key, rows, others):
+        try:
+            return function(key, rows, others)
+        finally:
+            release()
+
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
 def in_parts(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = PART) -> Iterator[pa.RecordBatch]:
     """The batches in slices with about ``size`` bytes of the texts in a column; a longer text is a slice of its own."""
     for batch in batches:

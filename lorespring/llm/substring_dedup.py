@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespring.llm.common import discard, grouped, in_parts, mapped, written
+from lorespring.llm.common import cogrouped, discard, grouped, in_parts, mapped, written
 from lorespring.llm.shingles import SHINGLE, mixed, token_sequences
 
 #: Tokens of a passage: 50 words.
@@ -51,7 +51,7 @@ RAREST = PASSAGE - IN_PLACE + 1
 #: Tokens whose count every task knows; only the order of tokens depends on it.
 FREQUENT = 400_000
 #: Members of a group that what is left is compared with at first; so many times more up to each later round.
-LEADERS, MORE = 32, 8
+LEADERS, MORE = 8, 8
 #: Windows of a block, at first and once there are many blocks.
 BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 #: Tables of texts to verify up to this size are broadcast; larger ones are joined by shuffle.
@@ -147,7 +147,7 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
         return pd.DataFrame(out)[["key", "text", "lo", "hi", "at"]]
 
     packed = mapped(docs.select("doc_id", "text"), cut, "block long, windows binary")
-    return packed.groupBy("block").applyInPandas(shared, _WINDOW)
+    return grouped(packed.groupBy("block"), shared, _WINDOW)
 
 
 def joined_intervals(
@@ -234,9 +234,13 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return out.where((F.col("a") != F.col("b")) | (F.abs(F.col("i") - F.col("j")) >= PASSAGE + SHINGLE - 1))
 
 
-def _tokens(wanted: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
-    """(text, tokens) of the texts in ``wanted``, tokens as 32-bit numbers."""
-    wanted = written(wanted.select("text").distinct().join(first_docs, "text").select("doc_id"), "passage-texts")
+def _chosen(texts: DataFrame, first_docs: DataFrame) -> DataFrame:
+    """The first document of each text that is named."""
+    return written(texts.select("text").distinct().join(first_docs, "text").select("doc_id"), "passage-texts")
+
+
+def _tokens(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(text, tokens) of the texts of the documents ``wanted``, tokens as 32-bit numbers."""
     if wanted.count() <= BROADCAST_DOCS:
         wanted = F.broadcast(wanted)
     schema = pa.schema([("text", pa.int64()), ("tokens", pa.binary())])
@@ -263,11 +267,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
     texts with one shift between them are compared together; only that stretch of each text's tokens is joined to them.
     """
     i, n = F.col("i"), F.col("n")
-    grouped = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(
+    by_shift = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(
         F.min(i).alias("low"), F.max(i + n).alias("high"), F.collect_set(F.struct("i", "n")).alias("places")
     )
-    grouped = written(grouped, "passage-pairs")
-    chosen = written(_tokens(grouped.select(F.explode(F.array("a", "b")).alias("text")), docs, first_docs), "tokens")
+    by_shift = written(by_shift, "passage-pairs")
+    wanted = _chosen(by_shift.select(F.explode(F.array("a", "b")).alias("text")), first_docs)
+    tokens = written(_tokens(wanted, docs), "tokens")
 
     def stretch(first):
         length = (F.col("high") - F.col("low") + PASSAGE - 1) * 4
@@ -288,10 +293,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
                 first = at - begin[of] + low[of]
                 yield _batch([a[of], first, b[of], first - shift[of], length], out)
 
-    left = grouped.join(chosen.withColumnRenamed("text", "a"), "a").withColumn("left", stretch(F.col("low"))).drop("tokens")
-    both = left.join(chosen.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
+    left = by_shift.join(tokens.withColumnRenamed("text", "a"), "a").withColumn("left", stretch(F.col("low"))).drop("tokens")
+    both = left.join(tokens.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
     both = both.select("a", "b", "shift", "low", "high", "places", "left", "right")
-    return written(mapped(both, compare, "a long, i long, b long, j long, n long"), "repeats")
+    hits = written(mapped(both, compare, "a long, i long, b long, j long, n long"), "repeats")
+    for done in (by_shift, wanted, tokens):
+        discard(done)
+    return hits
 
 
 def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -317,7 +325,7 @@ def _uncovered(rows: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
     def left(_key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         return rows[~covered(*(rows[c].to_numpy() for c in ("text", "s", "e")), *(runs[c].to_numpy() for c in ("text", "at", "n")))]
 
-    return by_block[0].cogroup(by_block[1]).applyInPandas(left, rows.schema)
+    return cogrouped(*by_block, left, rows.schema)
 
 
 def rarest(order: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -343,8 +351,9 @@ def rarest(order: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
     """(sig, text, s, e, c): in the pool's passages from s to e, the token sig at place c is one of the rarest."""
     places = pool.groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("places"))
-    joined = places.join(_tokens(pool, docs, first_docs), "text").select("text", "places", "tokens")
-    joined = written(joined, "left-texts")
+    wanted = _chosen(pool, first_docs)
+    joined = written(places.join(_tokens(wanted, docs), "text").select("text", "places", "tokens"), "left-texts")
+    discard(wanted)
     counts = pa.schema([("token", pa.int64()), ("n", pa.int64())])
     schema = pa.schema([(c, pa.int64()) for c in ("sig", "text", "s", "e", "c")])
 
@@ -383,28 +392,37 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
             of = np.searchsorted(begin, place, side="right") - 1
             yield _batch([tokens[place].astype(np.int64), texts[of], lo - begin[of], hi - begin[of], place - begin[of]], schema)
 
-    return mapped(joined, postings, "sig long, text long, s long, e long, c long")
+    out = written(mapped(joined, postings, "sig long, text long, s long, e long, c long"), "rarest")
+    discard(joined)
+    return out
+
+
+def _both(left: DataFrame, members: DataFrame) -> DataFrame:
+    """Candidates of each row that is left with each other member of its group (sig, text, s, e, c)."""
+    ends = [t.select("sig", F.struct("text", "s", "e", "c").alias(n)) for t, n in ((left, "x"), (members, "y"))]
+    both = ends[0].join(ends[1], "sig").where("x != y")
+    both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    fields = [F.col(f"{o}.{c}").alias(f"{c}_{t}") for o, t in ("xa", "yb") for c in "sec"]
+    return _aligned(both.select(F.col("x.text").alias("a"), F.col("y.text").alias("b"), *fields))
 
 
 def _left_over(pool: DataFrame, hits: DataFrame, docs: DataFrame, first_docs: DataFrame, n_blocks: int) -> list[DataFrame]:
     """Runs (a, i, b, j, n) of the pool's passages that repeat others of the pool, until each is covered or met all."""
-    every = written(_by_rarest(pool, docs, first_docs), "rarest")
-    several = every.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
-    every = written(every.join(several, "sig"), "rarest-shared")
+    postings = _by_rarest(pool, docs, first_docs)
+    several = postings.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
+    every = written(postings.join(several, "sig"), "rarest-shared")
+    discard(postings)
     left = written(_uncovered(every, hits, n_blocks), "left-over")
     share = F.pmod(F.xxhash64("sig", "text", "s"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("members")
     out, low, high = [], 0, LEADERS
     while not left.isEmpty():
         leaders = every.where((share >= low) & (share < high))
-        ends = [t.select("sig", F.struct("text", "s", "e", "c").alias(n)) for t, n in ((left, "x"), (leaders, "y"))]
-        both = ends[0].join(ends[1], "sig").where("x != y")
-        both = both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        pairs = both.select(
-            F.col("x.text").alias("a"), F.col("y.text").alias("b"), *(F.col(f"{o}.{c}").alias(f"{c}_{t}") for o, t in ("xa", "yb") for c in "sec")
-        )
-        out.append(_verified(_aligned(pairs), docs, first_docs))
-        left = written(_uncovered(left.where(F.col("members") > high), out[-1], n_blocks), "left-over")
-        low, high = high, high * MORE
+        out.append(_verified(_both(left, leaders), docs, first_docs))
+        after = written(_uncovered(left.where(F.col("members") > high), out[-1], n_blocks), "left-over")
+        discard(left)
+        left, low, high = after, high, high * MORE
+    discard(every)
+    discard(left)
     return out
 
 
@@ -434,8 +452,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         return out.assign(d=out["text"].map(first.set_index("text")["doc_id"]).astype("int64"))
 
     by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (windows, first_docs)]
-    signed = by_block[0].cogroup(by_block[1]).applyInPandas(signatures, "sig long, text long, s long, e long, c long, d long")
+    signed = cogrouped(*by_block, signatures, "sig long, text long, s long, e long, c long, d long")
     signed = written(signed, "signatures")
+    discard(windows)
     # The first of a group is its text of the smallest document.
     member = F.struct("d", "text", "s", "e", "c")
 
@@ -445,13 +464,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # Each member meets the first of its group. Passages that nothing covers then are looked up by their rarest tokens.
     groups = signed.groupBy("sig").agg(F.min(member).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(signed.drop("d").join(groups, "sig"), "signatures-shared")
+    discard(signed)
     ends = shared.select(*side("a"), F.col("p.text").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "sec"))
     hits = _verified(_aligned(ends), docs, first_docs)
     left = written(_uncovered(shared.select("sig", "text", "s", "e"), hits, n_blocks).select("sig").distinct(), "left-groups")
-    if not left.isEmpty():
-        pool = written(shared.join(left, "sig", "left_semi").select("text", "s", "e").distinct(), "left-members")
+    pool = written(shared.join(left, "sig", "left_semi").select("text", "s", "e").distinct(), "left-members")
+    discard(shared)
+    discard(left)
+    if not pool.isEmpty():
         for more in _left_over(pool, hits, docs, first_docs, n_blocks):
             hits = hits.unionByName(more)
+    discard(pool)
 
     # From places to spans, and from texts to documents.
     sides = [
