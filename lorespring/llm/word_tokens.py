@@ -31,6 +31,8 @@ ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file; ``limit`` bounds the memo's entries.
 
+    Counts are small numbers, so four times as many words have theirs kept as have their ids.
+
     ``ranks`` may name the same vocabulary as a file of byte-level ranks. New words are then encoded through it, many
     in one call, and told apart by the byte lengths of their tokens; it has no special tokens, so texts that hold one
     go to ``tokenizers`` whole, as those with odd white space do.
@@ -94,7 +96,7 @@ class WordEncoder:
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         pieces, memo = text.encode().split(), self.counts
         if missing := [p for p in set(pieces) if p not in memo]:
-            if len(memo) + len(missing) > self.limit:
+            if len(memo) + len(missing) > 4 * self.limit:
                 memo.clear()
                 missing = list(set(pieces))
             memo.update(zip(missing, map(len, self._encode(missing)), strict=True))
