@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
@@ -94,3 +94,83 @@ def outcome(done: Column, failed: Column) -> Column:
 def merged(listed: DataFrame, page: DataFrame, key: str) -> DataFrame:
     """A list with the rows of another page that it lacks; whoever shows it sorts it."""
     return listed.unionByName(page.join(listed.select(key), key, "left_anti").select(listed.columns))
+
+
+#: Fewer tokens at the start of a prompt are not worth keeping a state for.
+LEAST_PREFIX = 32
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many elements two arrays share at their start; nulls in both are equal."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    shorter = F.least(F.size(a), F.size(b))
+    return F.when(differs == 0, shorter).otherwise(F.least(differs - 1, shorter)).cast("int")
+
+
+def section_chars(tokens: Column) -> dict[str, Column]:
+    """Characters that each section of a prompt of so many tokens may take."""
+    chars = tokens * 4
+    shares = {"request": 4, "results": 3, "evidence": 5, "history": 6, "summary": 24}
+    return {name: F.floor(chars / F.lit(part)).cast("long") for name, part in shares.items()}
+
+
+def imported(existing: DataFrame, records: DataFrame) -> DataFrame:
+    """New rows (id, owner, given, name) of records (id, owner, name), renamed where an owner has the name already.
+
+    Ids that exist are left out. First come the records whose name is free, then all others in order of id, with the
+    smallest suffixes that are free; where the bare stem is free, the first takes it. The k-th free number is found
+    in one pass: each taken number is put behind the free ones below it.
+    """
+    new = records.join(existing.select("id"), "id", "left_anti")
+    suffix = F.regexp_extract("name", r" \((\d+)\)$", 1)
+
+    def split(df: DataFrame) -> DataFrame:
+        return df.withColumn("stem", T.name_stem(F.col("name"))).withColumn("k", F.when(suffix == "", 1).otherwise(suffix.try_cast("long")))
+
+    held = split(existing).select("owner", "stem", "k").distinct()
+    first = ranked(split(new), ["owner", "stem", "k"], F.asc("id")).join(held.withColumn("held", F.lit(True)), ["owner", "stem", "k"], "left")
+    keeps = F.col("held").isNull() & (F.col("rank") == 1)
+    kept = first.where(keeps).select("id", "owner", F.col("name").alias("given"), "name", "stem", "k")
+    taken = held.unionByName(kept.select("owner", "stem", "k")).distinct()
+    taken = ranked(taken, ["owner", "stem"], F.asc("k")).select("owner", "stem", (F.col("k") - F.col("rank")).alias("at"), F.lit(1).alias("is_taken"))
+    moved = ranked(first.where(~keeps).drop("rank"), ["owner", "stem"], F.asc("id")).select("owner", "stem", (F.col("rank") - 1).alias("at"), F.lit(0).alias("is_taken"), "id", F.col("name").alias("given"))
+    both = moved.unionByName(taken, allowMissingColumns=True)
+    # Free numbers below a taken one: those of the moved rows that stand before it.
+    same = Window.partitionBy("owner", "stem").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("number", F.col("at") + 1 + F.sum("is_taken").over(same)).where("is_taken = 0")
+    name = F.concat("stem", F.when(F.col("number") == 1, "").otherwise(F.concat(F.lit(" ("), F.col("number").cast("string"), F.lit(")"))))
+    return kept.drop("stem", "k").unionByName(both.select("id", "owner", "given", name.alias("name")))
+
+
+def canonical(rows: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """``rows`` with a name as it is already spelt in ``known`` (name), whatever the case; stripped where it is new."""
+    spelt = known.groupBy(F.lower("name").alias("key")).agg(F.min("name").alias("spelt"))
+    rows = rows.withColumn(column, T.strip_white(F.col(column))).withColumn("key", F.lower(column))
+    return rows.join(spelt, "key", "left").withColumn(column, F.coalesce("spelt", column)).drop("key", "spelt")
+
+
+def snapshot_history(snapshots: DataFrame, projects: DataFrame, *order: str) -> DataFrame:
+    """The snapshots of the given projects, each with its place in its project's history."""
+    return ranked(snapshots.join(projects, "project"), ["project"], *(F.asc(c) for c in order)).withColumnRenamed("rank", "place")
+
+
+def rebuild_due(pending: Column, forced: Column, least: int = 10_000) -> Column:
+    """Whether so many vectors wait that an index is built anew."""
+    return (pending >= least) | forced
+
+
+def vector_id_problem(vector_id: Column) -> Column:
+    """Why an id can't be stored; null for one that can."""
+    return F.when(vector_id.isNull(), "missing").when(vector_id < 0, "malformed")
+
+
+def skip_reason(reason: Column) -> dict[str, Column]:
+    """Status and code of a file that was left out, by what the ingestion says of it."""
+    quota, store = F.contains(reason, F.lit("storage limit")), F.contains(reason, F.lit("vector store"))
+    code = F.when(quota, "QUOTA_EXCEEDED").when(store, "VECTOR_STORE_UNAVAILABLE").when(reason == "no text", "NO_TEXT").otherwise("MALFORMED")
+    return {"status": F.when(quota | store, "NOT_INGESTED").otherwise("FAILED"), "code": code}
+
+
+def ready(jobs: DataFrame, blocked: DataFrame, key: str, by: list[str], *order: Column) -> DataFrame:
+    """Jobs that wait for nothing, in the order in which they are taken."""
+    return ranked(jobs.join(blocked.select(key), key, "left_anti"), by, *order)
