@@ -64,7 +64,7 @@ def search_results(spark, sf_dir):
 @query(f"""
 WITH c AS (SELECT q.vec_id AS query_id, 1 + d.vec_id % 5 AS round, d.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
-u AS (SELECT c.*, r.rounds FROM c JOIN (VALUES (1), (2), (3)) r(rounds) ON c.round <= r.rounds WHERE score >= 0.35),
+u AS (SELECT c.*, r.rounds FROM c JOIN (VALUES (1), (2), (3)) r(rounds) ON c.round <= r.rounds WHERE score >= 0.0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id, rounds ORDER BY score DESC, round, id) AS n FROM u QUALIFY n <= 12),
 v AS (SELECT query_id, rounds, CASE WHEN max(score) >= {FULL} THEN 'FULL' WHEN max(score) >= {PARTIAL} THEN 'PARTIAL' ELSE 'NONE' END AS verdict FROM k GROUP BY 1, 2),
 f AS (SELECT query_id, coalesce(min(rounds) FILTER (WHERE verdict = 'FULL'), max(rounds)) AS rounds FROM v GROUP BY 1)
@@ -74,7 +74,7 @@ def gathered_in_rounds(spark, sf_dir):
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("wanted"))
     pairs = asked.join(rows, "label").where("query_id <> vec_id").withColumn("s", F.round(cosine(F.col("wanted"), F.col("embedding")), 6))
     candidates = pairs.select("query_id", (1 + F.col("vec_id") % 5).alias("round"), F.col("vec_id").alias("id"), F.col("s").alias("topic_score"), F.col("s").alias("query_score"))
-    return discovery.acquired(candidates, most=12, on_partial=True).select("query_id", "id", "rounds", "verdict", "stored")
+    return discovery.acquired(candidates, floor=0.0, most=12, on_partial=True).select("query_id", "id", "rounds", "verdict", "stored")
 
 
 @query("""
@@ -124,18 +124,20 @@ def section_budgets(spark, sf_dir):
 
 
 @query("""
-WITH w AS (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
-p AS (SELECT doc_id, w, lag(w) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM w),
-i AS (SELECT doc_id, w, before, unnest(range(1, least(len(w), len(before)) + 1)) AS i FROM p),
-m AS (SELECT doc_id, min(i) AS first FROM i WHERE w[i] <> before[i] GROUP BY 1)
-SELECT p.doc_id, coalesce(m.first - 1, least(len(w), len(before)))::INTEGER AS shared, coalesce(m.first - 1, least(len(w), len(before))) >= 32 AS reused
-FROM p LEFT JOIN m USING (doc_id) WHERE before IS NOT NULL""")
+WITH t AS (SELECT conv_id, turn, string_agg(coalesce(text, ''), ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS t FROM conversations),
+p AS (SELECT conv_id, turn, string_split(t, ' ') AS w, lag(string_split(t, ' ')) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t),
+i AS (SELECT conv_id, turn, w, before, unnest(range(1, least(len(w), len(before)) + 1)) AS i FROM p),
+m AS (SELECT conv_id, turn, min(i) AS first FROM i WHERE w[i] <> before[i] GROUP BY 1, 2)
+SELECT p.conv_id, p.turn, coalesce(m.first - 1, least(len(w), len(before)))::INTEGER AS shared, coalesce(m.first - 1, least(len(w), len(before))) >= 32 AS reused
+FROM p LEFT JOIN m ON m.conv_id = p.conv_id AND m.turn = p.turn WHERE before IS NOT NULL""")
 def reused_prefixes(spark, sf_dir):
-    """How many words each text shares at its start with the one before it of its source."""
-    words = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "source", F.split("text", " ").alias("w"))
-    pairs = words.withColumn("before", F.lag("w").over(Window.partitionBy("source").orderBy("doc_id"))).where("before is not null")
+    """How many words a prompt of three turns shares at its start with the one before it of its conversation."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    said = F.collect_list(F.coalesce("text", F.lit(""))).over(order.rowsBetween(-2, 0))
+    prompts = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.array_join(said, " "), " ").alias("w"))
+    pairs = prompts.withColumn("before", F.lag("w").over(order)).where("before is not null")
     shared = store.common_prefix(F.col("w"), F.col("before"))
-    return pairs.select("doc_id", shared.alias("shared"), (shared >= store.LEAST_PREFIX).alias("reused"))
+    return pairs.select("conv_id", "turn", shared.alias("shared"), (shared >= store.LEAST_PREFIX).alias("reused"))
 
 
 _NAMES = """(SELECT c_custkey AS id, c_nationkey AS owner, c_acctbal >= 0 AS here,
