@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
-from lorespring.operators.screening import TOPIC_FLOOR
+from lorespring.operators.screening import TOPIC_FLOOR, robots_allowed
 from lorespring.operators.vectors import ranked, verdict
 
 # Words that say nothing about what a page is about.
@@ -144,3 +144,19 @@ def indexed_sitemaps(files: DataFrame, most: int = 10) -> DataFrame:
     named = files.where(F.contains("text", F.lit("<sitemapindex")))
     found = named.select(F.col("url").alias("source"), F.posexplode(F.slice(F.regexp_extract_all("text", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>")), 1, most)).alias("pos", "url"))
     return found.join(files.select("url", F.col("text").alias("child")), "url")
+
+
+def permitted(links: DataFrame, rules: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, host, path, rank, place) of ranked links that robots rules allow, the first ``limit`` of each query."""
+    good = robots_allowed(links.select("id", "host", "path").distinct(), rules).where("allowed").select("id", "host", "path")
+    return ranked(links.withColumnRenamed("rank", "found").join(good, ["id", "host", "path"]), ["query_id"], F.asc("found"), F.asc("id"), limit=limit)
+
+
+def first_tier(*tiers: DataFrame) -> DataFrame:
+    """Of candidates (target, source, ...) those of the first way that finds any for a target at a source, with ``tier``."""
+    every = None
+    for n, found in enumerate(tiers, 1):
+        found = found.withColumn("tier", F.lit(n))
+        every = found if every is None else every.unionByName(found)
+    best = every.groupBy("target", "source").agg(F.min("tier").alias("tier"))
+    return every.join(best, ["target", "source", "tier"])

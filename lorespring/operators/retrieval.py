@@ -132,3 +132,22 @@ def best_per_id(hits: DataFrame) -> DataFrame:
 def tagged(evidence: DataFrame, prefix: str) -> DataFrame:
     """Evidence with references such as M1, M2 by rank."""
     return evidence.withColumn("ref", F.concat(F.lit(prefix), F.col("rank")))
+
+
+def reranked(passages: DataFrame, scores: DataFrame) -> DataFrame:
+    """Passages (query_id, id, score, rank) in the order of a scorer's ``scores`` (query_id, id, new_score).
+
+    A single passage stays, and so does the order of a query where any of its passages has no score or no number.
+    """
+    both = passages.join(scores, ["query_id", "id"], "left")
+    whole = Window.partitionBy("query_id")
+    bad = F.col("new_score").isNull() | F.isnan("new_score")
+    usable = (F.count("*").over(whole) > 1) & ~F.bool_or(bad).over(whole)
+    both = both.withColumn("usable", usable).withColumn("score", F.when(F.col("usable"), F.col("new_score")).otherwise(F.col("score")))
+    order = Window.partitionBy("query_id").orderBy(F.when(F.col("usable"), -F.col("new_score")), "rank", "id")
+    return both.withColumn("place", F.row_number().over(order)).select("query_id", "id", "score", F.col("place").alias("rank"))
+
+
+def visible_below(rows: DataFrame, parents: DataFrame, owners: DataFrame, viewer: str | None) -> DataFrame:
+    """The rows (child, ...) that a viewer may see by the document (child, doc_id) that they lie in; all else is public."""
+    return visible(rows.join(parents, "child", "left"), owners, viewer)

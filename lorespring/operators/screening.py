@@ -87,3 +87,20 @@ def links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href) of every anchor in order."""
     found = F.regexp_extract_all("html", F.lit(r'<a [^>]*href="([^"]*)"'))
     return pages.select("page_id", F.posexplode(found).alias("pos", "href"))
+
+
+def robots_by_status(files: DataFrame) -> DataFrame:
+    """Robots files (host, text) from fetches (host, status, text): read where there is one, all allowed on 4xx, else nothing."""
+    status = F.col("status")
+    text = F.when(status.between(200, 299), F.coalesce("text", F.lit(""))).when(status.between(400, 499), "")
+    return files.select("host", F.coalesce(text, F.lit("User-agent: *\nDisallow: /")).alias("text"))
+
+
+def private_address(host: Column) -> Column:
+    """Whether a host is written as an address of its own network or machine; names are not resolved."""
+    host = F.lower(host)
+    parts = F.transform(F.split(host, r"\."), lambda p: p.try_cast("int"))
+    a, b = F.element_at(parts, 1), F.try_element_at(parts, F.lit(2))
+    inside = a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a >= 224)
+    v4 = F.regexp_like(host, F.lit(r"^\d{1,3}(\.\d{1,3}){3}$")) & inside
+    return F.coalesce(v4 | (host == "localhost") | F.regexp_like(host, F.lit(r"^\[(::1?|f[cd].*|fe[89ab].*)\]$")), F.lit(False))

@@ -174,3 +174,23 @@ def skip_reason(reason: Column) -> dict[str, Column]:
 def ready(jobs: DataFrame, blocked: DataFrame, key: str, by: list[str], *order: Column) -> DataFrame:
     """Jobs that wait for nothing, in the order in which they are taken."""
     return ranked(jobs.join(blocked.select(key), key, "left_anti"), by, *order)
+
+
+def navigated(history: DataFrame, moves: DataFrame) -> DataFrame:
+    """(project, low, high) after moves over each project's history (project, place), places from 1 on.
+
+    ``moves`` (project, advance, back) counts the steps of the left cursor on and of the right one back. Neither passes
+    the other; the left one, which moves first, stops at the right one.
+    """
+    spans = history.groupBy("project").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    both = spans.join(moves, "project", "left")
+    low = F.least(F.col("first") + F.coalesce("advance", F.lit(0)), F.col("last"))
+    high = F.greatest(F.col("last") - F.coalesce("back", F.lit(0)), F.col("low"))
+    return both.withColumn("low", low).select("project", "low", high.alias("high"))
+
+
+def compensated(uploads: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Uploads (key, was_there) with status, and whether their owner row and file go: all that was new and not ingested."""
+    both = uploads.join(outcomes, "key", "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
+    failed = F.col("status") != "INGESTED"
+    return both.withColumn("owner_removed", failed).withColumn("file_removed", failed & ~F.col("was_there"))

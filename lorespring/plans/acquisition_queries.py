@@ -55,7 +55,8 @@ def relevance_gate(spark, sf_dir):
     return acquisition.relevant(near, 0.2, 5).select("query_id", "pos", "query_score")
 
 
-_PARTS = """latest AS (SELECT p_size AS query_id, p_partkey % 7 AS project, round(p_retailprice / 4000, 6) AS score FROM part WHERE p_partkey % 3 = 0),
+_PARTS = """latest AS (SELECT p_size AS query_id, p_partkey % 7 AS project, round(p_retailprice / 4000, 6) AS score FROM part
+  QUALIFY row_number() OVER (PARTITION BY p_size, p_partkey % 7 ORDER BY p_partkey DESC) = 1),
 history AS (SELECT p_size AS query_id, p_partkey % 7 AS project, round(p_retailprice / 3000, 6) AS score FROM part)"""
 
 
@@ -70,7 +71,8 @@ def routed_in_two_stages(spark, sf_dir):
     part = read(spark, sf_dir, "part")
     project = (F.col("p_partkey") % 7).alias("project")
     at = lambda scale: F.round(F.col("p_retailprice") / scale, 6).alias("score")
-    latest = part.where("p_partkey % 3 = 0").select(F.col("p_size").alias("query_id"), project, at(4000))
+    newest = vectors.ranked(part.withColumn("project", project), ["p_size", "project"], F.desc("p_partkey"), limit=1)
+    latest = newest.select(F.col("p_size").alias("query_id"), "project", at(4000))
     return acquisition.routed(latest, part.select(F.col("p_size").alias("query_id"), project, at(3000)), 0.4)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
-from lorespring.operators import discovery, store
+from lorespring.operators import discovery, retrieval, screening, store
 from lorespring.operators.vectors import FULL, PARTIAL, cosine
 from lorespring.plans.registry import query, read
 
@@ -226,3 +226,110 @@ def ready_queue(spark, sf_dir):
     blocked = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     ready = store.ready(orders, blocked, "o_orderkey", ["o_custkey"], F.asc("o_orderpriority"), F.asc("o_orderdate"), F.asc("o_orderkey"))
     return ready.select("o_custkey", "o_orderkey", "rank")
+
+
+_HOSTS = "SELECT DISTINCT lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS host FROM pages WHERE url IS NOT NULL"
+
+
+def _page_paths(spark, sf_dir):
+    url = F.col("url")
+    host, path = F.lower(F.regexp_extract(url, "^[^:]+://([^/?#:]*)", 1)), F.regexp_extract(url, "^[^:]+://[^/?#]*([^?#]*)", 1)
+    return read(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("id"), url, host.alias("host"), path.alias("path"))
+
+
+@query(rf"""
+WITH p AS (SELECT page_id AS id, lower(regexp_extract(url, '^[^:]+://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL),
+r AS (SELECT id AS page_id, CASE WHEN host LIKE '%.org' THEN NOT starts_with(path, '/de/') WHEN host LIKE '%.com' THEN true ELSE false END AS ok, host, path FROM p)
+SELECT CASE WHEN length(path) > 7 THEN 'long' ELSE 'short' END AS query_id, page_id AS id, row_number() OVER (PARTITION BY length(path) > 7 ORDER BY length(path), page_id)::INTEGER AS rank
+FROM r WHERE ok QUALIFY rank <= 25""")
+def permitted_links(spark, sf_dir):
+    """Links by the length of their path, but only what the robots files of their hosts, as they were fetched, allow."""
+    pages = _page_paths(spark, sf_dir)
+    status = F.when(F.col("host").endswith(".org"), 200).when(F.col("host").endswith(".com"), 404).otherwise(503)
+    files = pages.select("host").distinct().select("host", status.alias("status"), F.lit("User-agent: *\nDisallow: /de/").alias("text"))
+    links = pages.select(F.when(F.length("path") > 7, "long").otherwise("short").alias("query_id"), "id", "host", "path", F.length("path").alias("rank"))
+    rules = screening.robots_rules(screening.robots_by_status(files))
+    return discovery.permitted(links, rules, 25).select("query_id", "id", "rank")
+
+
+@query("""
+SELECT c_custkey, (CASE WHEN c_nationkey < 5 THEN '10.' WHEN c_nationkey < 10 THEN '192.168.' WHEN c_nationkey < 15 THEN '172.' ELSE '8.8.' END
+  || CASE WHEN c_nationkey < 5 THEN c_nationkey || '.1' WHEN c_nationkey < 15 AND c_nationkey >= 10 THEN (c_nationkey + 5)::VARCHAR || '.0' ELSE c_nationkey::VARCHAR END || '.7') AS host,
+  c_nationkey < 10 OR c_nationkey BETWEEN 11 AND 14 AS private FROM customer""")
+def private_hosts(spark, sf_dir):
+    n = F.col("c_nationkey")
+    text = n.cast("string")
+    host = F.when(n < 5, F.concat(F.lit("10."), text, F.lit(".1.7"))).when(n < 10, F.concat(F.lit("192.168."), text, F.lit(".7")))
+    host = host.when(n < 15, F.concat(F.lit("172."), (n + 5).cast("string"), F.lit(".0.7"))).otherwise(F.concat(F.lit("8.8."), text, F.lit(".7")))
+    return read(spark, sf_dir, "customer").select("c_custkey", host.alias("host"), screening.private_address(host).alias("private"))
+
+
+@query(f"""
+WITH h AS ({_HOSTS}), n AS (SELECT host, row_number() OVER (ORDER BY host) AS p FROM h)
+SELECT 'https://' || host || '/map.xml' AS url, (p - 1)::INTEGER AS pos FROM n WHERE p <= 10""")
+def indexed_sitemaps(spark, sf_dir):
+    """An index of all hosts' sitemaps, followed one level: the ten that it names first."""
+    files = _page_paths(spark, sf_dir).select(F.concat(F.lit("https://"), "host", F.lit("/map.xml")).alias("url"), F.lit("<urlset/>").alias("text")).distinct()
+    named = files.agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("<sitemap><loc> "), "url", F.lit("</loc></sitemap>")))), "").alias("l"))
+    index = named.select(F.lit("https://index.example.com/").alias("url"), F.concat(F.lit("<sitemapindex>"), "l").alias("text"))
+    return discovery.indexed_sitemaps(files.unionByName(index)).select("url", "pos")
+
+
+@query("""
+WITH t AS (SELECT n_nationkey AS target, c_mktsegment AS source, c_custkey AS link, CASE WHEN c_acctbal > 9000 THEN 1 WHEN c_acctbal > 7000 THEN 2 WHEN c_acctbal > 0 THEN 3 END AS tier
+  FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT target, source, link, tier FROM t WHERE tier IS NOT NULL QUALIFY tier = min(tier) OVER (PARTITION BY target, source)""")
+def discovered_links(spark, sf_dir):
+    """Customers as links that a search, a search by keywords or a sitemap finds, by what they hold."""
+    found = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("target"), F.col("c_mktsegment").alias("source"), F.col("c_custkey").alias("link"), "c_acctbal")
+    tiers = ("c_acctbal > 9000", "c_acctbal > 7000 and c_acctbal <= 9000", "c_acctbal > 0 and c_acctbal <= 7000")
+    return discovery.first_tier(*(found.where(t).drop("c_acctbal") for t in tiers))
+
+
+@query("""
+WITH p AS (SELECT l_orderkey AS query_id, l_linenumber AS id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rank,
+    count(*) OVER (PARTITION BY l_orderkey, l_linenumber) AS same, CASE WHEN l_quantity > 48 THEN NULL ELSE l_discount END AS new FROM lineitem),
+u AS (SELECT *, count(*) OVER (PARTITION BY query_id) > 1 AND count(*) FILTER (WHERE new IS NULL) OVER (PARTITION BY query_id) = 0 AS usable FROM p WHERE same = 1)
+SELECT query_id, id, CASE WHEN usable THEN new ELSE score END AS score,
+  row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN usable THEN -new END, rank, id)::INTEGER AS rank FROM u""")
+def reranked_passages(spark, sf_dir):
+    """Lines of orders as passages, scored anew by their discount; where a score is missing the order stays."""
+    same = Window.partitionBy("l_orderkey", "l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").withColumn("rank", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")))
+    lines = lines.withColumn("same", F.count("*").over(same)).where("same = 1")
+    passages = lines.select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id"), F.col("l_extendedprice").alias("score"), "rank")
+    scores = lines.where("l_quantity <= 48").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("id"), F.col("l_discount").alias("new_score"))
+    return retrieval.reranked(passages, scores)
+
+
+@query("""
+WITH h AS (SELECT o_custkey AS project, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT c_custkey AS project, c_nationkey AS advance, c_nationkey // 2 AS back FROM customer)
+SELECT project, least(1 + coalesce(advance, 0), n)::BIGINT AS low, greatest(n - coalesce(back, 0), least(1 + coalesce(advance, 0), n))::BIGINT AS high FROM h LEFT JOIN m USING (project)""")
+def snapshot_cursors(spark, sf_dir):
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    history = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("project"), F.row_number().over(order).alias("place"))
+    moves = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project"), F.col("c_nationkey").alias("advance"), F.expr("c_nationkey div 2").alias("back"))
+    cursors = store.navigated(history, moves)
+    return cursors.select("project", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+
+
+@query("""
+SELECT conv_id, turn FROM conversations c LEFT JOIN documents d ON d.doc_id = c.conv_id
+WHERE d.doc_id IS NULL OR d.source IS NULL OR d.source NOT IN ('src0', 'src2')""")
+def visible_turns(spark, sf_dir):
+    """Turns as chunks of the document of their conversation's number, as ``src1`` may see them."""
+    docs = read(spark, sf_dir, "documents").where("source in ('src0', 'src1', 'src2')")
+    owners = docs.select("doc_id", F.col("source").alias("owner"))
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("conv_id").alias("child"))
+    parents = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("child"), "doc_id").distinct()
+    return retrieval.visible_below(turns, parents, owners, "src1").select("conv_id", "turn")
+
+
+@query("""
+SELECT o_orderkey AS key, CASE o_orderstatus WHEN 'F' THEN 'INGESTED' WHEN 'O' THEN 'NOT_INGESTED' ELSE 'FAILED' END AS status,
+  o_orderstatus <> 'F' AS owner_removed, o_orderstatus <> 'F' AND NOT o_totalprice > 200000 AS file_removed FROM orders""")
+def compensated_uploads(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "key")
+    status = F.when(F.col("o_orderstatus") == "F", "INGESTED").otherwise("NOT_INGESTED")
+    told = orders.where("o_orderstatus in ('F', 'O')").select("key", status.alias("status"))
+    return store.compensated(orders.select("key", (F.col("o_totalprice") > 200000).alias("was_there")), told).drop("was_there")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
-from lorespring.operators import discovery, store
+from lorespring.operators import discovery, retrieval, screening, store
 
 BASE = "https://a.example.com/x/y/z?q=1#top"
 HREFS = [
@@ -92,3 +92,40 @@ def test_gathering_stops_when_answered(spark):
     table = spark.createDataFrame(rows, "query_id long, round int, id long, topic_score double, query_score double")
     got = {(r.query_id, r.id, r.rounds, r.verdict, r.stored) for r in discovery.acquired(table).collect()}
     assert got == {(1, 10, 2, "FULL", True), (1, 11, 2, "FULL", True), (3, 30, 3, "NONE", False)}
+
+
+def test_robots_by_status(spark):
+    rows = [("ok", 200, "User-agent: *\nDisallow: /x"), ("gone", 404, None), ("down", 503, "User-agent: *\nAllow: /"), ("lost", None, None)]
+    rules = screening.robots_rules(screening.robots_by_status(spark.createDataFrame(rows, "host string, status int, text string")))
+    urls = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate((h, p) for h, *_ in rows for p in ("/x/1", "/y"))], "id int, host string, path string")
+    got = {(r.host, r.path) for r in screening.robots_allowed(urls, rules).where("allowed").collect()}
+    assert got == {("ok", "/y"), ("gone", "/x/1"), ("gone", "/y")}
+
+
+def test_private_addresses(spark):
+    inside = ["10.1.2.3", "127.0.0.1", "169.254.169.254", "172.16.0.1", "172.31.9.9", "192.168.0.1", "LOCALHOST", "[::1]", "[fd00::1]", "0.0.0.0"]
+    outside = ["8.8.8.8", "172.32.0.1", "11.0.0.1", "10.example.com", "example.com", "[2001:db8::1]", "", None]
+    rows = spark.createDataFrame([(h,) for h in inside + outside], "h string")
+    assert [r[0] for r in rows.select(screening.private_address(F.col("h"))).collect()] == [True] * len(inside) + [False] * len(outside)
+
+
+def test_reranking_needs_all_scores(spark):
+    passages = [(1, 1, 0.9, 1), (1, 2, 0.8, 2), (2, 3, 0.9, 1), (2, 4, 0.8, 2), (3, 5, 0.9, 1), (4, 6, 0.9, 1), (4, 7, 0.8, 2)]
+    scores = [(1, 1, 0.1), (1, 2, 0.2), (2, 3, 0.1), (3, 5, 0.3), (4, 6, float("nan")), (4, 7, 1.0)]
+    table = spark.createDataFrame(passages, "query_id int, id int, score double, rank int")
+    got = retrieval.reranked(table, spark.createDataFrame(scores, "query_id int, id int, new_score double")).collect()
+    assert {(r.query_id, r["rank"]): (r.id, r.score) for r in got} == {
+        (1, 1): (2, 0.2), (1, 2): (1, 0.1), (2, 1): (3, 0.9), (2, 2): (4, 0.8), (3, 1): (5, 0.9), (4, 1): (6, 0.9), (4, 2): (7, 0.8),
+    }
+
+
+def test_cursors_do_not_pass_each_other(spark):
+    history = spark.createDataFrame([(p, k) for p in (1, 2, 3) for k in range(1, 5)], "project int, place int")
+    moves = spark.createDataFrame([(1, 2, 1), (2, 9, 9)], "project int, advance int, back int")
+    assert {tuple(r) for r in store.navigated(history, moves).collect()} == {(1, 3, 3), (2, 4, 4), (3, 1, 4)}
+
+
+def test_the_first_way_that_finds_anything_counts(spark):
+    schema = "target int, source string, link string"
+    one, two = (spark.createDataFrame(rows, schema) for rows in ([(1, "a", "x")], [(1, "a", "y"), (1, "b", "z"), (2, "a", "w")]))
+    assert {(r.target, r.source, r.link, r.tier) for r in discovery.first_tier(one, two).collect()} == {(1, "a", "x", 1), (1, "b", "z", 2), (2, "a", "w", 2)}
