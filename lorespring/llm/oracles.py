@@ -142,5 +142,68 @@ FROM embeddings e LEFT JOIN counts c ON c.vec_id = e.vec_id LEFT JOIN firsts f O
 """
 
 
+OP11 = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, d: list_reduce(list_prepend(xor(c, d), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.base AND i <= h
+  UNION ALL SELECT c.conv_id, i, role, text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND i > h
+), sequences AS (
+  SELECT c.conv_id, coalesce(list({'r': role, 't': text} ORDER BY i) FILTER (i IS NOT NULL), []) AS s
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY 1
+), prefixes AS (
+  SELECT conv_id, d, s[1:d] AS p, len(s) = d AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM sequences)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2
+), children AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2
+), owned AS (
+  SELECT nodes.p, nodes.d, n IS NULL AS leaf, (n_convs - 1) * coalesce(length(nodes.p[nodes.d].t), 0) AS saved
+  FROM nodes LEFT JOIN children USING (p, d)
+), below AS (
+  SELECT p[1:a] AS p, a AS d, count(*) FILTER (leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM owned) GROUP BY 1, 2
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children,
+  n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN below USING (p, d) LEFT JOIN children c USING (p, d)
+LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1] AND n.d > 0
+"""
+
+_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP13 = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array({_LOWER}, '{_BREAKS}'), lambda x: x <> '') AS ws
+  FROM documents
+), items AS (
+  SELECT item_id, list_filter(regexp_split_to_array({_LOWER}, '{_BREAKS}'), lambda x: x <> '') AS ws FROM benchmark
+), grams AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i : i + least(10, len(ws)) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0)
+), places AS (
+  SELECT row, n, i, array_to_string(ws[i : i + n - 1], ' ') AS g
+  FROM (SELECT row, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM grams))
+), hits AS (SELECT DISTINCT row, i, n, item_id FROM places JOIN grams USING (n, g)
+), covered AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1
+), named AS (
+  SELECT row, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS id FROM hits WHERE item_id IS NOT NULL) GROUP BY 1
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN covered USING (row) LEFT JOIN named USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_near_dedup": OP3, "op4_ngram_jaccard": OP4, "op2_quality_rules": OP2, "op5_source_mixing": OP5, "op7_url_filters": OP7}
+    return {"op11_prefix_trie": OP11, "op13_decontamination": OP13, "op3_embedding_near_dedup": OP3, "op4_ngram_jaccard": OP4, "op2_quality_rules": OP2, "op5_source_mixing": OP5, "op7_url_filters": OP7}

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorespring.llm import html_extract, mixing, near_dedup, ngram_join, packing, pii, quality, substring_dedup, token_counts, url_filters
+from lorespring.llm import (
+    decontamination,
+    html_extract,
+    mixing,
+    near_dedup,
+    ngram_join,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    token_counts,
+    url_filters,
+    whitening,
+)
 from lorespring.llm.common import table
 
 
@@ -61,6 +75,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()
