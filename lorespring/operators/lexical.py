@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -18,11 +19,14 @@ LEAST_IDF = 1e-6
 VOWELS = "aeiou"
 # The suffix tables of Porter's algorithm, longest first within what can match together.
 STEP_2 = (
-    "ational ate,tional tion,enci ence,anci ance,izer ize,bli ble,alli al,entli ent,eli e,ousli ous,ization ize,"
-    "ation ate,ator ate,alism al,iveness ive,fulness ful,ousness ous,aliti al,iviti ive,biliti ble,logi log"
-)
-STEP_3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"), ("alli", "al"),
+    ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"),
+    ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("logi", "log"),
+)
+STEP_3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
+STEP_4 = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)
 
 
 def _consonants(word: str) -> list[bool]:
@@ -42,9 +46,8 @@ def _short_end(word: str) -> bool:
     return len(word) > 2 and kinds[-3:] == [True, False, True] and word[-1] not in "wxy"
 
 
-def _swap(word: str, pairs: str) -> str:
-    for pair in sorted(pairs.split(","), key=lambda p: -len(p.split(" ")[0])):
-        old, new = pair.split(" ")
+def _swap(word: str, pairs: Sequence[tuple[str, str]]) -> str:
+    for old, new in sorted(pairs, key=lambda p: -len(p[0])):
         if word.endswith(old):
             stem = word[: -len(old)]
             return stem + new if _measure(stem) > 0 else word
@@ -76,7 +79,7 @@ def stem(word: str) -> str:
     if word.endswith("y") and not all(_consonants(word[:-1])):
         word = word[:-1] + "i"
     word = _swap(_swap(word, STEP_2), STEP_3)
-    for old in sorted(STEP_4.split(), key=len, reverse=True):
+    for old in sorted(STEP_4, key=len, reverse=True):
         if word.endswith(old):
             base = word[: -len(old)]
             if _measure(base) > 1 and (old != "ion" or base.endswith(("s", "t"))):
@@ -109,28 +112,76 @@ def tokens(df: DataFrame, stemming: bool = False) -> DataFrame:
     return df.select("id", F.explode(stemmed(found) if stemming else found).alias("term"))
 
 
-def bm25(df: DataFrame, queries: DataFrame, k: int | None = None, stemming: bool = False) -> DataFrame:
-    """(query_id, id, score, rank) of the texts (id, text) that hold any term of the queries (query_id, text).
+def postings(df: DataFrame, stemming: bool = False, wanted: DataFrame | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """(term, id, tf, length) and the ``carried`` columns, for the terms of (id, text), or the ``wanted`` ones (term) only.
 
-    A lower score is better. Postings are cut down to the queries' terms before they are counted and shuffled; lengths
-    come from the same scan. Scores with ties rank by id.
+    Words are counted before they are shuffled, since all words of a text lie in one task; a wanted list is looked up
+    before they are counted.
     """
-    asked = queries.select("query_id", F.explode(T.lexical_terms(F.col("text"))).alias("term"))
-    if stemming:
-        asked = asked.select("query_id", F.explode(stemmed(F.array("term"))).alias("term"))
-    asked = asked.distinct()
     found = F.transform(T.words(F.col("text")), F.lower)
-    sized = df.select("id", (stemmed(found) if stemming else found).alias("words")).withColumn("length", F.size("words"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    wanted = asked.select("term").distinct()
-    counts = sized.select("id", "length", F.explode("words").alias("term")).join(wanted, "term", "left_semi")
-    counts = counts.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    sized = df.select("id", *carried, (stemmed(found) if stemming else found).alias("words")).withColumn("length", F.size("words"))
+    each = sized.select("id", *carried, "length", F.explode("words").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted, "term", "left_semi")
+    firsts = [F.first(c).alias(c) for c in ("length", *carried)]
+    return each.groupBy("term", "id").agg(F.count("*").alias("tf"), *firsts)
+
+
+def collection(df: DataFrame, stemming: bool = False) -> DataFrame:
+    """One row: n, the number of texts, and mean, that of their lengths in words."""
+    found = F.transform(T.words(F.col("text")), F.lower)
+    return df.select(F.size(stemmed(found) if stemming else found).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+
+
+def asked_terms(queries: DataFrame, stemming: bool = False, carried: Sequence[str] = ()) -> DataFrame:
+    """(query_id, term) and the ``carried`` columns for the searchable terms of (query_id, text)."""
+    asked = queries.select("query_id", *carried, F.explode(T.lexical_terms(F.col("text"))).alias("term"))
+    if stemming:
+        asked = asked.select("query_id", *carried, F.explode(stemmed(F.array("term"))).alias("term"))
+    return asked.distinct()
+
+
+def scored(
+    counts: DataFrame, frequency: DataFrame, stats: DataFrame, asked: DataFrame, k: int | None, within: str | None = None, admits: Column | None = None
+) -> DataFrame:
+    """(query_id, id, score, rank) by BM25 from postings, document frequencies (term, df), (n, mean) of all texts, and terms asked for.
+
+    ``within`` names a column of postings and terms that must be equal, which the join is on; ``admits`` is a condition
+    on the columns that they carry. Neither changes the statistics. A lower score is better; ties rank by id.
+    """
     weighed = frequency.join(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = weighed.withColumn("idf", F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf))
-    hits = counts.join(weighed, "term").join(asked, "term")
+    hits = counts.join(asked, ["term", within] if within else "term")
+    hits = (hits if admits is None else hits.where(admits)).join(weighed, "term")
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
-    return ranked(scored.withColumn("score", F.round("score", 9)), ["query_id"], F.asc("score"), F.asc("id"), limit=k)
+    summed = hits.groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
+    return ranked(summed.withColumn("score", F.round("score", 9)), ["query_id"], F.asc("score"), F.asc("id"), limit=k)
+
+
+def bm25(
+    df: DataFrame,
+    queries: DataFrame,
+    k: int | None = None,
+    stemming: bool = False,
+    within: str | None = None,
+    admits: Column | None = None,
+    query_columns: Sequence[str] = (),
+    row_columns: Sequence[str] = (),
+    eligible: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, id, score, rank) of the texts (id, text) that hold any term of the queries (query_id, text).
+
+    A lower score is better; scores with ties rank by id. ``within`` and ``admits`` restrict what a query may find, from
+    columns that both sides bring along, and ``eligible`` (id) what any may: these have no part in the statistics, which
+    are those of all texts, and what is not admitted takes no place among the k.
+    """
+    scope = [within] if within else []
+    asked = asked_terms(queries, stemming, list(dict.fromkeys([*scope, *query_columns])))
+    wanted = asked.select("term").distinct()
+    counts = postings(df, stemming, wanted, list(dict.fromkeys([*scope, *row_columns])))
+    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    if eligible is not None:
+        counts = counts.join(eligible, "id", "left_semi")
+    return scored(counts, frequency, collection(df, stemming), asked, k, within, admits)

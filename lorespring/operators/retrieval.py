@@ -38,6 +38,12 @@ def visible(docs: DataFrame, owners: DataFrame, viewer: str | None) -> DataFrame
     return public.unionByName(docs.join(owners.where(F.col("owner") == viewer).select("doc_id"), "doc_id", "left_semi"))
 
 
+def hidden(owners: DataFrame, viewer: str | None) -> DataFrame:
+    """The ids of what has owners, the viewer not among them."""
+    own = owners.where(F.lit(False) if viewer is None else F.col("owner") == viewer).select("doc_id")
+    return owners.select("doc_id").distinct().join(own, "doc_id", "left_anti").select(F.col("doc_id").alias("id"))
+
+
 def hydrate(hits: DataFrame, *stores: DataFrame) -> DataFrame:
     """Hits (query_id, id, ...) with the text that any of the stores (id, text) has; null where none has it."""
     texts = stores[0]

@@ -24,4 +24,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table: lineage ends there, and all who read it read the same rows."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` made, once nothing reads it any more."""
+    path = getattr(df, "_written_path", None)
+    if path:
+        target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+    """Batches to Python hold ``size`` bytes at most, however wide the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import lexical, retrieval
-from lorespring.operators.vectors import cosine, cosine_scores, nearest, ranked
+from lorespring.operators.vectors import Attributes, cosine_scores, nearest, ranked
 
 
 def hybrid(
-    docs: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, k: int, owners: DataFrame, viewer: str | None
+    docs: DataFrame, vectors: DataFrame, texts: DataFrame, query_vectors: DataFrame, k: int, owners: DataFrame, viewer: str | None, below: bool = False
 ) -> DataFrame:
     """(query_id, id, score, rank, spent): dense and lexical search, each four times ``k`` deep, fused and assembled.
 
-    What the viewer may not see goes after hydration, then repeated texts, then what exceeds the token budget.
+    What the viewer may not see goes after hydration, then repeated texts, then what exceeds the token budget. Where any
+    document has an owner, both searches go twice as deep, so that others' documents leave places; with ``below`` only
+    what the viewer may see is searched at all, and none is ever lost to them.
     """
     scores = lambda q, r: cosine_scores(q, r).round(6)
-    dense = nearest(query_vectors, vectors, 4 * k, scores).select("query_id", F.lit("dense").alias("list"), "id", "rank")
-    words = lexical.bm25(docs, texts, 4 * k).select("query_id", F.lit("lexical").alias("list"), "id", "rank")
-    pool = retrieval.fuse(dense.unionByName(words), pool=4 * k)
-    found = retrieval.hydrate(pool, docs).where(F.col("text").isNotNull())
-    seen = retrieval.visible(found.withColumnRenamed("id", "doc_id"), owners, viewer).withColumnRenamed("doc_id", "id")
-    unique = ranked(retrieval.deduplicated(seen).withColumnRenamed("rank", "place"), ["query_id"], F.asc("place"), limit=k)
+    pool, eligible = 4 * k, None
+    if below:
+        eligible = retrieval.visible(docs.select(F.col("id").alias("doc_id")), owners, viewer).select(F.col("doc_id").alias("id"))
+        vectors = vectors.join(retrieval.hidden(owners, viewer), "id", "left_anti")
+    elif not owners.isEmpty():
+        pool *= 2
+    dense = nearest(query_vectors, vectors, pool, scores).select("query_id", F.lit("dense").alias("list"), "id", "rank")
+    words = lexical.bm25(docs, texts, pool, eligible=eligible).select("query_id", F.lit("lexical").alias("list"), "id", "rank")
+    found = retrieval.hydrate(retrieval.fuse(dense.unionByName(words), pool=pool), docs).where(F.col("text").isNotNull())
+    if not below:
+        found = retrieval.visible(found.withColumnRenamed("id", "doc_id"), owners, viewer).withColumnRenamed("doc_id", "id")
+    unique = ranked(retrieval.deduplicated(found).withColumnRenamed("rank", "place"), ["query_id"], F.asc("place"), limit=k)
     return retrieval.within_budget(unique, T.tokens_down(F.col("text"))).select("query_id", "id", "score", "rank", "spent")
 
 
@@ -33,14 +42,24 @@ def provenance(chunks: DataFrame, urls: DataFrame, key: str) -> DataFrame:
 
 
 def best_between(queries: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(query_id, id, score): of a query's project the snapshot nearest to it between its cursors, low and high included.
+    """(query_id, id, place, score): of a query's project the snapshot nearest to it between its cursors, both included.
 
-    ``queries`` has query_id, project, low, high and vector, ``snapshots`` project, id and vector; the earlier wins ties.
+    ``queries`` has query_id, project, low, high and vector, ``snapshots`` project, id, place and vector, the cursors
+    being places. Both cursors move inwards, the left one looking first: of equal scores the one seen first wins.
     """
-    q = queries.withColumnRenamed("vector", "wanted")
-    pairs = q.join(snapshots, "project").where(F.col("id").between(F.col("low"), F.col("high")))
-    pairs = pairs.select("query_id", "id", F.round(cosine(F.col("wanted"), F.col("vector")), 6).alias("score"))
-    return pairs.groupBy("query_id").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"), F.max("score").alias("score"))
+
+    def seen(q: Attributes, r: Attributes) -> np.ndarray:
+        left, right = r["place"] - q["low"], q["high"] - r["place"]
+        return 2 * np.minimum(left, right) + (left > right)
+
+    inside = lambda q, r: (q["low"] <= r["place"]) & (r["place"] <= q["high"])
+    scores = lambda q, r: cosine_scores(q, r).round(6)
+    last = snapshots.groupBy("project").agg(F.max("place").alias("last"))
+    asked = queries.join(last, "project").withColumn("high", F.least("high", "last")).withColumn("low", F.greatest("low", F.lit(0)))
+    best = nearest(
+        asked, snapshots, 1, scores, within="project", admits=inside, ties=seen, query_columns=["low", "high"], row_columns=["place"]
+    )
+    return best.join(snapshots.select("id", "place"), "id").select("query_id", "id", "place", "score")
 
 
 def latest(snapshots: DataFrame, by: str, *newest: str) -> DataFrame:

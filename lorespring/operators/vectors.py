@@ -1,23 +1,35 @@
 """Exact nearest neighbours of a set of query vectors, and what ranks and verdicts build on their scores.
 
-Query vectors are packed into blocks of bounded size that are sent to every task in turn; a task scores its rows
-against a block with one matrix product and passes on the best k of each query, so that what is shuffled is k rows a
-query and batch however many rows there are.
+Both sides are packed into blocks of bounded size in the tasks that scan them; one matrix product scores a block of
+queries against a block of rows. Where the queries are few, their blocks are broadcast and the rows stay where they are;
+where they are many, both sides are dealt to groups of bounded size, each query group meeting each row group once. A
+task passes on the best k of each query, so what is shuffled afterwards is k rows a query and task, however many rows
+there are. No vector passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one pass over the rows carries.
-QUERY_BLOCK = 4096
+from lorespring.operators.steps import bounded_batches, written
+
+#: Vectors of a block, and bytes of its vectors, at most.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 4 << 20
+#: Bytes of query vectors that are broadcast; more are dealt to groups of so many bytes on either side.
+BROADCAST_BYTES, GROUP_BYTES = 32 << 20, 32 << 20
+#: Rows of one bucket of scopes on average, and groups of blocks that are broadcast as a table of sizes.
+BUCKET_ROWS, BROADCAST_ROWS = 16_384, 100_000
+#: What stands for null among whole numbers in a block.
+MISSING = np.iinfo(np.int64).min
 
 FULL, PARTIAL = 0.60, 0.35
+Attributes = dict[str, np.ndarray]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -44,6 +56,151 @@ def l2_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.maximum(square, 0.0)
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    """The rows whose vector is there, has entries and no null among them."""
+    return df.where(F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda c: c.isNull()), F.lit(False)))
+
+
+def widths(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(width, n_queries, n_rows): vectors meet only those of their own width; null for vectors that take no part."""
+    width = F.when(F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda c: c.isNull()), F.lit(False)), F.size("vector"))
+    one = lambda df, name: df.groupBy(width.alias("width")).agg(F.count("*").alias(name))
+    asked, held = one(queries, "n_queries"), one(rows, "n_rows")
+    both = asked.join(held.withColumnRenamed("width", "other"), F.col("width").eqNullSafe(F.col("other")), "full")
+    zero = F.lit(0).cast("long")
+    return both.select(F.coalesce("width", "other").alias("width"), F.coalesce("n_queries", zero).alias("n_queries"), F.coalesce("n_rows", zero).alias("n_rows"))
+
+
+def _packed(df: DataFrame, names: list[str], bucket: Column) -> DataFrame:
+    """Blocks (width, bucket, n, vectors, and the packed whole numbers of each column in ``names``)."""
+    kind = "<f4" if df.schema["vector"].dataType.elementType.typeName() == "float" else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("vector")
+            width, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+            starts = np.cumsum(width) - width
+            numbers = [batch.column(c).fill_null(int(MISSING)).to_numpy() for c in names]
+            key = np.stack([width, batch.column("bucket").to_numpy()])
+            for w, b in np.unique(key, axis=1).T.tolist():
+                all_at, most = np.flatnonzero((key[0] == w) & (key[1] == b)), max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * w)))
+                for at in np.split(all_at, range(most, len(all_at), most)):
+                    vectors = values[starts[at][:, None] + np.arange(w)[None, :]].astype("<f8")
+                    packed = [vectors.tobytes(), *(n[at].astype("<i8").tobytes() for n in numbers)]
+                    columns = [pa.array([x], pa.int32()) for x in (w, b, len(at))] + [pa.array([x]) for x in packed]
+                    yield pa.RecordBatch.from_arrays(columns, names=["width", "bucket", "n", "vectors", *(f"of_{c}" for c in names)])
+
+    schema = "width int, bucket int, n int, vectors binary, " + ", ".join(f"of_{c} binary" for c in names)
+    whole = [F.col(c).cast("long").alias(c) for c in names]
+    vector = F.col("vector") if kind == "<f4" else F.col("vector").cast("array<double>").alias("vector")
+    return _usable(df).select(vector, bucket.cast("int").alias("bucket"), *whole).mapInArrow(run, schema)
+
+
+class _Best:
+    """The best k rows of each query of a block, over any number of row blocks."""
+
+    def __init__(self, k: int, scores: Callable, sign: float, admits: Callable | None, ties: Callable | None, within: str | None, by: str | None):
+        self.k, self.scores, self.sign, self.admits, self.ties, self.within, self.by = k, scores, sign, admits, ties, within, by
+        self.held: dict[bytes, list[np.ndarray]] = {}
+
+    def _first(self, found: list[np.ndarray]) -> list[np.ndarray]:
+        """The first k of each query (and value of ``by``) of flat arrays (query, group, value, tie, id)."""
+        query, group, value, tie, ids = found
+        order = np.lexsort((ids, tie, value, group, query))
+        found = [x[order] for x in found]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (found[0][1:] != found[0][:-1]) | (found[1][1:] != found[1][:-1])
+        begin = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
+        return [x[place < self.k] for x in found]
+
+    def add(self, name: bytes, queries: Attributes, rows: Attributes) -> None:
+        """Score a block of rows for the block of queries ``name``; the best so far stay here."""
+        value = self.sign * self.scores(queries["vectors"], rows["vectors"])
+        allowed = ~np.isnan(value)
+        if self.within:
+            allowed &= (queries[self.within][:, None] == rows[self.within][None, :]) & (rows[self.within] != MISSING)[None, :]
+        if self.by:
+            allowed &= (rows[self.by] != MISSING)[None, :]
+        if self.admits:
+            allowed &= self.admits({c: x[:, None] for c, x in queries.items()}, {c: x[None, :] for c, x in rows.items()})
+        columns = [np.arange(value.shape[1])] if not self.by else [np.flatnonzero(rows[self.by] == v) for v in np.unique(rows[self.by])]
+        for of in columns:
+            part, fits = np.where(allowed[:, of], value[:, of], np.inf), allowed[:, of]
+            last = np.partition(part, min(self.k, len(of)) - 1, axis=1)[:, min(self.k, len(of)) - 1]
+            i, j = np.nonzero(fits & (part <= last[:, None]))
+            if not len(i):
+                continue
+            ids = rows["id"][of[j]]
+            ties = np.zeros(len(i), dtype=np.int64)
+            if self.ties:
+                ties = self.ties({c: x[i] for c, x in queries.items() if c != "vectors"}, {c: x[of[j]] for c, x in rows.items() if c != "vectors"})
+            group = rows[self.by][of[j]] if self.by else np.zeros(len(i), dtype=np.int64)
+            found = [queries["query_id"][i], group, part[i, j], ties, ids]
+            before = self.held.get(name)
+            self.held[name] = self._first(found if before is None else [np.concatenate(x) for x in zip(before, found, strict=True)])
+
+    def told(self) -> Iterator[pd.DataFrame]:
+        for query, group, value, tie, ids in self.held.values():
+            yield pd.DataFrame({"query_id": query, "id": ids, "score": self.sign * value, "group": group, "tie": tie})
+        self.held = {}
+
+
+def _unpacked(block: dict, names: list[str], prefix: str = "") -> Attributes:
+    n = int(block[f"{prefix}n"])
+    out = {c: np.frombuffer(block[f"{prefix}of_{c}"], dtype="<i8") for c in names}
+    return out | {"vectors": np.frombuffer(block[f"{prefix}vectors"], dtype="<f8").reshape(n, -1)}
+
+
+_FOUND = "query_id long, id long, score double, group long, tie long"
+
+
+def _with_broadcast(queries: DataFrame, rows: DataFrame, query_names: list[str], row_names: list[str], best: Callable[[], _Best]) -> DataFrame:
+    """Every row block meets the broadcast query blocks of its width, in the task that packs it."""
+    asked = queries.select("width", *(F.col(c).alias(f"q_{c}") for c in queries.columns if c not in ("width", "bucket")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = best()
+        for batch in batches:
+            for pair in batch.to_pylist():
+                found.add(pair["q_of_query_id"], _unpacked(pair, query_names, "q_"), _unpacked(pair, row_names))
+        for part in found.told():
+            yield pa.RecordBatch.from_pandas(part, preserve_index=False)
+
+    return rows.join(F.broadcast(asked), "width").mapInArrow(run, _FOUND)
+
+
+def _with_groups(queries: DataFrame, rows: DataFrame, query_names: list[str], row_names: list[str], best: Callable[[], _Best]) -> DataFrame:
+    """Query blocks and row blocks dealt to groups of bounded size within each width and bucket; each pair of groups is a task's."""
+    spark, key = queries.sparkSession, ["width", "bucket"]
+    counted = lambda df, name: df.groupBy(*key).agg(F.sum("n").alias(name))
+    least = max(1, rows.agg(F.sum("n")).first()[0] or 0) // (2 * spark.sparkContext.defaultParallelism)
+    most = F.greatest(F.lit(1), F.least(F.greatest(F.lit(least), F.lit(1024)), F.floor(F.lit(GROUP_BYTES) / (8 * F.col("width")))))
+    sizes = counted(queries, "n_queries").join(counted(rows, "n_rows"), key)
+    sizes = sizes.select(*key, F.ceil(F.col("n_queries") / most).cast("int").alias("parts"), F.ceil(F.col("n_rows") / most).cast("int").alias("other_parts"))
+    sizes = written(sizes, "group-sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+
+    def dealt(df: DataFrame, own: str, others: str, name: str, other: str, id_name: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64(f"of_{id_name}", "n"), F.col(own)).cast("int").alias(name)
+        each = F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias(other)
+        return df.join(sizes, key).select(*df.columns, mine, each)
+
+    def meet(_key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = best()
+        blocks = [_unpacked(b, row_names) for b in held.to_dict("records")]
+        for block in asked.to_dict("records"):
+            own = _unpacked(block, query_names)
+            for other in blocks:
+                found.add(block["of_query_id"], own, other)
+        return pd.concat([pd.DataFrame({c.split()[0]: [] for c in _FOUND.split(", ")}), *found.told()])
+
+    group = [*key, "q", "r"]
+    left = dealt(queries, "parts", "other_parts", "q", "r", "query_id").groupBy(*group)
+    right = dealt(rows, "other_parts", "parts", "r", "q", "id").groupBy(*group)
+    return left.cogroup(right).applyInPandas(meet, _FOUND)
+
+
 def nearest(
     queries: DataFrame,
     rows: DataFrame,
@@ -51,53 +208,44 @@ def nearest(
     scores: Callable[[np.ndarray, np.ndarray], np.ndarray] = cosine_scores,
     descending: bool = True,
     by: str | None = None,
+    within: str | None = None,
+    admits: Callable[[Attributes, Attributes], np.ndarray] | None = None,
+    ties: Callable[[Attributes, Attributes], np.ndarray] | None = None,
+    query_columns: Sequence[str] = (),
+    row_columns: Sequence[str] = (),
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k rows nearest to each query, ties by id.
 
-    ``queries`` has (query_id, vector) and ``rows`` (id, vector); vectors of another width than the queries' are left
-    out. Queries are read block by block in order of id. ``by`` names a column of whole numbers of ``rows``: then the k
-    nearest of each of its values are found in the same pass, and the column comes along; rows without one are left out.
+    ``queries`` has (query_id, vector) and ``rows`` (id, vector); vectors meet those of their own width (``widths``
+    counts them), and vectors that are null or hold nulls take no part. ``by`` names a column of whole numbers of
+    ``rows``: then the k nearest of each of its values are found in the same pass, and the column comes along; rows
+    without one are left out. ``within`` names a column of whole numbers of both sides: a query meets only rows with its
+    value, and rows of values that no query has are left out before they are scored. ``admits`` says which rows may be
+    found at all, and ``ties`` which of equal scores comes first, from the whole numbers in ``query_columns`` and
+    ``row_columns`` (``MISSING`` where null): what is not admitted never takes a place among the k.
     """
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    query_names = list(dict.fromkeys(["query_id", *([within] if within else []), *query_columns]))
+    row_names = list(dict.fromkeys(["id", *([within] if within else []), *([by] if by else []), *row_columns]))
     sign = -1.0 if descending else 1.0
-    found = None
-    schema = "query_id long, id long, score double" + (f", {by} long" if by else "")
-    names = ["query_id", "id", "score", *([by] if by else [])]
-    for number in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == number)
-        held = part.select("query_id", "vector").toArrow()
-        if not held.num_rows:
-            continue
-        ids = held.column("query_id").to_numpy()
-        matrix = np.array(held.column("vector").to_pylist(), dtype=np.float64)
-
-        def score(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    vectors = batch.column("vector").slice(at, 2048).to_pylist()
-                    groups = batch.column(2).slice(at, 2048).to_pylist() if by else [0] * len(vectors)
-                    fits = [i for i, v in enumerate(vectors) if v is not None and len(v) == matrix.shape[1] and groups[i] is not None]
-                    if not fits:
-                        continue
-                    own = batch.column("id").to_numpy(zero_copy_only=False)[at:][fits]
-                    order = np.argsort(own, kind="stable")
-                    own = own[order]
-                    table = np.array([vectors[i] for i in fits], dtype=np.float64)[order]
-                    got = scores(matrix, table)
-                    group = np.array([groups[i] for i in fits], dtype=np.int64)[order]
-                    for value in np.unique(group):
-                        of = np.flatnonzero(group == value)
-                        best = of[np.argsort(sign * got[:, of], axis=1, kind="stable")[:, :k]]
-                        n = best.shape[1]
-                        columns = [np.repeat(ids, n), own[best].ravel(), np.take_along_axis(got, best, axis=1).ravel()]
-                        columns += [np.full(len(ids) * n, value)] * bool(by)
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*names])
-
-        scored = rows.select("id", "vector", *([F.col(by).cast("long").alias(by)] if by else [])).mapInArrow(score, schema)
-        found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], f"{schema}, rank int")
-    return ranked(found, ["query_id", *([by] if by else [])], F.desc("score") if descending else F.asc("score"), F.asc("id"), limit=k)
+    best = lambda: _Best(k, scores, sign, admits, ties, within, by)
+    zero = F.lit(0)
+    bounded_batches(queries.sparkSession)
+    asked = written(_packed(queries.where(F.col(within).isNotNull()) if within else queries, query_names, zero), "query-blocks")
+    size = asked.agg(F.sum(F.col("n") * F.col("width") * 8)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        if within:
+            scopes = queries.select(within).distinct()
+            rows = rows.join(F.broadcast(scopes), within, "left_semi")
+        found = _with_broadcast(asked, _packed(rows, row_names, zero), query_names, row_names, best)
+    else:
+        buckets = -(-rows.count() // BUCKET_ROWS) if within else 1
+        bucket = F.pmod(F.xxhash64(F.col(within).cast("long")), F.lit(max(buckets, 1))) if within else zero
+        if buckets > 1:
+            asked = written(_packed(queries.where(F.col(within).isNotNull()), query_names, bucket), "query-blocks")
+        found = _with_groups(asked, written(_packed(rows, row_names, bucket), "row-blocks"), query_names, row_names, best)
+    order = [F.desc("score") if descending else F.asc("score"), F.asc("tie"), F.asc("id")]
+    out = ranked(found, ["query_id", "group"] if by else ["query_id"], *order, limit=k)
+    return out.select("query_id", "id", "score", *([F.col("group").alias(by)] if by else []), "rank")
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column, limit: int | None = None) -> DataFrame:

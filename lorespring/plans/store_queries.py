@@ -15,23 +15,46 @@ _VECTORS = f"""dense AS (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number
   FROM embeddings a JOIN benchmark ON item_id = a.vec_id CROSS JOIN embeddings b QUALIFY rank <= {4 * R.K})"""
 
 
-@query(rf"""WITH {_DEEP}, {_VECTORS},
+_OWNED = "source IN ('src0', 'src2')"
+_SHOWN = f"source IS NULL OR NOT ({_OWNED})"
+
+
+def _hybrid_sql(deep: str, cosines: str, pool: int, seen: str) -> str:
+    return rf"""WITH {deep}, {cosines},
 lists AS (SELECT query_id, 'dense' AS list, id, rank FROM dense UNION ALL SELECT query_id, 'lexical', id, rank FROM bm25),
 sums AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(struct_pack(l := list, r := rank)) AS seen FROM lists GROUP BY 1, 2),
-pool AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS place FROM sums QUALIFY place <= {4 * R.K}),
+pool AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS place FROM sums QUALIFY place <= {pool}),
 seen AS (SELECT pool.*, text, regexp_replace(trim(text), '[\s\x0b\x85\p{{Z}}]+', ' ', 'g') AS key FROM pool JOIN documents ON doc_id = id
-  WHERE text IS NOT NULL AND source NOT IN ('src0', 'src2')),
+  WHERE text IS NOT NULL AND ({seen})),
 once AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY place) = 1),
 cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER AS rank FROM once QUALIFY rank <= {R.K}),
 fit AS (SELECT query_id, id, score, rank, sum(length(text) // 4) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS spent FROM cut)
-SELECT * FROM fit WHERE spent <= 2048""")
-def hybrid_context(spark, sf_dir):
-    """Each benchmark text with the vector of its number: dense and BM25 fused, seen by ``src1``, within the budget."""
+SELECT * FROM fit WHERE spent <= 2048"""
+
+
+def _hybrid(spark, sf_dir, below: bool):
     docs = read(spark, sf_dir, "documents")
     owners = docs.where("source in ('src0', 'src1', 'src2')").select("doc_id", F.col("source").alias("owner"))
     texts, vectors = R.text_queries(spark, sf_dir), R.vector_rows(spark, sf_dir)
     asked = vectors.join(texts.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "vector")
-    return store.hybrid(R.text_rows(spark, sf_dir), vectors, texts, asked, R.K, owners, "src1")
+    return store.hybrid(R.text_rows(spark, sf_dir), vectors, texts, asked, R.K, owners, "src1", below)
+
+
+@query(_hybrid_sql(_DEEP.replace(f"rank <= {4 * R.K}", f"rank <= {8 * R.K}"), _VECTORS.replace(f"rank <= {4 * R.K}", f"rank <= {8 * R.K}"), 8 * R.K, _SHOWN))
+def hybrid_context(spark, sf_dir):
+    """Each benchmark text with the vector of its number: dense and BM25 fused, seen by ``src1``, within the budget."""
+    return _hybrid(spark, sf_dir, below=False)
+
+
+_HIDDEN = f"(SELECT doc_id FROM documents WHERE {_OWNED})"
+
+
+@query(_hybrid_sql(
+    _DEEP.replace("FROM scored QUALIFY", f"FROM scored WHERE id NOT IN {_HIDDEN} QUALIFY"),
+    _VECTORS.replace("CROSS JOIN embeddings b", f"CROSS JOIN (SELECT * FROM embeddings WHERE vec_id NOT IN {_HIDDEN}) b"), 4 * R.K, "true"))
+def hybrid_context_below_access(spark, sf_dir):
+    """``hybrid_context`` with access as part of both searches."""
+    return _hybrid(spark, sf_dir, below=True)
 
 
 _TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations WHERE role <> 'system')"
@@ -53,15 +76,21 @@ def document_provenance(spark, sf_dir):
 
 
 @query("""
-WITH p AS (SELECT q.vec_id AS query_id, s.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score
-  FROM embeddings q JOIN embeddings s ON q.label = s.label AND s.vec_id BETWEEN q.vec_id // 2 AND q.vec_id + 100 WHERE q.vec_id % 20 = 0)
-SELECT query_id, arg_min(id, (-score, id)) AS id, max(score) AS score FROM p GROUP BY 1""")
+WITH s AS (SELECT label AS project, vec_id AS id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place,
+    count(*) OVER (PARTITION BY label) - 1 AS last FROM embeddings WHERE label IS NOT NULL),
+p AS (SELECT q.id AS query_id, s.id, s.place, round(list_cosine_similarity(q.embedding::DOUBLE[], s.embedding::DOUBLE[]), 6) AS score,
+    s.place - q.place // 2 AS l, least(q.place + 9, q.last) - s.place AS r
+  FROM s AS q JOIN s ON q.project = s.project AND s.place BETWEEN q.place // 2 AND q.place + 9 WHERE q.id % 20 = 0)
+SELECT query_id, id, place, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(l, r), l > r) = 1""")
 def snapshot_between_cursors(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("project"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = rows.where("id % 20 = 0").select(
-        F.col("id").alias("query_id"), "project", F.expr("id div 2").alias("low"), (F.col("id") + 100).alias("high"), "vector"
+    """Each label's vectors in order as snapshots of a project; a query looks from half its own place to nine beyond it."""
+    rows = read(spark, sf_dir, "embeddings").where("label is not null")
+    rows = rows.select(F.col("label").alias("project"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    placed = ranked(rows, ["project"], F.asc("id")).withColumn("place", F.col("rank") - 1).drop("rank")
+    queries = placed.where("id % 20 = 0").select(
+        F.col("id").alias("query_id"), "project", F.expr("place div 2").alias("low"), (F.col("place") + 9).alias("high"), "vector"
     )
-    return store.best_between(queries, rows)
+    return store.best_between(queries, placed)
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")

@@ -107,8 +107,9 @@ def test_nearest_in_blocks_of_queries(spark, monkeypatch):
         return sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in vectors.nearest(queries, rows, 3).collect())
 
     whole = found()
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
-    assert found() == whole and len(whole) == 27
+    for name, value in (("BLOCK_ROWS", 2), ("BROADCAST_BYTES", 0), ("GROUP_BYTES", 256)):
+        monkeypatch.setattr(vectors, name, value)
+        assert found() == whole and len(whole) == 27
     assert all(q == i for q, rank, i, _ in whole if rank == 1)
     assert vectors.nearest(queries.limit(0), rows, 3).count() == 0
 
