@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
-from lorespring.operators.steps import written
+from lorespring.operators.jobs import trimmed
+from lorespring.operators.steps import Rounds, discard, written
 
 # Words that a title leaves out.
 FILLER = (
@@ -129,33 +130,22 @@ def answered_once(log: DataFrame, answers: DataFrame) -> DataFrame:
 
 def levels(jobs: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Jobs (id) with the level each can run at, given edges (id, needs), and those that a cycle or an unknown need holds."""
-    placed = written(jobs.join(edges.select("id").distinct(), "id", "left_anti").withColumn("level", F.lit(0)), "placed")
-    left = written(jobs.join(placed, "id", "left_anti"), "left")
-    level = 0
-    while True:
-        done = placed.select(F.col("id").alias("needs"), F.lit(True).alias("done"))
-        waiting = edges.join(done, "needs", "left").groupBy("id").agg(F.count_if(F.col("done").isNull()).alias("open"))
-        ready = left.join(waiting.where("open = 0").select("id"), "id", "left_semi")
-        level += 1
-        ready = written(ready.withColumn("level", F.lit(level)), "ready")
-        if ready.isEmpty():
-            return placed, left
-        placed = written(placed.unionByName(ready), "placed")
-        left = written(left.join(ready.select("id"), "id", "left_anti"), "left")
+    placed = trimmed(jobs, edges.join(jobs, "id", "left_semi").select("id", "needs").distinct())
+    return placed.rows(), jobs.join(placed.rows().select("id"), "id", "left_anti")
 
 
 def dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(id, root, depth): what depends on each root, however far, given edges (id, needs); a root is its own at depth 0.
 
-    Each round takes one more step from what the last one reached first, so cycles end and chains may be of any length.
+    Each round takes one more step from what the last one reached first, so cycles end and chains may be of any length;
+    it writes only what it reaches first.
     """
-    reached = written(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "reached")
-    front, depth = reached, 0
-    while True:
+    reached, depth = Rounds(edges.sparkSession, "reached"), 0
+    edges = written(edges, "edges")
+    front = reached.add(roots.select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
+    while not front.isEmpty():
         depth += 1
         after = front.select(F.col("id").alias("needs"), "root").join(edges, "needs").select("id", "root").distinct()
-        front = after.join(reached, ["id", "root"], "left_anti").withColumn("depth", F.lit(depth))
-        front = written(front, "front")
-        if front.isEmpty():
-            return reached
-        reached = written(reached.unionByName(front), "reached")
+        front = reached.add(after.join(reached.rows(), ["id", "root"], "left_anti").withColumn("depth", F.lit(depth)))
+    discard(edges)
+    return reached.rows()

@@ -23,13 +23,16 @@ CONTEXT_CHARS = 400
 CONTENT_TYPES = (
     "text/plain", "text/html", "text/markdown", "application/json", "application/xhtml+xml", "application/xml", "text/xml",
 )
+# A word, a compound, and what shows that a text is markup.
 WORD = "[a-z0-9][a-z0-9+#]*"
+COMPOUND = "[a-z0-9]+(?:[_-][a-z0-9]+)+"
+MARKUP = r"(?i)<\s*(html|body|div|p|li|a|span|h[1-6])\b"
 
 
 def term_tokens(terms: Column, host: Column) -> Column:
     """Distinct words of three letters and more, then joined compounds, without plain words and parts of the host."""
     lower = F.lower(terms)
-    compounds = F.regexp_extract_all(lower, F.lit("[a-z0-9]+(?:[_-][a-z0-9]+)+"), F.lit(0))
+    compounds = F.regexp_extract_all(lower, F.lit(COMPOUND), F.lit(0))
     every = F.concat(F.regexp_extract_all(lower, F.lit(WORD), F.lit(0)), F.transform(compounds, lambda c: F.translate(c, "_-", "")))
     good = lambda w: (F.length(w) >= 3) & ~w.isin(*PLAIN_WORDS) & ~F.contains(F.lower(host), w)
     return F.array_distinct(F.filter(every, good))
@@ -52,7 +55,7 @@ def readable(text: Column) -> Column:
     shown = without(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), "script", "style", "noscript", *CHROME)
     lines = F.split(T.unescape_xml(F.regexp_replace(shown, "<[^>]*>", "\n")), r"\r\n|[\n\r]")
     lines = F.filter(F.transform(lines, T.strip_white), lambda line: line != "")
-    return F.when(F.regexp_like(text, F.lit(r"(?i)<\s*(html|body|div|p|li|a|span|h[1-6])\b")), F.array_join(lines, "\n")).otherwise(text)
+    return F.when(F.regexp_like(text, F.lit(MARKUP)), F.array_join(lines, "\n")).otherwise(text)
 
 
 def joined_url(base: Column, href: Column) -> Column:

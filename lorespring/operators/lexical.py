@@ -118,7 +118,7 @@ def postings(df: DataFrame, stemming: bool = False, wanted: DataFrame | None = N
     Words are counted before they are shuffled, since all words of a text lie in one task; a wanted list is looked up
     before they are counted.
     """
-    found = F.transform(T.words(F.col("text")), F.lower)
+    found = F.transform(T.words(F.coalesce(F.col("text"), F.lit(""))), F.lower)
     sized = df.select("id", *carried, (stemmed(found) if stemming else found).alias("words")).withColumn("length", F.size("words"))
     each = sized.select("id", *carried, "length", F.explode("words").alias("term"))
     if wanted is not None:
@@ -129,7 +129,7 @@ def postings(df: DataFrame, stemming: bool = False, wanted: DataFrame | None = N
 
 def collection(df: DataFrame, stemming: bool = False) -> DataFrame:
     """One row: n, the number of texts, and mean, that of their lengths in words."""
-    found = F.transform(T.words(F.col("text")), F.lower)
+    found = F.transform(T.words(F.coalesce(F.col("text"), F.lit(""))), F.lower)
     return df.select(F.size(stemmed(found) if stemming else found).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
 
 

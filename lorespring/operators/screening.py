@@ -51,11 +51,16 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.join(best, "id", "left").select("id", "host", "path", F.coalesce("said", F.lit(True)).alias("allowed"))
 
 
-def dataset_verdict(licence: Column, size: Column, licences: list[str], most: int = MAX_BYTES) -> Column:
-    """Why a dataset is turned away, by the first reason that holds; null for one that is taken."""
+def dataset_verdict(licence: Column, size: Column, allowed: Column | list[str], most: int = MAX_BYTES) -> Column:
+    """Why a dataset is turned away, by the first reason that holds; null for one that is taken.
+
+    ``allowed`` lists licences, or is a column that is true where a lookup has found the dataset's.
+    """
+    if isinstance(allowed, list):
+        allowed = F.lower(F.trim(licence)).isin(allowed)
     return (
         F.when(licence.isNull() | (F.trim(licence) == ""), "licence missing")
-        .when(~F.lower(F.trim(licence)).isin(licences), "licence not allowed")
+        .when(~F.coalesce(allowed, F.lit(False)), "licence not allowed")
         .when(size.isNull(), "size unknown")
         .when(size > most, "too big")
     )

@@ -37,6 +37,38 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+class Rounds:
+    """Rows that rounds add to a table: each writes only its own, and all are read together."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.count, self.schema = spark, new_folder(spark, name), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write a round's rows; these rows."""
+        path, self.schema = f"{self.path}/round={self.count}", df.schema
+        df.write.parquet(path)
+        self.count += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds."""
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+    def discard(self) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bounded_batches(spark: SparkSession, size: int = 16 << 20) -> None:
     """Batches to Python hold ``size`` bytes at most, however wide the rows are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

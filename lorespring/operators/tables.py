@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespring.operators.steps import written
+from lorespring.operators.steps import Rounds, discard, written
 
 
 def new_rows(existing: DataFrame, batch: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -30,6 +30,72 @@ def upserted(existing: DataFrame, batch: DataFrame, keys: list[str], kept: list[
     return both.select(*out)
 
 
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """``df`` with a number from 1 on by columns in order.
+
+    Numbers are given within ranges of the order and then shifted by the ranges before, so no task sees all rows.
+    """
+    # Written once: the number of a range must be the same for its rows and its size.
+    ranged = written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    placed = ranged.withColumn("place_in_part", place).join(F.broadcast(sizes), "part")
+    return placed.withColumn(name, (F.col("before") + F.col("place_in_part")).cast("long")).drop("part", "before", "place_in_part")
+
+
+def merged_labels(requests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pos, vector_id, chunk_id, model, label, verdict): what becomes of each request for a label.
+
+    ``requests`` has (pos, vector_id, chunk_id, model) with distinct positions, ``labels`` (label, vector_id, chunk_id,
+    model), where no vector and no chunk occurs twice. In order of position, a request whose chunk and vector are both
+    new is ``created`` and gets the next free label, one that has its label gets that: ``same``, or ``other_model`` if
+    another model made it; where only one of the two is known, or both from different rows, it is a ``conflict``. A
+    request without a vector or chunk is ``malformed``. Only created ones are new to the requests behind them: a round
+    decides the requests that are first of both their chunk and their vector among the undecided, and those that meet
+    what it creates.
+    """
+    columns = ["pos", "vector_id", "chunk_id", "model"]
+    bad = F.col("vector_id").isNull() | (F.col("vector_id") < 0) | F.col("chunk_id").isNull()
+    open_ = written(requests.where(~bad).select(columns), "requests")
+    decided = Rounds(requests.sparkSession, "decided")
+
+    def settled(asked: DataFrame, held: DataFrame) -> DataFrame:
+        """Verdicts of the requests that meet a held row, with its position or label as ``owner``."""
+        mine = held.select("owner", F.col("vector_id").alias("v"), F.col("chunk_id").alias("c"), F.col("model").alias("m"))
+        both = asked.join(mine.select("c", F.struct("owner", "v", "m").alias("by_chunk")), asked["chunk_id"] == F.col("c"), "left")
+        both = both.join(mine.select("v", F.col("owner").alias("by_vector")), both["vector_id"] == F.col("v"), "left")
+        met = both.where(F.col("by_chunk").isNotNull() | F.col("by_vector").isNotNull())
+        same = F.coalesce(F.col("by_chunk.v") == F.col("vector_id"), F.lit(False))
+        verdict = F.when(~same, "conflict").when(F.col("by_chunk.m").eqNullSafe(F.col("model")), "same").otherwise("other_model")
+        return met.select(*columns, F.when(same, F.col("by_chunk.owner")).alias("owner"), verdict.alias("verdict"))
+
+    # Labels and positions are told apart: an owner below 0 is a label.
+    stored = labels.select((-1 - F.col("label")).alias("owner"), "vector_id", "chunk_id", "model")
+    front = decided.add(settled(open_, stored))
+    while True:
+        rest = written(open_.join(front.select("pos"), "pos", "left_anti"), "requests")
+        discard(open_)
+        open_ = rest
+        if open_.isEmpty():
+            break
+        firsts = open_.withColumn("a", F.min("pos").over(Window.partitionBy("chunk_id"))).withColumn("b", F.min("pos").over(Window.partitionBy("vector_id")))
+        new = firsts.where((F.col("pos") == F.col("a")) & (F.col("pos") == F.col("b"))).drop("a", "b")
+        new = written(new.withColumn("owner", F.col("pos")), "created")
+        others = open_.join(new.select("pos"), "pos", "left_anti")
+        front = decided.add(new.withColumn("verdict", F.lit("created")).unionByName(settled(others, new)))
+        discard(new)
+    top = labels.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
+    made = numbered(decided.rows().where("verdict = 'created'").select("pos"), "nth", "pos").join(F.broadcast(top))
+    made = made.select(F.col("pos").alias("owner"), (F.col("top") + F.col("nth")).alias("made"))
+    out = decided.rows().join(made, "owner", "left")
+    label = F.when(F.col("made").isNotNull(), F.col("made")).when(F.col("owner") < 0, -1 - F.col("owner"))
+    out = out.select(*columns, label.cast("long").alias("label"), "verdict")
+    malformed = requests.where(bad).select(*columns, F.lit(None).cast("long").alias("label"), F.lit("malformed").alias("verdict"))
+    return out.unionByName(malformed)
+
+
 def labelled(existing: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     """Each key of a batch with its label: the table's, or the next free ones in order.
 
@@ -38,14 +104,8 @@ def labelled(existing: DataFrame, batch: DataFrame, key: str, order: str) -> Dat
     known = batch.join(existing.select(key, "label"), key, "left")
     fresh = known.where("label is null").drop("label")
     top = existing.agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
-    # Written once: the number of a range must be the same for its rows and its size.
-    ranged = written(fresh.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranged")
-    ranged = ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    given = ranged.join(F.broadcast(sizes), "part").join(F.broadcast(top))
-    given = given.withColumn("label", F.col("top") + F.col("before") + F.col("place")).drop("top", "before", "place", "part")
+    given = numbered(fresh, "nth", order).join(F.broadcast(top))
+    given = given.withColumn("label", F.col("top") + F.col("nth")).drop("top", "nth")
     return known.where("label is not null").unionByName(given)
 
 
