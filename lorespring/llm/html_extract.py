@@ -6,9 +6,12 @@ matching nodes are aligned in order so that the most nodes match below; as kinds
 heaviest increasing subsequence, and the work is linear in the pages but for a logarithm. The page whose tree has the
 most usual shape is the one aligned with. A node whose text is the same on most of a chunk's distinct pages is
 template; what varies is a slot. The text of a page is the blocks of its content slots: those of the article where the
-page marks one, else every slot that is not a menu, header, footer, sidebar, notice, advert, form or comment. Class
-words that article text may carry too (``SOFT_WORDS``) set apart nothing inside an article. Pages with the same
-article, whatever stands around it, are one page as evidence, so that an article copied all over a host is no template.
+page marks one, else every slot that is not a menu, header, footer, sidebar, notice, advert, form or comment. Inside a
+marked article a constant node is template only if it can be no text: where its slot has no other text on any page, and
+it is all links or a box with a class of its own, or where it closes the article on every one of many pages; headings,
+captions and cells of tables always stay. Class words that article text may carry too
+(``SOFT_WORDS``) set apart nothing inside an article. Pages with the same article, whatever stands around it, are one
+page as evidence, so that an article copied all over a host is no template.
 
 Defined results: null or empty html gives an empty text; a page alone on its host is read by its marks only; hosts
 come from the URL (null: one host of its own); repeated rows and copies of a page count once as evidence and each get
@@ -37,6 +40,11 @@ CHUNK_PAGES = 24
 BROADCAST_HOSTS = 100_000
 #: A node is template if its text is on this share of a chunk's distinct pages, and on so many at least.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 3
+#: Inside a marked article: the share of a constant node's letters that are in links, and the distinct pages that all close with it.
+LINK_SHARE, CLOSING_PAGES = 0.8, 8
+# Elements that are text wherever they are in an article, however often they return; and those that are only boxes.
+KEPT = set("h1 h2 h3 h4 h5 h6 hgroup th td tr thead tbody table caption figcaption dt dd dl".split())
+BOXES = set("div section ul ol dir center".split())
 
 # HTML's void, raw-text and phrasing elements, and the elements that close an open paragraph.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -141,23 +149,22 @@ def raw_end(page: str, at: int, tag: str) -> int:
 def parse(page: str) -> Node:
     """The DOM tree, with the end tags that HTML lets a page leave out."""
     root = here = Node("#root", "", None)
-    at, still_open = 0, Counter()
+    at, depth = 0, 0
+    #: The open elements of each tag, with how deep they lie.
+    still_open: dict[str, list[tuple[int, Node]]] = defaultdict(list)
 
     def leave(node: Node) -> None:
-        nonlocal here
+        nonlocal here, depth
         while here is not node:
-            still_open[here.tag] -= 1
-            here = here.parent
+            still_open[here.tag].pop()
+            here, depth = here.parent, depth - 1
 
     def close(shut: set, scope: set) -> None:
-        if not any(still_open[t] for t in shut):
-            return
-        x = here
-        while x.parent is not None and x.tag not in scope:
-            if x.tag in shut:
-                leave(x.parent)
-                return
-            x = x.parent
+        innermost = [still_open[t][-1] for t in shut if still_open[t]]
+        if innermost:
+            level, node = max(innermost, key=lambda x: x[0])
+            if all(level > still_open[t][-1][0] for t in scope if still_open[t]):
+                leave(node.parent)
 
     for start, end, slash, tag, attributes in tags(page):
         if start > at:
@@ -167,10 +174,7 @@ def parse(page: str) -> Node:
             continue
         if slash:
             if still_open[tag]:
-                x = here
-                while x.tag != tag:
-                    x = x.parent
-                leave(x.parent)
+                leave(still_open[tag][-1][1].parent)
             continue
         if tag in CLOSES_P:
             close({"p"}, P_SCOPE)
@@ -181,8 +185,8 @@ def parse(page: str) -> Node:
         if tag in RAW:
             at = raw_end(page, end, tag)
         elif tag not in VOID and not attributes.rstrip().endswith("/"):
-            here = node
-            still_open[tag] += 1
+            here, depth = node, depth + 1
+            still_open[tag].append((depth, node))
     if at < len(page):
         here.items.append(page[at:])
     return root
@@ -350,10 +354,65 @@ def induce(trees: list[Node]) -> None:
         if distinct[texts[i]] == i:
             for key in own:
                 seen[key] += 1
-    for own in aligned:
+    wordings = Counter(slot for slot, text in seen if text)
+    for tree, own in zip(trees, aligned, strict=True):
+        articles = article_roots(tree)
+        marked = {id(x) for root in articles for x in below(root)}
+        closing = set()
         for key, nodes in own.items():
+            constant = key[1] != 0 and seen[key] >= least
             for node in nodes:
-                node.template = key[1] != 0 and seen[key] >= least
+                if id(node) not in marked:
+                    node.template = constant
+                elif key[1] != 0 and node.tag not in KEPT:
+                    box = node.tag in BOXES and node.sign[1] != ""
+                    node.template = constant and wordings[key[0]] == 1 and (box or all_links(node))
+                    if seen[key] == len(distinct) >= CLOSING_PAGES:
+                        closing.add(id(node))
+        for root in articles:
+            close_article(root, closing)
+
+
+def below(node: Node) -> Iterator[Node]:
+    """The node and all nodes below it."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        yield x
+        todo.extend(x.kids())
+
+
+def all_links(node: Node) -> bool:
+    """Whether nearly all of a node's text is that of links."""
+    linked = total = 0
+    todo: list[tuple] = [(node, False)]
+    while todo:
+        x, in_link = todo.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            total, linked = total + n, linked + n * in_link
+        else:
+            todo.extend((i, in_link or x.tag == "a") for i in x.items)
+    return total > 0 and linked >= LINK_SHARE * total
+
+
+def close_article(root: Node, closing: set[int]) -> None:
+    """Mark the nodes behind all that varies, at the end of an article, that every page closes with."""
+    here: Node | None = root
+    while here is not None:
+        inside = None
+        for item in reversed(here.items):
+            if isinstance(item, str):
+                if item.split():
+                    return
+            elif item.apart or item.template:
+                continue
+            elif id(item) in closing:
+                item.template = True
+            else:
+                inside = item
+                break
+        here = inside if inside is not None and inside.tag not in KEPT else None
 
 
 def main_text(tree: Node) -> str:

@@ -26,7 +26,10 @@ WITH w AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(reach.n, 0)::BIGINT AS n_repeat_words,
     coalesce(lines.n, 0) AS n_lines,
-    len(list_filter(ws, lambda x: x IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop
+    len(list_filter(list_transform(ws, lambda x: lower(x)), lambda x: x IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop,
+    len(ws) - len(list_distinct(list_transform(ws, lambda x: lower(x)))) AS n_again,
+    length(regexp_replace(array_to_string(ws, ''), '\P{{Latin}}+', '', 'g')) AS n_latin,
+    length(regexp_replace(array_to_string(ws, ''), '\P{{L}}+', '', 'g')) AS n_letters
   FROM w LEFT JOIN reach USING (doc_id) LEFT JOIN lines USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -34,7 +37,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
     AND word_chars / greatest(n_words, 1)::DOUBLE BETWEEN 2.0 AND 14.0
     AND n_symbols / greatest(n_words, 1)::DOUBLE <= 0.25
-    AND n_stop / greatest(n_words, 1)::DOUBLE >= 0.01
+    AND (greatest(n_stop, n_again) / greatest(n_words, 1)::DOUBLE >= 0.03 OR n_letters - n_latin > n_latin)
     AND n_dup_lines / greatest(n_lines, 1)::DOUBLE <= 0.5 AS kept
 FROM base
 """

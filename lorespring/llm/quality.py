@@ -37,11 +37,12 @@ class Rule:
     most: float | None = None
 
 
-#: Bounds far from what prose of any language has.
+#: Bounds far from what prose of any language has. Grammar words are the stop words above, or what is said again: prose of
+#: other languages repeats its own function words, salad of words doesn't. Where most letters aren't Latin all words count.
 RULES = (
     Rule("mean_word_length", 2.0, 14.0),
     Rule("symbols_per_word", None, 0.25),
-    Rule("stop_words_per_word", 0.01, None),
+    Rule("grammar_words_per_word", 0.03, None),
     Rule("duplicate_lines_per_line", None, 0.5),
 )
 MIN_WORDS = 50
@@ -84,6 +85,15 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) < 4, F.lit(0)).otherwise(let(hashes, of_windows)).cast("long")
 
 
+def _grammar(c: Column, per_word: Column) -> Column:
+    """The share of grammar words; 1 where most letters are of other scripts than Latin."""
+    share = F.greatest(c["n_stop_words"], c["n_said_again"]) / per_word
+    latin = F.length(F.regexp_replace(c["joined"], r"\P{IsLatin}+", ""))
+    others = F.length(F.regexp_replace(c["joined"], r"\P{L}+", "")) - latin
+    # Letters are only counted where too few words tell.
+    return F.when(share >= 0.03, share).when(others > latin, F.lit(1.0)).otherwise(share)
+
+
 def _lines(text: Column) -> Column:
     """The \\n-separated lines that hold a word."""
     return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) != "")
@@ -99,7 +109,7 @@ def quality_metrics(text: Column, rules: Sequence[Rule] = RULES) -> Column:
             ratios = {
                 "mean_word_length": c["word_chars"] / per_word,
                 "symbols_per_word": c["n_symbols"] / per_word,
-                "stop_words_per_word": c["n_stop_words"] / per_word,
+                "grammar_words_per_word": _grammar(c, per_word),
                 "duplicate_lines_per_line": c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1)),
             }
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
@@ -122,6 +132,10 @@ def quality_metrics(text: Column, rules: Sequence[Rule] = RULES) -> Column:
                 (F.length(joined) - F.length(F.regexp_replace(joined, f"[{SYMBOLS}]+", ""))).alias("symbols"),
             )
 
+        def of_lower(lower: Column) -> Column:
+            stop = F.size(F.filter(lower, lambda x: x.isin(STOP_WORDS)))
+            return F.struct(stop.alias("stop"), (F.size(lower) - F.size(F.array_distinct(lower))).alias("again"))
+
         def of_lines(lines: Column) -> Column:
             return F.struct(
                 F.size(lines).alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).alias("dup")
@@ -133,7 +147,8 @@ def quality_metrics(text: Column, rules: Sequence[Rule] = RULES) -> Column:
                 let(F.array_join(w, ""), of_joined).alias("j"),
                 let(_lines(text), of_lines).alias("l"),
                 _repeat_words(w).alias("r"),
-                F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))).alias("s"),
+                let(F.transform(w, F.lower), of_lower).alias("s"),
+                F.array_join(w, "").alias("t"),
             ),
             lambda m: let(
                 F.struct(
@@ -142,7 +157,9 @@ def quality_metrics(text: Column, rules: Sequence[Rule] = RULES) -> Column:
                     m["j"]["symbols"].alias("n_symbols"),
                     m["l"]["dup"].alias("n_dup_lines"),
                     m["r"].alias("n_repeat_words"),
-                    m["s"].alias("n_stop_words"),
+                    m["s"]["stop"].alias("n_stop_words"),
+                    m["s"]["again"].alias("n_said_again"),
+                    m["t"].alias("joined"),
                     m["l"]["n"].alias("n_lines"),
                 ),
                 counted,

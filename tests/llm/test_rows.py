@@ -177,3 +177,19 @@ def test_targets_reshare_what_caps_cut_off(spark):
     sources = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 5)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sources).collect()}
     assert got["a"] == 30 and got["b"] == 300 and got[None] == 15 and abs(got["c"] - (1115 - 345)) < 1e-9
+
+
+def test_quality_knows_other_languages_and_capitals(spark):
+    rng = random.Random(5)
+    russian = "снег лежал на крышах и во дворах а мы шли по улице и молчали потому что на углу стоял старый дом в котором никто не жил "
+    polish = "kiedy wiatr ucichł na polach i w lesie to stary dom na wzgórzu był cichy i pusty a my szliśmy do niego powoli i bez słowa bo na "
+    salad = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(80))
+    texts = [
+        " ".join(russian.split() + ["слово%d" % i for i in range(40)]),
+        " ".join(f"слово{chr(0x430 + i % 32)}{chr(0x430 + i // 32)}" for i in range(80)),
+        " ".join(polish.split() + [f"łąka{i}" for i in range(40)]),
+        " ".join(f"THE {w.upper()}" for w in salad.split()),
+        salad,
+    ]
+    got = quality.judge(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [(r.base_failed, r.kept) for r in got] == [(False, True)] * 4 + [(False, False)]

@@ -6,6 +6,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorespring.llm import html_extract, pii, url_filters
 from lorespring.llm.url_filters import UrlRule, base_rule
@@ -241,3 +242,44 @@ def test_deep_long_and_broken_pages_take_linear_time(spark):
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
     assert time.perf_counter() - begun < 60
     assert got[0] == "deep\n0" and got[1].startswith("t0\ntext 0\nt1") and got[1].endswith("text 2999\n1") and len(got) == 12
+
+
+def test_article_text_that_returns_is_kept(spark):
+    """Headings, table headers and usual sentences stay; links, and what closes every article, go."""
+    page = (
+        "<html><body><article><h1>Title {0}</h1><h2>Background</h2><p>{1}</p><table><tr><th>Year</th><th>Town</th></tr>"
+        "<tr><td>{0}</td><td>Town {0}</td></tr></table><p>{2}</p><ul class='more'><li><a href='/a'>First</a></li></ul>"
+        "<p>As we said in {0}.</p>{3}</article></body></html>"
+    )
+    usual = "Results vary from year to year."
+    rows = []
+    for host, closing in (("a", ""), ("b", "<p>All rights with the authors.</p>")):
+        for i in range(24):
+            body = page.format(i, f"Body {i} of its own.", usual if i < 17 else f"In {i} results varied.", closing)
+            rows.append((1000 * (host == "b") + i, f"https://{host}.org/{i}", body))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(24):
+        want = ["Title %d" % i, "Background", f"Body {i} of its own.", "Year", "Town", str(i), f"Town {i}"]
+        want += [usual if i < 17 else f"In {i} results varied.", f"As we said in {i}."]
+        assert got[i] == got[1000 + i] == "\n".join(want)
+
+
+def test_many_open_elements_close_in_linear_time():
+    begun = time.perf_counter()
+    html_extract.parse("<p><button>" + "<i>" * 40_000 + "<hr>" * 40_000)
+    assert time.perf_counter() - begun < 4
+
+
+def test_articles_without_marks_read_the_same(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", r"<(/?)(article|main)\b", "<$1div"))
+    texts = [{(r.page_id, r.text) for r in html_extract.extract(df).collect()} for df in (pages, bare)]
+    assert texts[0] == texts[1]
+
+
+def test_odd_tables_of_pages(spark):
+    schema = "page_id long, url string, html string, text string, host string, chunk long"
+    rows = [(1, None, "<p>a</p>", "x", "y", 1), (1, None, "<p>a</p>", "x", "y", 1), (None, "nothing", None, None, None, None)]
+    got = [tuple(r) for r in html_extract.extract(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, "a", 1), (1, None, "a", 1), (None, "nothing", "", 0)], key=str)
+    assert html_extract.extract(spark.createDataFrame([], schema)).count() == 0
