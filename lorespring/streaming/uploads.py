@@ -78,7 +78,7 @@ class Assembly(StatefulProcessor):
                         self.early.removeKey((at["next"],))
                         out += self._take(key, at, tuple(waited))
         self.progress.update(tuple(at[n] for n in _NAMES))
-        due = latest + self.limits.wait_seconds * 1000
+        due = latest  # the watermark is behind by the wait
         for old in list(self.handle.listTimers()):
             due = max(due, old)
             self.handle.deleteTimer(old)
@@ -145,9 +145,12 @@ class Assembly(StatefulProcessor):
 
 
 def assembled(pieces: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The verdicts on a stream of pieces; an upload is given up when the stream's time has passed its last piece by the wait."""
+    """The verdicts on a stream of pieces; an upload is given up when the stream's time has passed its last piece by the wait.
+
+    A piece that comes later than that is dropped.
+    """
     pieces.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    late = pieces.withWatermark("at", "0 seconds").where("upload_id is not null and seq is not null")
+    late = pieces.withWatermark("at", f"{limits.wait_seconds} seconds").where("upload_id is not null and seq is not null")
     return late.groupBy("upload_id").transformWithStateInPandas(Assembly(limits), RESULT, "append", "eventTime")
 
 
