@@ -186,40 +186,71 @@ def joined_intervals(
     return pd.concat(out, ignore_index=True)
 
 
-def alike_sets(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the passages of x and y from each place on are 0.75 alike or more as sets."""
-    out = np.zeros(len(at), dtype=bool)
-    distinct = lambda rows: 1 + (np.diff(np.sort(rows, axis=1), axis=1) != 0).sum(axis=1)
-    for k in range(0, len(at), 8192):
-        places = at[k : k + 8192, None] + np.arange(PASSAGE)
-        p, q = x[places], y[places]
-        union = distinct(np.concatenate([p, q], axis=1))
-        out[k : k + 8192] = 100 * (distinct(p) + distinct(q) - union) >= 75 * union
-    return out
+def _before(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens' order by value and place, and for each token the place of the same one before it; -1 for none."""
+    order = np.argsort(tokens, kind="stable")
+    before = np.full(len(tokens), -1, dtype=np.int64)
+    same = tokens[order[1:]] == tokens[order[:-1]]
+    before[order[1:][same]] = order[:-1][same]
+    return order, before
+
+
+def _added(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each of n passages how many of the ranges hold it; ranges that end before they begin hold none."""
+    first, last = np.maximum(first, 0), np.minimum(last, n - 1)
+    good = first <= last
+    steps = np.bincount(first[good], minlength=n + 1) - np.bincount(last[good] + 1, minlength=n + 1)
+    return np.cumsum(steps[:n])
+
+
+def alike_sets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the passages of x and y from each place on are 0.75 alike or more as sets.
+
+    Each token counts for the passages that it is the first of its kind in. A token of x and an equal one of y count
+    together for the passages that both do, so each kind that a pair of passages shares counts once.
+    """
+    n = len(x) - PASSAGE + 1
+    if n < 1:
+        return np.zeros(0, dtype=bool)
+    (_, before_x), (order, before_y) = _before(x), _before(y)
+    place = np.arange(len(x))
+    from_x, from_y = np.maximum(place - PASSAGE + 1, before_x + 1), np.maximum(place - PASSAGE + 1, before_y + 1)
+    size_x, size_y = _added(n, from_x, place), _added(n, from_y, place)
+    # The places of y with x's token, near enough to lie in one passage with it.
+    kinds, rank = np.unique(y, return_inverse=True)
+    by_place = rank[order].astype(np.int64) * (4 * len(y)) + order
+    mine = np.searchsorted(kinds, x)
+    known = kinds[np.minimum(mine, len(kinds) - 1)] == x
+    base = mine.astype(np.int64) * (4 * len(y)) + place
+    low = np.searchsorted(by_place, np.maximum(base - PASSAGE + 1, mine * (4 * len(y))))
+    high = np.where(known, np.searchsorted(by_place, base + PASSAGE - 1, side="right"), low)
+    count = np.maximum(high - low, 0)
+    u = np.repeat(place, count)
+    v = order[np.repeat(low, count) + np.arange(len(u)) - np.repeat(np.cumsum(count) - count, count)]
+    both = _added(n, np.maximum(from_x[u], from_y[v]), np.minimum(u, v))
+    return 100 * both >= 75 * (size_x + size_y - both)
 
 
 def compared(x: np.ndarray, y: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Laid on each other, where x and y repeat: first passage and number of each run, and which places have any.
 
     A place is ``n`` passages from ``at`` on. Tokens in place decide first: where so many of a passage's tokens agree,
-    the Jaccard similarity is 0.75 or more. If that finds nothing, as with a word put in or left out, the sets of the
-    middle pair are compared.
+    the Jaccard similarity is 0.75 or more. Unless that covers every place, as where words are put in or left out, all
+    passages are compared as sets too.
     """
     same = np.concatenate(([0], np.cumsum(x == y)))
+    passages = len(x) - PASSAGE + 1
     hit = np.zeros(len(x) + 1, dtype=bool)
-    hit[: len(x) - PASSAGE + 1] = same[PASSAGE:] - same[:-PASSAGE] >= IN_PLACE
+    hit[:passages] = same[PASSAGE:] - same[:-PASSAGE] >= IN_PLACE
     hits = np.concatenate(([0], np.cumsum(hit)))
-    found = hits[at + n] > hits[at]
-    other = np.flatnonzero(~found)
-    middle = at[other] + n[other] // 2
-    also = alike_sets(x, y, middle)
-    found[other[also]] = True
-    hit[middle[also]] = True
+    if (hits[at + n] - hits[at] < n).any():
+        hit[:passages] |= alike_sets(x, y)
+        hits = np.concatenate(([0], np.cumsum(hit)))
     inside = np.zeros(len(x) + 1, dtype=np.int64)
     np.add.at(inside, at, 1)
     np.add.at(inside, at + n, -1)
     runs = np.flatnonzero(np.diff((hit & (np.cumsum(inside) > 0)).astype(np.int8), prepend=0, append=0))
-    return runs[::2], runs[1::2] - runs[::2], found
+    return runs[::2], runs[1::2] - runs[::2], hits[at + n] > hits[at]
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
