@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespring.functions import text as T
 from lorespring.operators.steps import Rounds, discard, written
 
 
@@ -109,6 +110,35 @@ def labelled(existing: DataFrame, batch: DataFrame, key: str, order: str) -> Dat
     return known.where("label is not null").unionByName(given)
 
 
+def looked_up(table: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a table at any of the keys, whose columns have the same names; nulls are equal."""
+    t, k = table.alias("t"), keys.select(*columns).alias("k")
+    return t.join(k, reduce(lambda a, b: a & b, (F.col(f"t.{c}").eqNullSafe(F.col(f"k.{c}")) for c in columns)), "left_semi")
+
+
+def identifier_verdict(value: Column) -> Column:
+    """A struct of an identifier without surrounding white space, null where there is nothing else, and whether it can be one."""
+    stripped = T.strip_white(value)
+    good = F.coalesce(stripped != "", F.lit(False))
+    return F.struct(F.when(good, stripped).alias("identifier"), good.alias("usable"))
+
+
+def updated(table: DataFrame, changes: DataFrame, keys: list[str], where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table with changes (keys and new values), and (keys, n_rows, verdict) of each change.
+
+    A change replaces the columns that it has in all rows of its key, those that ``where`` holds for if it is given. Of
+    changes that share a key one counts, by the order of their values. The verdict is ``updated`` or ``not found``.
+    """
+    values = [c for c in changes.columns if c not in keys]
+    one = changes.groupBy(*keys).agg(F.min(F.struct(*values)).alias("new"))
+    marked = table.withColumn("holds", F.coalesce(where, F.lit(False)) if where is not None else F.lit(True))
+    both = marked.join(one, keys, "left").withColumn("hit", F.col("holds") & F.col("new").isNotNull())
+    rows = both.select(*(F.when(F.col("hit"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in table.columns))
+    counts = both.where("hit").groupBy(*keys).agg(F.count("*").alias("n_rows"))
+    told = one.select(*keys).join(counts, keys, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long")))
+    return rows, told.withColumn("verdict", F.when(F.col("n_rows") > 0, "updated").otherwise("not found"))
+
+
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose parent is missing, null keys included."""
     return child.join(parent.select(key), key, "left_anti")

@@ -9,7 +9,7 @@ from lorespring.operators.constraints import check, foreign_key, primary_key, un
 from lorespring.operators.keyword_index import KeywordIndex
 from lorespring.operators.steps import new_folder
 from lorespring.operators.vector_pages import VectorPages
-from lorespring.operators.vectors import cosine_scores, nearest
+from lorespring.operators.vectors import cosine_scores, nearest, ranked
 from lorespring.plans import recall_queries as M
 from lorespring.plans import retrieval_queries as R
 from lorespring.plans.registry import query, read
@@ -249,3 +249,55 @@ def evidence_of_sub_queries(spark, sf_dir):
     hits = found.join(parts.drop("vector"), "query_id").select(F.col("item_id").alias("query_id"), "part", "id", "score", "rank")
     questions = parts.where("part = 0").select(F.col("item_id").alias("query_id"), "vector")
     return evidence.verified_union(hits, held, questions)[0]
+
+
+@query("""
+SELECT l.l_orderkey, l.l_linenumber, l.l_partkey FROM lineitem l
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_custkey % 7 + 1 = l.l_linenumber)""")
+def rows_at_composite_keys(spark, sf_dir):
+    """One line of each order, by order and number."""
+    keys = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 7 + 1).cast("int").alias("l_linenumber"))
+    return tables.looked_up(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), keys, ["l_orderkey", "l_linenumber"])
+
+
+@query("""
+SELECT event_id, nullif(trim(CASE WHEN event_id % 5 = 0 THEN '  ' WHEN event_id % 5 = 1 THEN NULL ELSE ' ' || event_type || ' ' END), '') AS identifier,
+  event_id % 5 > 1 AS usable FROM events""")
+def identifiers_checked(spark, sf_dir):
+    kind = F.col("event_id") % 5
+    given = F.when(kind == 0, "  ").when(kind > 1, F.concat(F.lit(" "), "event_type", F.lit(" ")))
+    return read(spark, sf_dir, "events").select("event_id", tables.identifier_verdict(given).alias("v")).select("event_id", "v.*")
+
+
+@query("""
+WITH c AS (SELECT n_nationkey AS c_nationkey, n_nationkey % 3 AS rank FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 1000, 1)
+SELECT c.c_nationkey, count(c_custkey) FILTER (WHERE c_acctbal > 0) AS n_rows, CASE WHEN count(c_custkey) FILTER (WHERE c_acctbal > 0) > 0 THEN 'updated' ELSE 'not found' END AS verdict
+FROM c LEFT JOIN customer USING (c_nationkey) GROUP BY 1""")
+def updates_with_counts(spark, sf_dir):
+    """How many rows each change has met."""
+    nations = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("c_nationkey"), (F.col("n_nationkey") % 3).cast("string").alias("c_mktsegment"))
+    changes = nations.unionByName(nations.limit(1).select(F.lit(1000).cast("long").alias("c_nationkey"), F.lit("1").alias("c_mktsegment")))
+    customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_mktsegment", "c_acctbal")
+    return tables.updated(customers, changes, ["c_nationkey"], F.col("c_acctbal") > 0)[1]
+
+
+@query(f"""
+WITH t AS {M._TURNS} SELECT c.vec_id AS chunk_id, t.conv_id, t.turn AS sequence_number FROM t JOIN (SELECT vec_id FROM embeddings WHERE label IS NOT NULL) c USING (vec_id)""")
+def turns_of_chunks(spark, sf_dir):
+    """The conversation and sequence number behind each chunk that is asked for, by chunk."""
+    chunks = read(spark, sf_dir, "embeddings").where("label is not null").select("vec_id")
+    found = tables.looked_up(M.memory_turns(spark, sf_dir).select("vec_id", "conv_id", "turn"), chunks, ["vec_id"])
+    return found.select(F.col("vec_id").alias("chunk_id"), "conv_id", F.col("turn").alias("sequence_number"))
+
+
+@query("""
+SELECT c_mktsegment AS topic, c_custkey AS id, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey)::INTEGER AS place
+FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (1, 3))""")
+def projects_of_topics(spark, sf_dir):
+    """The projects of each topic, of some kinds only, in order of id."""
+    kinds = tables.looked_up(
+        read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("int").alias("n_regionkey")), spark.createDataFrame([(1,), (3,)], "n_regionkey int"), ["n_regionkey"]
+    )
+    customers = read(spark, sf_dir, "customer").join(F.broadcast(kinds.select(F.col("n_nationkey").alias("c_nationkey"))), "c_nationkey", "left_semi")
+    placed = ranked(customers.select(F.col("c_mktsegment").alias("topic"), F.col("c_custkey").alias("id")), ["topic"], F.asc("id"))
+    return placed.withColumnRenamed("rank", "place")
