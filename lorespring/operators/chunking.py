@@ -7,7 +7,7 @@ lines, headings, paragraphs and ids around it are plain expressions. Offsets are
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -28,23 +28,22 @@ def check_window(size: int, overlap: int) -> None:
         raise ValueError(f"overlap must be in [0, {size}), not {overlap}")
 
 
-class Blanks:
-    """The white-space runs of a text, for looking up words and ends by place."""
+WORD_START = re.compile(r"\S")
 
-    def __init__(self, text: str):
-        self.runs = [m.span() for m in re.finditer(r"\s+", text)]
-        self.starts = [a for a, _ in self.runs]
 
-    def word_from(self, place: int) -> int:
-        """The first place from here on that is not white space."""
-        k = bisect_right(self.starts, place) - 1
-        return max(place, self.runs[k][1]) if k >= 0 else place
+def word_from(text: str, place: int) -> int:
+    """The first place from here on that is not white space; the end of the text if there is none."""
+    found = WORD_START.search(text, place)
+    return found.start() if found else len(text)
 
-    def last_between(self, low: int, high: int) -> int | None:
-        """The last white space after ``low`` and before ``high``."""
-        k = bisect_left(self.starts, high) - 1
-        found = min(self.runs[k][1], high) - 1 if k >= 0 else low
-        return found if found > low else None
+
+def last_blank(text: str, low: int, high: int) -> int | None:
+    """The last white space after ``low`` and before ``high``."""
+    part = text[low + 1 : high]
+    if part[-1:].isspace():
+        return high - 1
+    tail = len(part.rsplit(None, 1)[-1]) if part else 0
+    return high - tail - 1 if tail < len(part) else None
 
 
 def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Span]:
@@ -52,12 +51,12 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[Span]:
 
     The next one begins ``overlap`` characters before the end, but later than the one before.
     """
-    blanks, spans = Blanks(text), []
-    begin = blanks.word_from(0)
+    spans = []
+    begin = word_from(text, 0)
     while begin + size < len(text):
-        stop = blanks.last_between(begin, begin + size) or begin + size
+        stop = last_blank(text, begin, begin + size) or begin + size
         spans.append((begin, stop))
-        begin = blanks.word_from(max(stop - overlap, begin + 1))
+        begin = word_from(text, max(stop - overlap, begin + 1))
     return spans + [(begin, len(text))] * (begin < len(text))
 
 

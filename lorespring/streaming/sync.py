@@ -10,11 +10,17 @@ from lorespring.operators import memory, tables
 
 
 def sync_once(arrived: DataFrame, store: str, keys: list[str]) -> None:
-    """Append the rows of a batch whose keys a Parquet store doesn't have."""
+    """Append the rows of a batch whose keys a Parquet store doesn't have.
+
+    Of the store only the files and row groups whose first key may lie between the batch's least and greatest are read.
+    """
     spark = arrived.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(store)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        existing = spark.read.schema(arrived.schema).parquet(store)
+        first = F.col(keys[0])
+        low, high, nulls = arrived.agg(F.min(first), F.max(first), F.count_if(first.isNull())).first()
+        within = F.lit(False) if low is None else first.between(low, high)
+        existing = spark.read.schema(arrived.schema).parquet(store).where(within | first.isNull() if nulls else within)
     else:
         existing = spark.createDataFrame([], arrived.schema)
     tables.new_rows(existing, arrived, keys, *(F.asc(k) for k in keys)).write.mode("append").parquet(store)
