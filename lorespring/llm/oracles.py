@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lorespring.llm.quality import STOP_WORDS
+from lorespring.llm.url_filters import RULES
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -79,7 +80,9 @@ SELECT doc_id, size, source_size, target,
 FROM done
 """
 
-OP7 = r"""
+_BLOCKED = " OR ".join(f"regexp_matches(host || path, '{r.pattern}')" for r in RULES if not r.base)
+
+OP7 = rf"""
 WITH urls AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''),
@@ -97,9 +100,7 @@ WITH urls AS (
   GROUP BY ALL
 )
 SELECT page_id, host, path, rule, coalesce(said,
-  CASE WHEN regexp_matches('.' || host || '.',
-    '[.](ads-track|cheap-pills|doubleclick|adserver|online-casino|free-viagra)[.]') THEN 'block' ELSE 'allow' END
-  ) AS verdict
+  CASE WHEN {_BLOCKED} THEN 'block' ELSE 'allow' END) AS verdict
 FROM best
 """
 

@@ -47,14 +47,30 @@ def host_rule(label: str) -> UrlRule:
     return UrlRule(label, "block", rf"^(?:[^/]*\.)?{re.escape(label)}(?:\.|/|$)", tuple(re.findall(TOKEN, label)))
 
 
-#: The base rules, and labels of advertising, tracking and spam hosts.
+def host_word_rule(word: str) -> UrlRule:
+    """Block every host with a label that is, begins or ends with this word, or holds it between hyphens."""
+    return UrlRule(f"host word {word}", "block", rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[.-]|/|$)", (word,))
+
+
+def path_rule(name: str, pattern: str, *tokens: str) -> UrlRule:
+    """Block paths that hold a pattern, on any host."""
+    return UrlRule(name, "block", rf"^[^/]*/(?:.*/)?{pattern}", tokens)
+
+
+#: The base rules; labels and words of advertising, tracking, betting and spam hosts; and paths of downloads and forwards.
 RULES = (
     base_rule("block", "com", "/en/"),
     base_rule("allow", "example.com", "/en/7"),
     base_rule("block", "net", "/de/"),
     base_rule("block", "example.net", "/de/8"),
     base_rule("block", "org", "/es/"),
-    *(host_rule(x) for x in ("ads-track", "cheap-pills", "doubleclick", "adserver", "online-casino", "free-viagra")),
+    *(host_rule(x) for x in ("ads-track", "cheap-pills", "doubleclick", "adserver", "online-casino", "free-viagra", "spam-farm")),
+    *(host_word_rule(x) for x in ("casino", "bets", "betting", "poker", "lottery", "adult", "porn", "xxx", "escort", "warez", "viagra")),
+    path_rule("uploaded programs", r"wp-content/uploads/(?:[^/]+/)*[^/]+\.(?:exe|apk|msi|scr)$", "wp", "content", "uploads"),
+    path_rule("forwarders", r"(?:cgi-bin|out|go)/redirect(?:\.[a-z]+)?/", "redirect"),
+    path_rule("affiliate landings", r"affiliates?/[^/]+/landing(?:/|$)", "landing"),
+    path_rule("tracking pixels", r"track(?:ing)?/pixel\.(?:gif|png)$", "pixel"),
+    path_rule("session pages", r"[^/]*;jsessionid=[0-9A-Za-z]{16,}", "jsessionid"),
 )
 
 
@@ -69,17 +85,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str = "allow") -> DataFrame:
-    """page_id, url, host, path, rule and verdict for each row of ``pages``."""
-    spark = pages.sparkSession
+def candidates(urls: DataFrame, rules: Sequence[UrlRule] = RULES) -> DataFrame:
+    """(url, subject, name, rule_verdict, pattern, base): the rules that each distinct url (url, subject) is to be tried on.
+
+    Those are the rules whose rarest literal token, over all the urls, the url holds.
+    """
     small = len(rules) <= BROADCAST_ROWS
     sized = F.broadcast if small else (lambda df: df)
-    table = spark.createDataFrame(
+    table = urls.sparkSession.createDataFrame(
         [(r.name, r.verdict, r.pattern, r.base, list(r.tokens) or [""]) for r in rules],
         "name string, rule_verdict string, pattern string, base boolean, tokens array<string>",
     )
-    urls = pages.select("url").where(F.col("url").isNotNull()).distinct()
-    urls = urls.withColumn("subject", F.concat(host_of(F.col("url")), path_of(F.col("url"))))
     found = F.array_distinct(F.regexp_extract_all("subject", F.lit(f"({TOKEN})")))
     if any(not r.tokens for r in rules):
         found = F.concat(found, F.array(F.lit("")))  # rules without a literal are tried on every URL
@@ -90,8 +106,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str
     rarest = wanted.join(sized(seen) if small else seen, "token", "left").groupBy("name")
     rarest = rarest.agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     index = table.drop("tokens").join(rarest, "name")
+    return tokens.join(sized(index), "token").drop("token")
 
-    hits = tokens.join(sized(index), "token").where(F.regexp_like("subject", F.col("pattern")))
+
+def judge_urls(pages: DataFrame, rules: Sequence[UrlRule] = RULES, default: str = "allow") -> DataFrame:
+    """page_id, url, host, path, rule and verdict for each row of ``pages``."""
+    urls = pages.select("url").where(F.col("url").isNotNull()).distinct()
+    urls = urls.withColumn("subject", F.concat(host_of(F.col("url")), path_of(F.col("url"))))
+    hits = candidates(urls, rules).where(F.regexp_like("subject", F.col("pattern")))
     rank = F.struct("base", F.length("name"), "name")
     best = hits.groupBy("url").agg(F.max_by(F.struct("name", "base", "rule_verdict"), rank).alias("best"))
     out = pages.select("page_id", "url").join(best, "url", "left")

@@ -66,6 +66,26 @@ def test_rules_without_tokens_and_in_shuffled_tables(spark, monkeypatch):
     assert got == {1: (None, "block"), 2: ("h.io/b", "allow")}
 
 
+def test_pattern_rules_run_only_where_their_rarest_token_is(spark):
+    blocked = [
+        "http://m.casino-win.example.com/x", "http://free-bets.example.org/", "http://adult.io", "http://a.io/blog/wp-content/uploads/2024/setup.exe",
+        "http://b.io/cgi-bin/redirect.pl/x", "http://c.io/en/affiliate/77/landing", "http://d.io/tracking/pixel.gif?x=1", "http://e.io/a;jsessionid=0123456789abcdef01",
+    ]
+    allowed = [
+        "http://casinowin.example.com/x", "http://example.org/casino", "http://a.io/wp-content/uploads/setup.pdf", "http://b.io/redirect", "http://c.io/landing",
+        "http://d.io/pixel.gif", "http://e.io/a;jsessionid=01", "http://f.io/?casino",
+    ]
+    usual = [f"http://h{i % 7}.example.com/fr/{i}" for i in range(200)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(blocked + allowed + usual)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(pages).collect()}
+    assert [got[i] for i in range(len(got))] == ["block"] * len(blocked) + ["allow"] * (len(allowed) + len(usual))
+    urls = pages.select("url", F.concat(url_filters.host_of(F.col("url")), url_filters.path_of(F.col("url"))).alias("subject"))
+    patterns = [r for r in url_filters.RULES if not r.base]
+    tried = url_filters.candidates(urls, patterns).groupBy("name").count().collect()
+    assert sum(r["count"] for r in tried) <= 2 * len(blocked + allowed) and not any("fr" in r.name for r in tried)
+    assert url_filters.judge_urls(pages.where("page_id = 0").unionByName(pages.where("page_id = 0"))).count() == 2
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
