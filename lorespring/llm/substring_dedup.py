@@ -52,6 +52,8 @@ RAREST = PASSAGE - IN_PLACE + 1
 FREQUENT = 400_000
 #: Members of a group that what is left is compared with at first; so many times more up to each later round.
 LEADERS, MORE = 8, 8
+#: Passages that are compared as sets at a time, which bounds the pairs of equal tokens held.
+SET_PASSAGES = 8192
 #: Windows of a block, at first and once there are many blocks.
 BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 #: Tables of texts to verify up to this size are broadcast; larger ones are joined by shuffle.
@@ -231,26 +233,49 @@ def alike_sets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 100 * both >= 75 * (size_x + size_y - both)
 
 
+def shared_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the passages of x and y from each place on: the kinds of tokens that they share, and of the one with more its kinds."""
+    both, most = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+    distinct = lambda rows: 1 + (np.diff(np.sort(rows, axis=1), axis=1) != 0).sum(axis=1)
+    for k in range(0, len(at), SET_PASSAGES):
+        places = at[k : k + SET_PASSAGES, None] + np.arange(PASSAGE)
+        p, q = x[places], y[places]
+        sizes = distinct(p), distinct(q)
+        both[k : k + SET_PASSAGES] = sizes[0] + sizes[1] - distinct(np.concatenate([p, q], axis=1))
+        most[k : k + SET_PASSAGES] = np.maximum(*sizes)
+    return both, most
+
+
 def compared(x: np.ndarray, y: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Laid on each other, where x and y repeat: first passage and number of each run, and which places have any.
 
     A place is ``n`` passages from ``at`` on. Tokens in place decide first: where so many of a passage's tokens agree,
-    the Jaccard similarity is 0.75 or more. Unless that covers every place, as where words are put in or left out, all
-    passages are compared as sets too.
+    the Jaccard similarity is 0.75 or more. If that finds nothing, as with words put in or left out, all passages of the
+    place are compared as sets. One step on changes at most one kind on either side, so a place whose middle passages
+    share too few kinds for any of its passages is not gone through.
     """
     same = np.concatenate(([0], np.cumsum(x == y)))
-    passages = len(x) - PASSAGE + 1
     hit = np.zeros(len(x) + 1, dtype=bool)
-    hit[:passages] = same[PASSAGE:] - same[:-PASSAGE] >= IN_PLACE
+    hit[: len(x) - PASSAGE + 1] = same[PASSAGE:] - same[:-PASSAGE] >= IN_PLACE
     hits = np.concatenate(([0], np.cumsum(hit)))
-    if (hits[at + n] - hits[at] < n).any():
-        hit[:passages] |= alike_sets(x, y)
-        hits = np.concatenate(([0], np.cumsum(hit)))
-    inside = np.zeros(len(x) + 1, dtype=np.int64)
-    np.add.at(inside, at, 1)
-    np.add.at(inside, at + n, -1)
-    runs = np.flatnonzero(np.diff((hit & (np.cumsum(inside) > 0)).astype(np.int8), prepend=0, append=0))
-    return runs[::2], runs[1::2] - runs[::2], hits[at + n] > hits[at]
+    found = hits[at + n] > hits[at]
+    other = np.flatnonzero(~found)
+    both, most = shared_at(x, y, at[other] + n[other] // 2)
+    steps = n[other] // 2 + 1
+    other = other[100 * (both + 2 * steps) >= 75 * (most - steps)]
+    if len(other):
+        begin = np.concatenate(([0], np.cumsum(n[other] + PASSAGE - 1)))
+        of = np.repeat(at[other] - begin[:-1], np.diff(begin)) + np.arange(begin[-1])
+        alike = np.zeros(begin[-1], dtype=bool)
+        for k in range(0, begin[-1] - PASSAGE + 1, SET_PASSAGES):
+            part = of[k : k + SET_PASSAGES + PASSAGE - 1]
+            alike[k : k + len(part) - PASSAGE + 1] = alike_sets(x[part], y[part])
+        inside = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin)) < np.repeat(n[other], np.diff(begin))
+        hit[of[alike & inside]] = True
+        found[other] = np.add.reduceat(alike & inside, begin[:-1]) > 0
+    steps = np.bincount(at, minlength=len(x) + 1) - np.bincount(at + n, minlength=len(x) + 1)
+    runs = np.flatnonzero(np.diff((hit & (np.cumsum(steps) > 0)).astype(np.int8), prepend=0, append=0))
+    return runs[::2], runs[1::2] - runs[::2], found
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
