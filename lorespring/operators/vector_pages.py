@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespring.operators.steps import exists
+from lorespring.operators.steps import discard, exists, written
 
 PAGE = 100_000
 _STATE = "through long, n_kept long, n_missing long, page int"
@@ -55,15 +55,16 @@ class VectorPages:
             both = part.join(vectors.withColumn("stored", F.lit(True)), "vector_id", "left")
             page += 1
             at = f"page={page}"
-            both.select("label", "vector_id", "vector", "stored").write.mode("overwrite").parquet(f"{self.path}/looked_at/{at}")
-            looked = self.spark.read.parquet(f"{self.path}/looked_at/{at}")
+            looked = written(both.select("label", "vector_id", "vector", "stored"), "page")
             sums = looked.agg(F.max("label").alias("through"), F.count("stored").alias("n_kept"), F.count_if(F.col("stored").isNull()).alias("n_missing"))
             told = sums.first()
             if told.through is None:
+                discard(looked)
                 return n
             looked.where("stored").drop("stored").write.mode("overwrite").parquet(f"{self.path}/rows/{at}")
             if each:
                 each(page)
             sums.write.mode("overwrite").parquet(f"{self.path}/state/{at}")
+            discard(looked)
             through, n = told.through, n + 1
         return n
