@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers
 which words give a protected entity away: over all distinct texts it counts how many hold a term, how many hold it
 near an entity (one address or number), and takes the share P(entity | term) and the pointwise mutual information.
 A term that is near one entity in almost every text that holds it discloses the entity and is removed wherever it
-stands; the entity itself is generalised to its kind.
+stands; the entity itself is generalised to its kind. Single addresses hardly recur, so what they have in common is
+protected as well: the domain of an address, the network of an IP, the issuer of a card, the area of a phone number.
 
 Counts go by distinct text, so copies of a text are no evidence by themselves. Terms are looked up in blocks of
 bounded size, a pass over the texts for each, so any number of them is handled. Near an entity are the eight words
@@ -20,7 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from hashlib import blake2b, sha256
 
@@ -132,7 +133,18 @@ def entity_of(text: str, kind: str, start: int, end: int) -> str:
     return f"{kind}:{''.join(text[start:end].lower().split())}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
+def group_of(text: str, kind: str, start: int, end: int) -> str:
+    """What an entity shares with others: its domain, first three parts, first six digits, or all but the last seven."""
+    value = text[start:end].lower()
+    if kind == "email":
+        return f"domain:{value.rpartition('@')[2]}"
+    if kind == "ip":
+        return f"network:{'.'.join(str(int(p)) for p in value.split('.')[:3])}"
+    digits = "".join(DIGIT.findall(value))
+    return f"issuer:{digits[:6]}" if kind == "card" else f"area:{digits[:-7]}"
+
+
+def near_terms(text: str, spans: list[tuple[str, int, int]], named: Callable[..., str] = entity_of) -> set[tuple[str, str]]:
     """(term, entity): the terms among the ``WINDOW`` words before and after each span, words in spans left out."""
     covered = Covered(spans)
     words = [m.span() for m in WORD.finditer(text)]
@@ -140,7 +152,7 @@ def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, s
     starts = [a for a, _ in words]
     out = set()
     for kind, start, end in spans:
-        entity = entity_of(text, kind, start, end)
+        entity = named(text, kind, start, end)
         before, after = bisect_left(starts, start), bisect_left(starts, end)
         for a, b in words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]:
             if b - a >= LEAST:
@@ -185,8 +197,10 @@ def _blocks(terms: DataFrame) -> Iterator[frozenset]:
         yield frozenset(r.term for r in part.collect())
 
 
-def disclosing_terms(docs: DataFrame) -> DataFrame:
-    """The terms over the thresholds, with the entity each discloses, counts, share and bits."""
+def disclosing_terms(docs: DataFrame, groups: bool = False) -> DataFrame:
+    """The terms over the thresholds, with the entity each discloses, counts, share and bits; on demand those that
+    disclose a group of entities too."""
+    levels = (entity_of, group_of) if groups else (entity_of,)
     pair_schema = pa.schema([("term", pa.string()), ("entity", pa.string()), ("digest", pa.binary())])
     text_schema = pa.schema([("term", pa.string()), ("digest", pa.binary())])
 
@@ -195,10 +209,11 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
             for (text,) in _texts(batches, 0):
                 if text and (spans := base_spans(text)):
                     digest = _digest(text)
-                    for term, entity in near_terms(text, spans):
-                        yield term, entity, digest
-                    for entity in {entity_of(text, *s) for s in spans}:
-                        yield None, entity, digest
+                    for named in levels:
+                        for term, entity in near_terms(text, spans, named):
+                            yield term, entity, digest
+                        for entity in {named(text, *s) for s in spans}:
+                            yield None, entity, digest
 
         return _tables(rows(), pair_schema)
 
@@ -254,7 +269,7 @@ def _looked_up(docs: DataFrame, terms: DataFrame | None, found: str) -> tuple[Da
     """
     for name, value in BATCHES.items():
         docs.sparkSession.conf.set(name, value)
-    terms = disclosing_terms(docs) if terms is None else terms
+    terms = disclosing_terms(docs, groups=True) if terms is None else terms
     out, last = docs.withColumn(found, F.lit("")), frozenset()
     for block in _blocks(terms.select("term").distinct()):
         if last:

@@ -149,6 +149,30 @@ def test_spans_of_documents(spark, private):
     assert pii.find(docs.limit(0)).count() == 0
 
 
+def test_terms_that_disclose_groups(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(6))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    near = {
+        "Acmeworks": ["ann.1@acme.example.org", "bo@ACME.example.org", "c_d@acme.example.org", "e@acme.example.org"],
+        "Rackroom": ["10.20.30.1", "10.20.30.77", "010.20.30.9"],
+        "Cardbank": ["4111111111111111", "4111 1111 1111 1111", "4111-1199-9999-9999"],
+        "Areacode": ["+1 (212) 555-0001", "+1 (212) 555-0002", "+12125550003"],
+        "Elsewhere": ["x@one.example.org", "y@two.example.org", "z@three.example.org"],  # nothing in common
+    }
+    texts = [f"{prose(30)} {name} {value} {prose(30)}" for name, values in near.items() for value in values]
+    texts += [prose(60) for _ in range(60)] + [None, "", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pii.disclosing_terms(docs).count() == 0
+    got = {(r.term, r.entity): (r.n_both, r.n_term, r.n_entity, r.share) for r in pii.disclosing_terms(docs, groups=True).collect()}
+    luhn_ok = sum(bool(pii.cards(t)) for t in near["Cardbank"])
+    want = {("acmeworks", "domain:acme.example.org"): (4, 4, 4, 1.0), ("rackroom", "network:10.20.30"): (3, 3, 3, 1.0)}
+    want |= {("areacode", "area:1212"): (3, 3, 3, 1.0)}
+    assert luhn_ok == 2 and got == want  # two cards are one short of three texts
+    spans = {r.doc_id: r.n_term for r in pii.find(docs).collect()}
+    assert [spans[i] for i in range(len(texts))] == [int(bool(t) and any(n in t for n in ("Acmeworks", "Rackroom", "Areacode"))) for t in texts]
+
+
 def test_sanitised_documents(spark, private, monkeypatch):
     monkeypatch.setattr(pii, "TERM_BLOCK", 2)  # several blocks of terms
     docs, texts = private
