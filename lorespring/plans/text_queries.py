@@ -33,6 +33,24 @@ def normalised_turns(spark, sf_dir):
     return turns.select("conv_id", "turn", T.normalise_line(F.col("text"), profile).alias("content"))
 
 
+@query(r"""
+WITH lines AS (SELECT doc_id, string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS lines FROM documents)
+SELECT doc_id,
+  array_to_string(list_filter(list_transform(lines,
+    lambda x: trim(regexp_replace(x, '[\s\x0b\x85\p{Z}]+', ' ', 'g'))), lambda x: x <> ''), ' ') AS minimal,
+  array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x,
+    '\p{Nd}+', '', 'g'), '[^a-zA-Z0-9\s\x0b\x85\p{Z}.,!?;:''-]', '', 'g'), '[\s\x0b\x85\p{Z}]+', ' ', 'g'))), lambda x: x <> ''), ' ') AS bare
+FROM lines""")
+def bare_documents(spark, sf_dir):
+    """Each text by the smallest profile, and without numbers and special characters."""
+    docs, bare = read(spark, sf_dir, "documents"), T.Profile(numbers=True, special=True)
+    return docs.select(
+        "doc_id",
+        T.normalise(F.col("text"), T.MINIMAL).alias("minimal"),
+        T.normalise(F.col("text"), bare).alias("bare"),
+    )
+
+
 @query("""
 SELECT doc_id, sha256(source || doc_id::VARCHAR || text) AS document_id, sha256(text) AS content_id FROM documents""")
 def document_ids(spark, sf_dir):

@@ -275,3 +275,12 @@ def test_new_rows_with_null_keys_are_added_once(spark):
     old = spark.createDataFrame([(1, "a"), (None, "b")], "k long, v string")
     new = spark.createDataFrame([(1, "c"), (None, "d"), (2, "e")], "k long, v string")
     assert [tuple(r) for r in tables.new_rows(old, new, ["k"], F.col("v")).collect()] == [(2, "e")]
+
+
+def test_steps_that_remove_characters(spark):
+    text = "a1٢b  #c\r\n\r\n  d-e's  f!"
+    rows = spark.createDataFrame([(text,), (None,), ("",), ("12\n#\n",)], "t string")
+    bare = T.normalise(F.col("t"), T.Profile(numbers=True, special=True))
+    got = rows.select("t", bare.alias("bare"), T.normalise(F.col("t"), T.MINIMAL).alias("minimal")).collect()
+    want = {text: ("ab c d-e's f!", "a1٢b #c d-e's f!"), None: (None, None), "": ("", ""), "12\n#\n": ("", "12 #")}
+    assert {r.t: (r.bare, r.minimal) for r in got} == want
