@@ -284,3 +284,22 @@ def test_steps_that_remove_characters(spark):
     got = rows.select("t", bare.alias("bare"), T.normalise(F.col("t"), T.MINIMAL).alias("minimal")).collect()
     want = {text: ("ab c d-e's f!", "a1٢b #c d-e's f!"), None: (None, None), "": ("", ""), "12\n#\n": ("", "12 #")}
     assert {r.t: (r.bare, r.minimal) for r in got} == want
+
+
+def test_uploads_of_binary_content(spark):
+    rows = {
+        "nul.txt": b"a" * 5000 + b"\0",
+        "at_limit.txt": b"\x01" + b"a" * 99,
+        "over.txt": b"\x01" + b"a" * 98,
+        "late.md": b"a" * 9000 + b"\x1f" * 91,
+        "blanks.csv": b"\t\n\f\r" * 9,
+        "high.txt": bytes(range(128, 256)),
+        "over.json": b"\x02",
+        "late.pdf": b"\0" * 900 + b"%PDF-1.7",
+        "later.pdf": b" " * 1020 + b"%PDF-1.7",
+        "null.txt": None,
+    }
+    docs = spark.createDataFrame([(n, None if c is None else bytearray(c)) for n, c in rows.items()], "name string, content binary")
+    bad = {"nul.txt", "over.txt", "late.md", "over.json"}
+    want = {n: "binary, not text" if n in bad else None for n in rows} | {"later.pdf": "not a pdf"}
+    assert {r.name: r.reason for r in files.upload_verdict(docs).collect()} == want
