@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import discovery, retrieval, screening, store
-from lorespring.operators.vectors import FULL, PARTIAL, cosine
+from lorespring.operators.vectors import FULL, PARTIAL, cosine_scores, nearest
 from lorespring.plans.registry import query, read
 
 _PLAIN = ", ".join(f"'{w}'" for w in discovery.PLAIN_WORDS)
@@ -70,10 +70,14 @@ v AS (SELECT query_id, rounds, CASE WHEN max(score) >= {FULL} THEN 'FULL' WHEN m
 f AS (SELECT query_id, coalesce(min(rounds) FILTER (WHERE verdict = 'FULL'), max(rounds)) AS rounds FROM v GROUP BY 1)
 SELECT k.query_id, k.id, k.rounds, v.verdict, v.verdict <> 'NONE' AS stored FROM k JOIN f USING (query_id, rounds) JOIN v USING (query_id, rounds)""")
 def gathered_in_rounds(spark, sf_dir):
-    rows = read(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("wanted"))
-    pairs = asked.join(rows, "label").where("query_id <> vec_id").withColumn("s", F.round(cosine(F.col("wanted"), F.col("embedding")), 6))
-    candidates = pairs.select("query_id", (1 + F.col("vec_id") % 5).alias("round"), F.col("vec_id").alias("id"), F.col("s").alias("topic_score"), F.col("s").alias("query_score"))
+    """Of each round only the best twelve can be among the twelve kept, so the nearest of each round are what is gathered."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"), (1 + F.col("vec_id") % 5).alias("round"))
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", "vector")
+    near = nearest(
+        asked, rows.where("round <= 3").withColumnRenamed("vec_id", "id"), 12, lambda q, r: cosine_scores(q, r).round(6),
+        by="round", within="label", admits=lambda q, r: q["query_id"] != r["id"],
+    )
+    candidates = near.select("query_id", "round", "id", F.col("score").alias("topic_score"), F.col("score").alias("query_score"))
     return discovery.acquired(candidates, floor=0.0, most=12, on_partial=True).select("query_id", "id", "rounds", "verdict", "stored")
 
 

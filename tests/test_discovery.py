@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import discovery, retrieval, screening, store
+from lorespring.plans import discovery_queries
 
 BASE = "https://a.example.com/x/y/z?q=1#top"
 HREFS = [
@@ -129,3 +130,18 @@ def test_the_first_way_that_finds_anything_counts(spark):
     schema = "target int, source string, link string"
     one, two = (spark.createDataFrame(rows, schema) for rows in ([(1, "a", "x")], [(1, "a", "y"), (1, "b", "z"), (2, "a", "w")]))
     assert {(r.target, r.source, r.link, r.tier) for r in discovery.first_tier(one, two).collect()} == {(1, "a", "x", 1), (1, "b", "z", 2), (2, "a", "w", 2)}
+
+
+def test_gathering_takes_the_best_of_each_round_from_the_search(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 2, [1.0, i / 100, (i * 7 % 13) / 50]) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    seen, acquired = [], discovery.acquired
+
+    def watched(candidates, **kinds):
+        seen.append(candidates.groupBy("query_id", "round").count().collect())
+        return acquired(candidates, **kinds)
+
+    monkeypatch.setattr(discovery, "acquired", watched)
+    got = discovery_queries.gathered_in_rounds(spark, str(tmp_path)).collect()
+    assert {r["count"] for r in seen[0]} == {12} and {r["round"] for r in seen[0]} == {1, 2, 3}
+    assert len(got) == 15 * 12 and all(r.id != r.query_id and r.id % 2 == r.query_id % 2 for r in got)
