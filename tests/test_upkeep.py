@@ -275,3 +275,16 @@ def test_uploads_in_pieces(spark, tmp_path):
         1: ("COMPLETED", None), 2: ("PARTIAL", None), 3: ("FAILED", "INCOMPLETE"), 4: ("FAILED", None), 5: ("FAILED", "TOO_LARGE"),
         6: ("FAILED", "INVALID_REQUEST"), 7: ("FAILED", "INVALID_REQUEST"), 8: ("COMPLETED", None),
     }
+
+
+def test_small_pages_share_their_jobs(spark, tmp_path):
+    labels = spark.range(400).select(F.col("id").alias("label"), F.col("id").alias("vector_id"))
+    vectors = labels.where("vector_id % 3 > 0").select("vector_id", F.array(F.col("vector_id").cast("float")).alias("vector"))
+    jobs = []
+    for size in (200, 2):
+        spark.sparkContext.setJobGroup(f"pages of {size}", "")
+        pages = VectorPages(spark, str(tmp_path / f"pages{size}"), size)
+        assert pages.read(labels, vectors) == 400 // size and pages.rows().count() == 266
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pages of {size}")))
+    assert sorted(r.through for r in pages.state().collect()) == list(range(1, 400, 2))
+    assert jobs[1] <= jobs[0] + 2
