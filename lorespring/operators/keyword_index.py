@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import lexical
-from lorespring.operators.steps import exists
+from lorespring.operators.steps import exists, written
 
 _TABLES = {
     "texts": "id long, length int",
@@ -90,7 +90,7 @@ class KeywordIndex:
         new = new.join(kept.select("id"), "id", "left_anti")
         write(new.select("id", F.size(T.words(F.col("text"))).alias("length")), "texts")
         fresh = read("texts")
-        write(lexical.postings(new.join(fresh.select("id"), "id", "left_semi"), self.stemming).select("term", "id", "tf", "length"), "postings")
+        write(lexical.postings(new.join(fresh.select("id"), "id", "left_semi"), self.stemming, unique=True).select("term", "id", "tf", "length"), "postings")
         more = read("postings").groupBy("term").agg(F.count("*").alias("df"))
         less = postings.join(gone, "id", "left_semi").groupBy("term").agg((-F.count("*")).alias("df"))
         write(more.unionByName(less), "frequency")
@@ -111,7 +111,7 @@ class KeywordIndex:
 
     def search(self, queries: DataFrame, k: int | None = None, eligible: DataFrame | None = None) -> DataFrame:
         """(query_id, id, score, rank) by BM25, as over all texts that the index holds."""
-        asked = lexical.asked_terms(queries, self.stemming)
+        asked = written(lexical.asked_terms(queries, self.stemming), "asked-terms")
         wanted = asked.select("term").distinct()
         counts = self.live("postings").join(wanted, "term", "left_semi")
         counts = counts if eligible is None else counts.join(eligible, "id", "left_semi")

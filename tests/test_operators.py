@@ -91,6 +91,21 @@ def test_stemmed_search_folds_endings_and_accents(spark):
     assert {r.id for r in lexical.bm25(df, q).collect()} == {3}
 
 
+def test_postings_are_counted_text_by_text(spark, monkeypatch):
+    rows = [(1, "b a b"), (2, None), (3, "a"), (3, "a c"), (4, ""), (None, "z"), (None, "z z")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {(r.term, r.id): r.tf for r in lexical.postings(df).collect()}
+    assert got == {("a", 1): 1, ("b", 1): 2, ("a", 3): 2, ("c", 3): 1, ("z", None): 3}
+    whole = lexical.postings(df.where("id < 3"))
+    assert "Aggregate" not in whole._jdf.queryExecution().executedPlan().toString()
+    q = spark.createDataFrame([(7, "a b"), (8, "b c a")], "query_id long, text string")
+    found = lambda: sorted((r.query_id, r.id, round(r.score, 9), r.rank) for r in lexical.bm25(df, q, 2).collect())
+    want = found()
+    monkeypatch.setattr(lexical, "TASK_HITS", 2)
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 1)
+    assert found() == want and len(want) == 3
+
+
 def test_cosine_of_zero_vectors_is_minus_one(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([1.0, 1.0], [2.0, 2.0])], "a array<float>, b array<float>")
     assert [round(r[0], 6) for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [-1.0, 1.0]
