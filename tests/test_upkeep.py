@@ -11,6 +11,7 @@ from lorespring.operators import constraints, jobs, lexical, tables
 from lorespring.operators.constraints import check, foreign_key, primary_key, unique
 from lorespring.operators.keyword_index import KeywordIndex
 from lorespring.operators.vector_pages import VectorPages
+from lorespring.plans import upload_queries
 from lorespring.streaming import uploads
 
 
@@ -288,3 +289,15 @@ def test_small_pages_share_their_jobs(spark, tmp_path):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"pages of {size}")))
     assert sorted(r.through for r in pages.state().collect()) == list(range(1, 400, 2))
     assert jobs[1] <= jobs[0] + 2
+
+
+def test_upload_pieces_lie_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i} " * 600) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    runs = []
+    monkeypatch.setattr(upload_queries, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(uploads, "assemble_files", lambda spark, source, target, *rest, **kinds: (runs.append((source, kinds)), spark.range(0).write.mode("overwrite").parquet(target)))
+    upload_queries.uploads_in_pieces(spark, str(tmp_path))
+    source, kinds = runs[0]
+    files = spark.read.schema(uploads.PIECE).parquet(source).where("at < timestamp_seconds(1700050000)").groupBy(F.input_file_name()).agg(F.sum(F.length("data")).alias("n")).collect()
+    assert kinds["files_a_batch"] >= 4 and len(files) > 6 and max(r.n or 0 for r in files) < 80_000
