@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import discovery, retrieval, screening, store
+from lorespring.operators.steps import bounded_batches
 from lorespring.operators.vectors import FULL, PARTIAL, cosine_scores, nearest
 from lorespring.plans.registry import query, read
 
@@ -108,6 +109,7 @@ SELECT doc_id, md5(regexp_replace(t, '^[\s\x0b\x85\p{Z}]+|[\s\x0b\x85\p{Z}]+$',
 WHERE regexp_replace(t, '^[\s\x0b\x85\p{Z}]+|[\s\x0b\x85\p{Z}]+$', '', 'g') <> ''""")
 def cleaned_queries(spark, sf_dir):
     """Every text tidied as a query is; what is empty then is refused."""
+    bounded_batches(spark, 4 << 20)
     cleaned = read(spark, sf_dir, "documents").select("doc_id", T.clean_query(F.col("text")).alias("t"))
     return cleaned.where(F.col("t").isNotNull()).select("doc_id", F.md5("t").alias("digest"))
 

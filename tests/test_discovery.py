@@ -145,3 +145,8 @@ def test_gathering_takes_the_best_of_each_round_from_the_search(spark, tmp_path,
     got = discovery_queries.gathered_in_rounds(spark, str(tmp_path)).collect()
     assert {r["count"] for r in seen[0]} == {12} and {r["round"] for r in seen[0]} == {1, 2, 3}
     assert len(got) == 15 * 12 and all(r.id != r.query_id and r.id % 2 == r.query_id % 2 for r in got)
+
+
+def test_texts_are_tidied_in_bounded_batches(spark):
+    discovery_queries.cleaned_queries(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
