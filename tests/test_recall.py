@@ -174,3 +174,15 @@ def test_no_vector_passes_the_driver(spark, monkeypatch):
     for name in ("toArrow", "toPandas", "toLocalIterator"):
         monkeypatch.setattr(type(rows), name, lambda *a, **k: pytest.fail("vectors on the driver"))
     assert vectors.nearest(queries, rows, 1).count() == 20
+
+
+def test_a_product_of_full_blocks_takes_little_memory():
+    import tracemalloc
+
+    n = vectors.BLOCK_ROWS
+    block = {"query_id": np.arange(n), "id": np.arange(n), "vectors": np.random.default_rng(1).random((n, 8))}
+    tracemalloc.start()
+    vectors._Best(5, vectors.cosine_scores, -1.0, None, None, None, None).add(b"q", block, block)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
