@@ -4,9 +4,11 @@ Two documents link when their sets of 5-word shingles have a Jaccard similarity
 global order, frequent ones last. A set of n shingles can only reach the similarity with another if they share one of
 its first ``n - ceil(0.75 n) + 1`` shingles, so only those columns of the incidence matrix are kept. Sets that share
 such a shingle meet in the group named by the smallest set that holds it. Sizes, ends of prefixes and numbers of shared
-shingles rule out most pairs of a group before a set is looked at; what is left is multiplied: the block's part of the
-incidence matrix with itself, in dense slices for the columns that many sets hold and pair by pair for the others. The
-overlaps are those of whole sets, so the bound is decided in the block, which returns a spanning forest of its links.
+shingles rule out most pairs before a set is looked at: in groups with few pairs a set, a pair's shared shingles are added
+up over all groups, so that texts which share a shingle with many others, by chance, but enough with none, go nowhere. What
+is left is multiplied: the block's part of the incidence matrix with itself, in dense slices for the columns that many
+sets hold and pair by pair for the others. The overlaps are those of whole sets, so the bound is decided in the block,
+which returns a spanning forest of its links.
 
 Equal sets are one row of the matrix. A group of over ``BLOCK`` sets is cut into parts at random, in two ways, and each
 part is compared whole; that connects near copies. Sets outside the group's main component then meet all others, block
@@ -30,7 +32,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from lorespring.llm.common import discard, grouped, in_parts, mapped, written
@@ -41,8 +43,8 @@ from lorespring.llm.shingles import mixed, shingle_sets
 FREQUENT, MOST_FREQUENT = 8, 400_000
 #: Postings of a block, at first and once there are many blocks.
 BLOCK_POSTINGS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
-#: Rows of a block of groups that are looked at without their sets.
-BLOCK_ROWS = 200_000
+#: Rows of a block of groups that are looked at without their sets, and pairs a set up to which a group's are listed.
+BLOCK_ROWS, PAIRS = 50_000, 32
 #: Sets of one side of a block product; larger groups are cut into blocks.
 BLOCK = 1024
 #: Shingles that the sets of one task have together, on average; groups up to this size are compared pair by pair.
@@ -195,16 +197,61 @@ def group_pairs(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step += 1
 
 
-def _prune(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Of a block of small groups the members that can link with another and don't meet it in their common home."""
-    rows = rows.sort_values(["low", "n", "set_id"], kind="stable", ignore_index=True)
-    n, last, most, home, low = (rows[c].to_numpy() for c in ("n", "last", "most", "home", "low"))
-    keep = np.zeros(len(rows), dtype=bool)
-    for a, b in group_pairs(low):
-        fits = possible(n, last, most, a, b) & ((home[a] != home[b]) | (home[a] == low[a]))
-        keep[a[fits]] = True
-        keep[b[fits]] = True
-    return rows.loc[keep, ["low", "set_id", "n", "last", "most"]]
+def _pruned(blocks: GroupedData, most_pairs: int) -> DataFrame:
+    """Of blocks of small groups (low, set_id, n, last, most, home, keys): pairs that can link, or whole groups.
+
+    A group with up to ``most_pairs`` such pairs a set has a row (low, a, b, keys, need) for each: how many shingles they
+    share in the group at most, and how many in all groups they need. Another has a row (low, set_id, -1, keys, need) for
+    each set; ``need`` is 0 if the set can link with none there, or only with those that it meets in their common home.
+    """
+
+    def prune(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["low", "n", "set_id"], kind="stable", ignore_index=True)
+        n, last, most, home, keys, low, ids = (rows[c].to_numpy() for c in ("n", "last", "most", "home", "keys", "low", "set_id"))
+        group = np.cumsum(np.diff(low, prepend=low[0]) != 0)
+
+        def fitting(places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a, b in group_pairs(low[places]):
+                a, b = places[a], places[b]
+                fits = possible(n, last, most, a, b)
+                a, b = a[fits], b[fits]
+                elsewhere = np.minimum(most[a] - keys[a], most[b] - keys[b])
+                fits = np.minimum(keys[a], keys[b]) + elsewhere >= needed(n[a], n[b], last[a], last[b])
+                yield a[fits], b[fits]
+
+        count, keep = np.zeros(group[-1] + 1, dtype=np.int64), np.zeros(len(rows), dtype=bool)
+        for a, b in fitting(np.arange(len(rows))):
+            count += np.bincount(group[a], minlength=len(count))
+            own = (home[a] != home[b]) | (home[a] == low[a])
+            keep[a[own]] = True
+            keep[b[own]] = True
+        whole = count > most_pairs * np.bincount(group)
+        of = np.flatnonzero(whole[group])
+        out = [(low[of], ids[of], np.full(len(of), -1), keys[of], keep[of].astype(np.int64))]
+        for a, b in fitting(np.flatnonzero((count > 0)[group] & ~whole[group])):
+            need = needed(n[a], n[b], last[a], last[b])
+            out.append((low[a], np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.minimum(keys[a], keys[b]), need))
+        return pd.DataFrame(dict(zip(("low", "a", "b", "keys", "need"), map(np.concatenate, zip(*out)), strict=True)))
+
+    return grouped(blocks, prune, "low long, a long, b long, keys long, need long")
+
+
+def _to_meet(pruned: DataFrame, large: DataFrame) -> DataFrame:
+    """(low, set_id) of the sets that meet in a group; ``large`` has (set_id, keys) of the groups that are not in ``pruned``.
+
+    Two sets share at most the shingles of their listed pairs, and of other groups no more than the one with fewer has there.
+    """
+    whole = pruned.where("b < 0").select("low", F.col("a").alias("set_id"), "keys", "need")
+    others = whole.select("set_id", "keys").unionByName(large).groupBy("set_id").agg(F.sum("keys").alias("more"))
+    pairs = pruned.where("b >= 0").groupBy("a", "b").agg(
+        F.sum("keys").alias("keys"), F.max("need").alias("need"), F.max_by("low", F.struct("keys", "low")).alias("low")
+    )
+    for end in "ab":
+        pairs = pairs.join(others.select(F.col("set_id").alias(end), F.col("more").alias(f"more_{end}")), end, "left")
+    more = F.least(*(F.coalesce(f"more_{end}", F.lit(0)) for end in "ab"))
+    pairs = pairs.where(F.col("keys") + more >= F.col("need"))
+    met = pairs.select("low", F.explode(F.array("a", "b")).alias("set_id"))
+    return met.unionByName(whole.where("need > 0").select("low", "set_id")).distinct()
 
 
 def overlap_matrix(
@@ -360,7 +407,7 @@ def _with_members(rows: DataFrame, docs: DataFrame, classes: DataFrame, clashing
 
 
 def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: frozenset) -> list[DataFrame]:
-    """Tables (a, b) of links that connect the sets. ``groups`` has low, set_id, n, last, most and home.
+    """Tables (a, b) of links that connect the sets. ``groups`` has low, set_id, n, last, most, home and keys.
 
     A set's home is the group in which it has most shingles; sets of one home need not meet anywhere else.
     """
@@ -373,9 +420,12 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
     listed = F.broadcast(large) if n_large <= BROADCAST_DOCS else large
     small = groups.join(listed.select("low"), "low", "left_anti")
     n_blocks = max(1, groups.count() // BLOCK_ROWS)
-    columns = "low long, set_id long, n long, last long, most long"
-    pruned = grouped(small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block")), _prune, columns)
-    pruned = written(pruned, "pruned")
+    blocks = small.groupBy(F.pmod(F.xxhash64("low"), F.lit(n_blocks)).alias("block"))
+    listed_pairs = written(_pruned(blocks, PAIRS), "listed-pairs")
+    elsewhere = groups.join(listed.select("low"), "low", "left_semi").select("set_id", "keys")
+    groups = groups.drop("keys")
+    pruned = groups.drop("home").join(_to_meet(listed_pairs, elsewhere), ["low", "set_id"])
+    pruned = written(pruned.select("low", "set_id", "n", "last", "most"), "pruned")
     crowd = written(groups.join(listed.where("parts > 0"), "low"), "crowd")
 
     # Small groups are compared whole; of large ones, the parts of two random ways to cut them.
@@ -411,7 +461,7 @@ def _links(groups: DataFrame, docs: DataFrame, classes: DataFrame, clashing: fro
         far = grouped(dealt.groupBy("low", "x", "y"), _compare_blocks, "a long, b long")
         out.append(written(far, "far-links"))
         discard(known)
-    for df in (pruned, crowd, large):
+    for df in (listed_pairs, pruned, crowd, large):
         discard(df)
     return out
 
@@ -441,7 +491,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     most = shared.groupBy("set_id").agg(F.sum("keys").alias("most"), F.max_by("low", F.struct("keys", "low")).alias("home"))
     sizes = postings.where("info").select("set_id", F.col("low").alias("last")).join(classes.select("set_id", "n"), "set_id")
     groups = shared.join(most, "set_id").join(sizes, "set_id")
-    groups = written(groups.select("low", "set_id", "n", "last", "most", "home"), "groups")
+    groups = written(groups.select("low", "set_id", "n", "last", "most", "home", "keys"), "groups")
     discard(postings)
     links = reduce(DataFrame.unionByName, _links(groups, docs, classes, clashing))
     discard(groups)

@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorespring.llm import near_dedup, ngram_join
+from lorespring.llm.common import CLEAN_UP, written
 from lorespring.llm.components import components
 from lorespring.llm.shingles import shingle_sets, texts_in_parts
 
@@ -154,6 +156,40 @@ def test_jaccard_components_equal_brute_force(spark, corpus, monkeypatch, freque
     assert len(set(want.values())) < len(want) - 100
 
 
+@pytest.mark.parametrize("pairs,block", [(0, 1024), (2, 20)])
+def test_groups_with_more_pairs_than_are_listed_meet_whole(spark, corpus, monkeypatch, pairs, block):
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    _, want = brute_components(corpus[:400])
+    rows = ngram_join.jaccard_components(documents(spark, corpus[:400])).collect()
+    assert {r.doc_id: r.component_id for r in rows} == want
+
+
+def test_texts_that_share_a_little_with_many_are_not_fetched(spark, monkeypatch):
+    """Each shares half of its shingles, but with every other text no more than one passage of 10 words."""
+    n, fetched, real = 40, [], ngram_join._with_members
+    passage = lambda i, j: " ".join(f"p{min(i, j)}x{max(i, j)}w{k}" for k in range(10))
+    texts = [" ".join(f"{passage(i, j)} u{i}x{j}" for j in range(n) if j != i) for i in range(n)]
+    texts.append(texts[0] + " and more words at the end")
+    monkeypatch.setattr(ngram_join, "_with_members", lambda rows, *more: fetched.append(rows.count()) or real(rows, *more))
+    rows = ngram_join.jaccard_components(documents(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i % n for i in range(n + 1)}
+    assert sum(fetched) == 2
+
+
+def test_a_step_that_is_written_leaves_no_shuffle_files(spark):
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for f in blocks.getAllFiles().mkString(" ").split() if "/shuffle_" in f}
+    before, setting = files(), spark.conf.get(CLEAN_UP)
+    out = written(spark.range(5000).repartition(3).groupBy("id").count(), "cleaned")
+    for _ in range(50):  # they are deleted in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert out.count() == 5000 and spark.conf.get(CLEAN_UP) == setting
+
+
 def test_jaccard_keeps_one_of_each_group(spark, corpus):
     texts = corpus[:120]
     docs = documents(spark, texts).unionByName(documents(spark, texts[:3]))
