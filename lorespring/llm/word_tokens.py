@@ -31,7 +31,7 @@ ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` file; ``limit`` bounds the memo's entries.
 
-    Counts are small numbers, so four times as many words have theirs kept as have their ids.
+    Counts are small numbers, so four times as many words have theirs kept as have their ids, and as many of before.
 
     ``ranks`` may name the same vocabulary as a file of byte-level ranks. New words are then encoded through it, many
     in one call, and told apart by the byte lengths of their tokens; it has no special tokens, so texts that hold one
@@ -45,6 +45,7 @@ class WordEncoder:
         self.limit = limit
         self.ids: dict[bytes, bytes] = {}
         self.counts: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         self.ranked = None
         if ranks:
             with open(ranks, "rb") as f:
@@ -90,17 +91,33 @@ class WordEncoder:
             self._learn(missing)
         return b"".join(map(memo.__getitem__, pieces))
 
+    def _lengths(self, pieces: list[bytes]) -> list[int]:
+        """The number of ids of each word: the words are encoded in one call and told apart by where their tokens begin."""
+        words = [p.decode() for p in pieces]
+        joined = " ".join(words)
+        if self.special(joined):
+            return [len(ids) for ids in self._encode(pieces)]
+        begin = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        at = np.array([a for a, _ in self.tokenizer.encode(joined, add_special_tokens=False).offsets], dtype=np.int64)
+        return np.bincount(np.searchsorted(begin, at, side="right") - 1, minlength=len(words)).tolist()
+
     def count(self, text: str) -> int:
-        """The number of ids; for tokenizers that drop white space, so that words count apart."""
+        """The number of ids; for tokenizers that drop white space, so that words count apart.
+
+        A full memo is set aside, and words found in it move to the new one; only those of two memos ago are forgotten.
+        """
         if ODD_SPACE(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        pieces, memo = text.encode().split(), self.counts
-        if missing := [p for p in set(pieces) if p not in memo]:
-            if len(memo) + len(missing) > 4 * self.limit:
-                memo.clear()
+        pieces = text.encode().split()
+        if missing := [p for p in set(pieces) if p not in self.counts]:
+            if len(self.counts) + len(missing) > 4 * self.limit:
+                self.older, self.counts = self.counts, {}
                 missing = list(set(pieces))
-            memo.update(zip(missing, map(len, self._encode(missing)), strict=True))
-        return sum(map(memo.__getitem__, pieces))
+            known = {p: self.older[p] for p in missing if p in self.older}
+            self.counts.update(known)
+            if new := [p for p in missing if p not in known]:
+                self.counts.update(zip(new, self._lengths(new), strict=True))
+        return sum(map(self.counts.__getitem__, pieces))
 
 
 _ENCODERS: dict[tuple[str, str | None], WordEncoder] = {}

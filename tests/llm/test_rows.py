@@ -42,6 +42,17 @@ def some_texts(spark):
     return [r[0] for r in rows] + ODD
 
 
+def test_words_of_a_full_memo_are_not_encoded_again(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own, new = Tokenizer.from_file(path), WordEncoder(path, 7), []
+    monkeypatch.setattr(own, "_lengths", lambda words, real=own._lengths: new.append(sorted(words)) or real(words))
+    first, second, third = (" ".join(f"{c}Word{i}, e\u0301\u1100\u1161" for i in range(12)) for c in "abc")
+    for text in (first, second, third, first, first + " <|endoftext|> can't"):
+        assert own.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    # The third text fills the memo, but the first one's words are not encoded again; those of a text are, in one call.
+    assert [len(x) for x in new] == [13, 12, 12, 2]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 @pytest.mark.parametrize("ranks", [None, "byte_bpe_50k.tiktoken"])
 def test_word_encoder_equals_library(name, ranks, some_texts):
