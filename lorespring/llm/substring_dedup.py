@@ -14,8 +14,14 @@ Passages that no repeat covers so far are left, even where other passages of the
 compared with all members of their groups, covered or not, that share one of the 7 rarest tokens of a passage: any two
 passages with 40 of 46 tokens in common do, while texts that share a line of 40 words differ in more tokens than that.
 Large groups are gone through in slices of growing size, until each passage is covered or has met them all. So every
-exact repeat is found, and every near repeat in place whose passages share a signature. A passage that repeats its
-own tokens counts them as often as it has them. Neighbouring repeats of two texts join into spans.
+exact repeat is found, and every near repeat in place whose passages share a signature, but for those that only agree
+inside long runs of one token (below). A passage that repeats its own tokens counts them as often as it has them.
+Neighbouring repeats of two texts join into spans.
+
+Where one word is repeated, tokens are equal in a row, and each of their places would meet each place of all such texts.
+Passages of one token repeat each other wherever they are, and repeat those with 40 places of it: all of them meet the
+longest run of the token. In other passages a run ends, and only the places near its ends are looked up. Exact repeats
+share these; near ones do where the ends of their runs lie less than 8 places apart.
 
 Equal texts are one text until the end, and each of them is a repeat as a whole.
 
@@ -48,11 +54,13 @@ PAIRS = tuple((g, h) for h in range(HASHES) for g in range(h))
 IN_PLACE = 40
 #: Two passages that share 40 of 46 tokens share one of the 7 rarest of each.
 RAREST = PASSAGE - IN_PLACE + 1
+#: Places of a run of equal tokens that are looked up, from either end: more than two passages 0.75 alike in place differ in.
+RUN_ENDS = PASSAGE - IN_PLACE + 2
 #: Tokens whose count every task knows; only the order of tokens depends on it.
 FREQUENT = 400_000
 #: Members of a group that what is left is compared with at first; so many times more up to each later round.
 LEADERS, MORE = 8, 8
-#: Passages that are compared as sets at a time, which bounds the pairs of equal tokens held.
+#: Passages that are compared as sets at a time.
 SET_PASSAGES = 8192
 #: Windows of a block, at first and once there are many blocks.
 BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
@@ -60,6 +68,8 @@ BLOCK_WINDOWS, MANY_BLOCKS, LARGE_BLOCK = 100_000, 4096, 4_000_000
 BROADCAST_DOCS = 1_000_000
 #: A stored window: its group, text, first passage, and from there to the last passage and to the minimum.
 _PACKED = np.dtype([("key", "<i8"), ("text", "<i8"), ("lo", "<i4"), ("wide", "u1"), ("at", "u1")])
+#: Passages of a text that are one token, or that one token has ``IN_PLACE`` places of.
+_RUN = np.dtype([("token", "<i8"), ("s", "<i4"), ("e", "<i4"), ("whole", "u1")])
 _WINDOW = "key long, text long, lo long, hi long, at long"
 _SEEDS = np.random.default_rng(8191).integers(0, 1 << 64, HASHES, dtype=np.uint64)
 
@@ -92,6 +102,31 @@ def minima(tokens: np.ndarray, seed: np.uint64, starts: np.ndarray | None = None
     return at[first], starts[first], starts[last]
 
 
+def token_runs(tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages with ``least`` places of one token or more: the token, first and last passage of each run of them."""
+    order = np.argsort(tokens, kind="stable")
+    a, b = order[: max(0, len(tokens) - least + 1)], order[least - 1 :]
+    good = (tokens[a] == tokens[b]) & (b - a < PASSAGE)
+    a, b = a[good], b[good]
+    s, e = np.maximum(b - PASSAGE + 1, 0), np.minimum(a, len(tokens) - PASSAGE)
+    new = np.flatnonzero(np.append(True, (tokens[a[1:]] != tokens[a[:-1]]) | (s[1:] > e[:-1] + 1))) if len(a) else a
+    return tokens[a[new]], s[new], e[np.append(new[1:], len(a)) - 1] if len(a) else a
+
+
+def _packed_runs(tokens: np.ndarray) -> bytes | None:
+    """The runs of a text, packed; None for none, as in most texts."""
+    # Six other tokens between equal ones leave so many neighbours equal.
+    if len(tokens) < PASSAGE or (tokens[1:] == tokens[:-1]).sum() < 2 * IN_PLACE - PASSAGE - 1:
+        return None
+    found = []
+    for whole, least in ((0, IN_PLACE), (1, PASSAGE)):
+        token, s, e = token_runs(tokens, least)
+        part = np.empty(len(s), dtype=_RUN)
+        part["token"], part["s"], part["e"], part["whole"] = token, s, e, whole
+        found.append(part)
+    return np.concatenate(found).tobytes() or None
+
+
 def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
     for part in in_parts(batches, column):
         ids, texts = part.column(0).to_pylist(), part.column(column).to_pylist()
@@ -115,7 +150,10 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
             high = np.cumsum([len(r) for r in own.values()])
             low = np.append(0, high[:-1])
             text_of = np.repeat(np.arange(len(ids)), high - low)
+            # Passages of one token are left to ``_run_repeats``.
+            other = np.concatenate(([0], np.cumsum(row[1:] != row[:-1])))
             starts = np.flatnonzero(high[text_of] - np.arange(len(row)) >= PASSAGE)
+            starts = starts[other[starts + PASSAGE - 1] > other[starts]]
             found = []
             for h in range(HASHES):
                 at, lo, hi = minima(row, _SEEDS[h], starts)
@@ -188,94 +226,60 @@ def joined_intervals(
     return pd.concat(out, ignore_index=True)
 
 
-def _before(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens' order by value and place, and for each token the place of the same one before it; -1 for none."""
-    order = np.argsort(tokens, kind="stable")
-    before = np.full(len(tokens), -1, dtype=np.int64)
-    same = tokens[order[1:]] == tokens[order[:-1]]
-    before[order[1:][same]] = order[:-1][same]
-    return order, before
-
-
-def _added(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """For each of n passages how many of the ranges hold it; ranges that end before they begin hold none."""
-    first, last = np.maximum(first, 0), np.minimum(last, n - 1)
+def _kinds(n: int, keys: np.ndarray) -> np.ndarray:
+    """How many kinds of tokens each of n passages has: ``keys`` are sorted tokens, with their place above the lowest bit."""
+    place = ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64)
+    token = keys >> np.uint64(32)
+    first, last = np.maximum(place - PASSAGE + 1, 0), np.minimum(place, n - 1)
+    # A token counts for the passages that it is the first of its kind in.
+    np.maximum(first[1:], np.where(token[1:] == token[:-1], place[:-1] + 1, 0), out=first[1:])
     good = first <= last
-    steps = np.bincount(first[good], minlength=n + 1) - np.bincount(last[good] + 1, minlength=n + 1)
-    return np.cumsum(steps[:n])
+    return np.cumsum(np.bincount(first[good], minlength=n + 1) - np.bincount(last[good] + 1, minlength=n + 1))[:n]
 
 
 def alike_sets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether the passages of x and y from each place on are 0.75 alike or more as sets.
+    """Whether the passages of x and y from each place on are 0.75 alike or more as sets, tokens being 32-bit numbers.
 
-    Each token counts for the passages that it is the first of its kind in. A token of x and an equal one of y count
-    together for the passages that both do, so each kind that a pair of passages shares counts once.
+    Sizes are counted in each text, the union in both texts, laid on each other.
     """
     n = len(x) - PASSAGE + 1
     if n < 1:
         return np.zeros(0, dtype=bool)
-    (_, before_x), (order, before_y) = _before(x), _before(y)
-    place = np.arange(len(x))
-    from_x, from_y = np.maximum(place - PASSAGE + 1, before_x + 1), np.maximum(place - PASSAGE + 1, before_y + 1)
-    size_x, size_y = _added(n, from_x, place), _added(n, from_y, place)
-    # The places of y with x's token, near enough to lie in one passage with it.
-    kinds, rank = np.unique(y, return_inverse=True)
-    by_place = rank[order].astype(np.int64) * (4 * len(y)) + order
-    mine = np.searchsorted(kinds, x)
-    known = kinds[np.minimum(mine, len(kinds) - 1)] == x
-    base = mine.astype(np.int64) * (4 * len(y)) + place
-    low = np.searchsorted(by_place, np.maximum(base - PASSAGE + 1, mine * (4 * len(y))))
-    high = np.where(known, np.searchsorted(by_place, base + PASSAGE - 1, side="right"), low)
-    count = np.maximum(high - low, 0)
-    u = np.repeat(place, count)
-    v = order[np.repeat(low, count) + np.arange(len(u)) - np.repeat(np.cumsum(count) - count, count)]
-    both = _added(n, np.maximum(from_x[u], from_y[v]), np.minimum(u, v))
-    return 100 * both >= 75 * (size_x + size_y - both)
-
-
-def shared_at(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the passages of x and y from each place on: the kinds of tokens that they share, and of the one with more its kinds."""
-    both, most = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
-    distinct = lambda rows: 1 + (np.diff(np.sort(rows, axis=1), axis=1) != 0).sum(axis=1)
-    for k in range(0, len(at), SET_PASSAGES):
-        places = at[k : k + SET_PASSAGES, None] + np.arange(PASSAGE)
-        p, q = x[places], y[places]
-        sizes = distinct(p), distinct(q)
-        both[k : k + SET_PASSAGES] = sizes[0] + sizes[1] - distinct(np.concatenate([p, q], axis=1))
-        most[k : k + SET_PASSAGES] = np.maximum(*sizes)
-    return both, most
-
-
-def compared(x: np.ndarray, y: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Laid on each other, where x and y repeat: first passage and number of each run, and which places have any.
-
-    A place is ``n`` passages from ``at`` on. Tokens in place decide first: where so many of a passage's tokens agree,
-    the Jaccard similarity is 0.75 or more. If that finds nothing, as with words put in or left out, all passages of the
-    place are compared as sets. One step on changes at most one kind on either side, so a place whose middle passages
-    share too few kinds for any of its passages is not gone through.
+    place = np.arange(len(x), dtype=np.uint64) << np.uint64(1)
+    keys = [t.astype(np.uint64) << np.uint64(32) | place | np.uint64(k) for k, t in enumerate((x, y))]
+    union = _kinds(n, np.sort(np.concatenate(keys)))
+    both = _kinds(n, np.sort(keys[0])) + _kinds(n, np.sort(keys[1])) - union
+    return 100 * both >= 75 * union
+
+
+def _in_passages(marks: np.ndarray) -> np.ndarray:
+    """How many of the marks are in the passage from each place on."""
+    sums = np.concatenate(([0], np.cumsum(marks, dtype=np.int32)))
+    return sums[PASSAGE:] - sums[:-PASSAGE]
+
+
+def compared(x: np.ndarray, y: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Laid on each other, where x and y repeat: first passage and number of each run.
+
+    ``inside`` marks the passages to compare. Tokens in place decide first: where so many of a passage's tokens agree,
+    the Jaccard similarity is 0.75 or more. The others, as with words put in or left out, are compared as sets.
     """
-    same = np.concatenate(([0], np.cumsum(x == y)))
-    hit = np.zeros(len(x) + 1, dtype=bool)
-    hit[: len(x) - PASSAGE + 1] = same[PASSAGE:] - same[:-PASSAGE] >= IN_PLACE
-    hits = np.concatenate(([0], np.cumsum(hit)))
-    found = hits[at + n] > hits[at]
-    other = np.flatnonzero(~found)
-    both, most = shared_at(x, y, at[other] + n[other] // 2)
-    steps = n[other] // 2 + 1
-    other = other[100 * (both + 2 * steps) >= 75 * (most - steps)]
-    if len(other):
-        begin = np.concatenate(([0], np.cumsum(n[other] + PASSAGE - 1)))
-        of = np.repeat(at[other] - begin[:-1], np.diff(begin)) + np.arange(begin[-1])
+    n = len(x) - PASSAGE + 1
+    hit = (_in_passages(x == y) >= IN_PLACE) & inside[:n]
+    other = np.diff((inside[:n] & ~hit).astype(np.int8), prepend=0, append=0)
+    at, ends = np.flatnonzero(other == 1), np.flatnonzero(other == -1)
+    if len(at):
+        size = ends - at + PASSAGE - 1
+        begin = np.concatenate(([0], np.cumsum(size)))
+        of = np.repeat(at - begin[:-1], size) + np.arange(begin[-1])
         alike = np.zeros(begin[-1], dtype=bool)
         for k in range(0, begin[-1] - PASSAGE + 1, SET_PASSAGES):
             part = of[k : k + SET_PASSAGES + PASSAGE - 1]
             alike[k : k + len(part) - PASSAGE + 1] = alike_sets(x[part], y[part])
-        inside = np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin)) < np.repeat(n[other], np.diff(begin))
-        hit[of[alike & inside]] = True
-        found[other] = np.add.reduceat(alike & inside, begin[:-1]) > 0
-    steps = np.bincount(at, minlength=len(x) + 1) - np.bincount(at + n, minlength=len(x) + 1)
-    runs = np.flatnonzero(np.diff((hit & (np.cumsum(steps) > 0)).astype(np.int8), prepend=0, append=0))
-    return runs[::2], runs[1::2] - runs[::2], found
+        alike &= np.arange(begin[-1]) - np.repeat(begin[:-1], size) < np.repeat(ends - at, size)
+        hit[of[alike]] = True
+    runs = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    return runs[::2], runs[1::2] - runs[::2]
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -320,12 +324,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
     """Of aligned candidates the runs that repeat (a, i, b, j, n).
 
     A candidate says that the passages of ``a`` from i to i + n - 1 may be those of ``b`` from j on. Candidates of two
-    texts with one shift between them are compared together; only that stretch of each text's tokens is joined to them.
+    texts with one shift between them are one stretch, from the first to the last; only that stretch of each text's
+    tokens is joined to it, and all its passages are compared.
     """
     i, n = F.col("i"), F.col("n")
-    by_shift = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(
-        F.min(i).alias("low"), F.max(i + n).alias("high"), F.collect_set(F.struct("i", "n")).alias("places")
-    )
+    by_shift = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(F.min(i).alias("low"), F.max(i + n).alias("high"))
     by_shift = written(by_shift, "passage-pairs")
     wanted = _chosen(by_shift.select(F.explode(F.array("a", "b")).alias("text")), first_docs)
     tokens = written(_tokens(wanted, docs), "tokens")
@@ -343,15 +346,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u4") for c in ("left", "right"))
                 ends = np.cumsum(high - low + PASSAGE - 1)
                 begin = np.append(0, ends[:-1])
-                row, (i, n) = _places(batch.column("places"))
-                at, length, _ = compared(x, y, begin[row] + i - low[row], n)
+                steps = np.bincount(begin, minlength=len(x) + 1) - np.bincount(ends - PASSAGE + 1, minlength=len(x) + 1)
+                at, length = compared(x, y, np.cumsum(steps) > 0)
                 of = np.searchsorted(begin, at, side="right") - 1
                 first = at - begin[of] + low[of]
                 yield _batch([a[of], first, b[of], first - shift[of], length], out)
 
     left = by_shift.join(tokens.withColumnRenamed("text", "a"), "a").withColumn("left", stretch(F.col("low"))).drop("tokens")
     both = left.join(tokens.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
-    both = both.select("a", "b", "shift", "low", "high", "places", "left", "right")
+    both = both.select("a", "b", "shift", "low", "high", "left", "right")
     hits = written(mapped(both, compare, "a long, i long, b long, j long, n long"), "repeats")
     for done in (by_shift, wanted, tokens):
         discard(done)
@@ -373,6 +376,29 @@ def covered(text: np.ndarray, s: np.ndarray, e: np.ndarray, of: np.ndarray, at:
     return (k >= 0) & (last[k] > place[: len(text)] + e)
 
 
+def _run_repeats(runs: DataFrame) -> DataFrame:
+    """Runs (a, i, b, j, n) of passages with ``IN_PLACE`` places of a token that repeat passages of that token only.
+
+    ``runs`` has (token, text, s, e, whole). All meet the longest run of their token, or if that is in the same text the
+    longest of another, or else the first and the last passage of the token in the text, where they don't overlap.
+    """
+    whole = runs.where("whole = 1").select("token", F.struct((F.col("e") - F.col("s") + 1).alias("n"), "text", "s").alias("w"))
+    best = whole.groupBy("token").agg(F.max("w").alias("p"))
+    second = whole.join(best, "token").where("w.text <> p.text").groupBy("token").agg(F.max("w").alias("q"))
+    ends = runs.where("whole = 1").groupBy("token", "text").agg(F.min("s").alias("first"), F.max("e").alias("last"))
+    rows = runs.where("whole = 0").select("token", "text", "s", "e").join(best, "token").join(second, "token", "left")
+    rows = rows.withColumn("w", F.when(F.col("text") != F.col("p.text"), F.col("p")).otherwise(F.col("q")))
+    met = rows.where("w is not null").withColumn("i", F.explode(F.sequence("s", "e", "w.n")))
+    met = met.select(
+        F.col("text").alias("a"), "i", F.col("w.text").alias("b"), F.col("w.s").alias("j"), F.least(F.col("w.n"), F.col("e") - F.col("i") + 1).alias("n")
+    )
+    own = rows.where("w is null").join(ends, ["token", "text"]).withColumn("i", F.explode(F.sequence("s", "e")))
+    apart = F.lit(PASSAGE + SHINGLE - 1)
+    j = F.when(F.col("i") - F.col("first") >= apart, F.col("first")).when(F.col("last") - F.col("i") >= apart, F.col("last"))
+    own = own.select(F.col("text").alias("a"), "i", F.col("text").alias("b"), j.alias("j"), F.lit(1).cast("long").alias("n"))
+    return met.unionByName(own.where("j is not null"))
+
+
 def _uncovered(rows: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
     """The rows (text, s, e and more) with a passage that no hit covers."""
     sides = [hits.select(F.col(t).alias("text"), F.col(p).alias("at"), "n") for t, p in ("ai", "bj")]
@@ -404,6 +430,16 @@ def rarest(order: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
 
 
+def inside_runs(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Which places are ``RUN_ENDS`` or more places from both ends of a run of equal tokens; texts begin at ``begin``."""
+    new = np.append(True, tokens[1:] != tokens[:-1])
+    new[begin[begin < len(tokens)]] = True
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(tokens)))
+    at = np.arange(len(tokens)) - np.repeat(first, size)
+    return (at >= RUN_ENDS) & (np.repeat(size, size) - at > RUN_ENDS)
+
+
 def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
     """(sig, text, s, e, c): in the pool's passages from s to e, the token sig at place c is one of the rarest."""
     places = pool.groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("places"))
@@ -443,7 +479,9 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
             if len(known):
                 k = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
                 order |= np.where(known[k] == tokens, np.minimum(often[k], np.uint64((1 << 31) - 1)), np.uint64(0)) << np.uint64(32)
-            place, lo, hi = rarest(order, passages)
+            inner = inside_runs(tokens, begin)
+            order[inner] = np.iinfo(np.uint64).max
+            place, lo, hi = (c[~inner[found[0]]] for found in [rarest(order, passages)] for c in found)
             # A run is of one text: its passages all hold the place, but neighbours in the buffer may be of the next.
             of = np.searchsorted(begin, place, side="right") - 1
             yield _batch([tokens[place].astype(np.int64), texts[of], lo - begin[of], hi - begin[of], place - begin[of]], schema)
@@ -489,14 +527,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document's own where it repeats itself only.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("n", pa.int64()), ("runs", pa.binary())])
 
     def scan(batches):
         for ids, texts, rows in _parts(batches, 1):
-            yield _batch([ids, [text_id(t or "") for t in texts], [len(r) for r in rows]], schema)
+            yield _batch([ids, [text_id(t or "") for t in texts], [len(r) for r in rows], [_packed_runs(r) for r in rows]], schema)
+
+    def unpacked(batches):
+        out = pa.schema([(c, pa.int64()) for c in ("token", "text", "s", "e", "whole")])
+        for batch in batches:
+            rows = [np.frombuffer(r, dtype=_RUN) for r in batch.column("runs").to_pylist()]
+            every = np.concatenate(rows)
+            texts = np.repeat(batch.column("text").to_numpy(), [len(r) for r in rows])
+            yield _batch([every["token"], texts, *(every[c].astype(np.int64) for c in ("s", "e", "whole"))], out)
 
-    listed = mapped(docs, scan, "doc_id long, text long, n long").where(F.col("n") >= PASSAGE)
+    listed = mapped(docs, scan, "doc_id long, text long, n long, runs binary").where(F.col("n") >= PASSAGE)
     listed = written(listed.distinct(), "passage-scan")
+    runs = listed.where("runs is not null").select("text", "runs").dropDuplicates(["text"])
+    runs = written(mapped(runs, unpacked, "token long, text long, s long, e long, whole long"), "token-runs")
+    listed = listed.select("doc_id", "text", "n")
     total = (listed.agg(F.sum("n")).first()[0] or 0) * 2 * HASHES // PASSAGE
     n_blocks = max(1, min(total // BLOCK_WINDOWS, MANY_BLOCKS), total // LARGE_BLOCK)
     windows = written(_windows(docs, n_blocks), "windows")
@@ -522,7 +571,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     shared = written(signed.drop("d").join(groups, "sig"), "signatures-shared")
     discard(signed)
     ends = shared.select(*side("a"), F.col("p.text").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "sec"))
-    hits = _verified(_aligned(ends), docs, first_docs)
+    hits = _verified(_aligned(ends), docs, first_docs).unionByName(written(_run_repeats(runs), "run-repeats"))
+    discard(runs)
     left = written(_uncovered(shared.select("sig", "text", "s", "e"), hits, n_blocks).select("sig").distinct(), "left-groups")
     pool = written(shared.join(left, "sig", "left_semi").select("text", "s", "e").distinct(), "left-members")
     discard(shared)

@@ -222,3 +222,43 @@ def test_sets_at_every_place_equal_brute_force():
             y = np.where(rng.random(n) < 0.1, rng.integers(0, kinds, n), np.roll(x, rng.integers(0, 3))).astype(np.uint32)
             pairs = [(set(x[i : i + 46].tolist()), set(y[i : i + 46].tolist())) for i in range(max(0, n - 45))]
             assert sd.alike_sets(x, y).tolist() == [100 * len(p & q) >= 75 * len(p | q) for p, q in pairs]
+
+
+def test_token_runs_and_their_ends_equal_brute_force():
+    rng = np.random.default_rng(31)
+    for n in (46, 47, 90, 400):
+        for _ in range(20):
+            tokens = np.repeat(rng.integers(0, 3, n), rng.choice([1, 5, 20, 60], n))[:n]
+            rows = [tokens[i : i + sd.PASSAGE].tolist() for i in range(n - sd.PASSAGE + 1)]
+            for least in (sd.IN_PLACE, sd.PASSAGE):
+                got = {(int(t), i) for t, s, e in zip(*sd.token_runs(tokens, least)) for i in range(s, e + 1)}
+                assert got == {(t, i) for i, r in enumerate(rows) for t in set(r) if r.count(t) >= least}
+            begin, k = np.array([0, n // 2, n]), sd.RUN_ENDS
+            parts = [(b, tokens[a:c], i) for a, c in ((0, n // 2), (n // 2, n)) for i, b in enumerate(tokens[a:c])]
+            want = [i >= k and len(set(t[i - k : i + k + 1].tolist())) == 1 and i + k < len(t) for _, t, i in parts]
+            assert sd.inside_runs(tokens, begin).tolist() == want
+
+
+def test_texts_of_repeated_words_meet_at_few_places(spark):
+    # Each place of a run of one word was a window before, and met each place of all runs of the word.
+    rng = random.Random(12)
+    texts = []
+    for _ in range(24):
+        texts.append([w for _ in range(4) for w in [rng.choice("abcdef")] * rng.choice((3, 30, 60, 150))])
+    texts += [["lone"] * 130, ["short"] * 99]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = sum(len(set(t[i : i + 50])) == 1 for t in texts for i in range(len(t) - 49))
+    by_id = {sd.text_id(" ".join(t)): t for t in texts}
+    starts = [(by_id[r.text], r.lo) for r in sd._windows(docs, 1).collect()]
+    assert whole > 2000 and not any(len(set(t[lo : lo + 50])) == 1 for t, lo in starts)
+    spans = defaultdict(list)
+    for r in sd.repeated_passages(docs).collect():
+        spans[r.doc_id].append((r.start_word, r.end_word))
+    places = defaultdict(list)
+    for d, t in enumerate(texts):
+        for i in range(len(t) - 49):
+            places[tuple(t[i : i + 50])].append((d, i))
+    repeats = [(d, i) for ps in places.values() for d, i in ps if any(e != d or abs(i - j) >= 50 for e, j in ps)]
+    lost = [(d, i) for d, i in repeats if not any(a <= i and i + 50 <= b for a, b in spans[d])]
+    assert len(repeats) > 2000 and not lost
+    assert len(texts) - 2 in spans and len(texts) - 1 not in spans
