@@ -380,15 +380,21 @@ def _run_repeats(runs: DataFrame) -> DataFrame:
     """Runs (a, i, b, j, n) of passages with ``IN_PLACE`` places of a token that repeat passages of that token only.
 
     ``runs`` has (token, text, s, e, whole). All meet the longest run of their token, or if that is in the same text the
-    longest of another, or else the first and the last passage of the token in the text, where they don't overlap.
+    longest of another, or else the first and the last passage of the token in the text, where they don't overlap. If no
+    other text has a run, its passages meet the most passages in a row of another that have ``IN_PLACE`` places of it.
     """
-    whole = runs.where("whole = 1").select("token", F.struct((F.col("e") - F.col("s") + 1).alias("n"), "text", "s").alias("w"))
+    run = F.struct((F.col("e") - F.col("s") + 1).alias("n"), "text", "s").alias("w")
+    whole = runs.where("whole = 1").select("token", run)
     best = whole.groupBy("token").agg(F.max("w").alias("p"))
     second = whole.join(best, "token").where("w.text <> p.text").groupBy("token").agg(F.max("w").alias("q"))
     ends = runs.where("whole = 1").groupBy("token", "text").agg(F.min("s").alias("first"), F.max("e").alias("last"))
     rows = runs.where("whole = 0").select("token", "text", "s", "e").join(best, "token").join(second, "token", "left")
     rows = rows.withColumn("w", F.when(F.col("text") != F.col("p.text"), F.col("p")).otherwise(F.col("q")))
-    met = rows.where("w is not null").withColumn("i", F.explode(F.sequence("s", "e", "w.n")))
+    most = runs.where("whole = 0").select("token", run).join(best, "token").where("w.text <> p.text")
+    most = most.join(second, "token", "left_anti").groupBy("token").agg(F.max("w").alias("w"))
+    alone = runs.where("whole = 1").join(best, "token").where("text = p.text").join(most, "token")
+    met = rows.where("w is not null").select("text", "s", "e", "w").unionByName(alone.select("text", "s", "e", "w"))
+    met = met.withColumn("i", F.explode(F.sequence("s", "e", "w.n")))
     met = met.select(
         F.col("text").alias("a"), "i", F.col("w.text").alias("b"), F.col("w.s").alias("j"), F.least(F.col("w.n"), F.col("e") - F.col("i") + 1).alias("n")
     )

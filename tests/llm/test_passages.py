@@ -262,3 +262,11 @@ def test_texts_of_repeated_words_meet_at_few_places(spark):
     lost = [(d, i) for d, i in repeats if not any(a <= i and i + 50 <= b for a, b in spans[d])]
     assert len(repeats) > 2000 and not lost
     assert len(texts) - 2 in spans and len(texts) - 1 not in spans
+
+
+def test_a_run_that_no_other_text_has_meets_passages_almost_of_its_word(spark):
+    other = lambda n, k: [f"o{k + i}" for i in range(n)]
+    texts = [other(20, 0) + ["deep"] * 70, other(30, 100) + ["deep"] * 47 + other(30, 200)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    spans = [(r.start_word, r.end_word) for r in sd.repeated_passages(docs).collect() if r.doc_id == 0]
+    assert any(a <= 20 and b == 90 for a, b in spans), spans
