@@ -33,12 +33,13 @@ and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,7 +71,11 @@ BROADCAST_DOCS = 1_000_000
 _PACKED = np.dtype([("key", "<i8"), ("text", "<i8"), ("lo", "<i4"), ("wide", "u1"), ("at", "u1")])
 #: Passages of a text that are one token, or that one token has ``IN_PLACE`` places of.
 _RUN = np.dtype([("token", "<i8"), ("s", "<i4"), ("e", "<i4"), ("whole", "u1")])
-_WINDOW = "key long, text long, lo long, hi long, at long"
+#: A signature of a text: the text's first document, first passage, and from there to the last passage and to the minimum.
+_SIGNED = np.dtype([("sig", "<i8"), ("doc", "<i8"), ("text", "<i8"), ("s", "<i4"), ("wide", "u1"), ("at", "u1")])
+#: Passages of two texts to compare: those of a from low to high (exclusive) with those of b that lie ``shift`` before.
+_STRETCH = np.dtype([("a", "<i8"), ("b", "<i8"), ("shift", "<i4"), ("low", "<i4"), ("high", "<i4")])
+_PLACES = np.dtype([("text", "<i8"), ("s", "<i4"), ("e", "<i4")])
 _SEEDS = np.random.default_rng(8191).integers(0, 1 << 64, HASHES, dtype=np.uint64)
 
 
@@ -127,25 +132,54 @@ def _packed_runs(tokens: np.ndarray) -> bytes | None:
     return np.concatenate(found).tobytes() or None
 
 
-def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[list, list, list[np.ndarray]]]:
-    for part in in_parts(batches, column):
-        ids, texts = part.column(0).to_pylist(), part.column(column).to_pylist()
-        yield ids, texts, token_sequences([t or "" for t in texts])
-
-
 def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """Windows whose minimum two places or more share: key, text, lo, hi, at."""
-    schema = pa.schema([("block", pa.int64()), ("windows", pa.binary())])
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, n, runs, low, high, row) of each document with a passage.
+
+    Texts are read and cut into tokens here only; ``low`` and ``high`` are the halves of its ``n`` tokens.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("runs", "low", "high")])
+
+    def scan(batches):
+        for part in in_parts(batches, 1):
+            ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            long = [(i, t, r) for i, t, r in zip(ids, texts, token_sequences(texts), strict=True) if len(r) >= PASSAGE]
+            halves = [[(r >> k).astype("<u4").tobytes() for *_, r in long] for k in (0, 32)]
+            yield _batch([[i for i, *_ in long], [text_id(t) for _, t, _ in long], [len(r) for *_, r in long], [_packed_runs(r) for *_, r in long], *halves], schema)
+
+    scanned = mapped(docs, scan, "doc_id long, text long, n long, runs binary, low binary, high binary")
+    return written(scanned.withColumn("row", F.monotonically_increasing_id()), "passage-scan")
+
+
+def _dealt(rows: np.ndarray, block: np.ndarray) -> pd.DataFrame:
+    """(block, rows) of each block, the rows packed."""
+    order = np.argsort(block, kind="stable")
+    rows, block = rows[order], block[order]
+    cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+    spans = list(zip(cuts, cuts[1:]))
+    return pd.DataFrame({"block": block[cuts[:-1]].astype("int64"), "rows": [rows[a:b].tobytes() for a, b in spans]})
+
+
+def _block(ids: np.ndarray, n_blocks: int) -> np.ndarray:
+    """The block of hashes; ``pmod`` in Spark."""
+    return ids % n_blocks
+
+
+def _unpacked(rows: Iterable[bytes], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=kind)
+
+
+def _shared_windows(scanned: DataFrame, n_blocks: int) -> DataFrame:
+    """Windows whose minimum two places or more share, packed by the block of their text: block, rows."""
+    schema = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
 
     def cut(batches):
-        for _, texts, tokens in _parts(batches, 1):
-            own = {text_id(t): r for t, r in zip(texts, tokens, strict=True) if len(r) >= PASSAGE}
-            if not own:
-                continue
+        for part in in_parts(batches, 1):
+            halves = [[np.frombuffer(t, dtype="<u4").astype(np.int64) for t in part.column(c).to_pylist()] for c in ("low", "high")]
+            own = {t: low | high << 32 for t, low, high in zip(part.column("text").to_pylist(), *halves, strict=True)}
             ids, row = np.array(list(own), dtype=np.int64), np.concatenate(list(own.values()))
             high = np.cumsum([len(r) for r in own.values()])
             low = np.append(0, high[:-1])
@@ -164,15 +198,10 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
                 part["text"], part["lo"], part["wide"], part["at"] = ids[of], lo - low[of], hi - lo, at - lo
                 found.append(part)
             every = np.concatenate(found)
-            block = (mixed(every["key"].astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            every, block = every[order], block[order]
-            cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
-            spans = list(zip(cuts, cuts[1:]))
-            yield _batch([[int(block[a]) for a, _ in spans], [every[a:b].tobytes() for a, b in spans]], schema)
+            yield pa.RecordBatch.from_pandas(_dealt(every, (mixed(every["key"].astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64)), schema)
 
     def shared(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        every = np.frombuffer(b"".join(rows["windows"]), dtype=_PACKED)
+        every = _unpacked(rows["rows"], _PACKED)
         every = every[np.lexsort((every["lo"], every["text"], every["key"]))]
         again = np.zeros(len(every), dtype=bool)
         again[1:] = every[1:] == every[:-1]
@@ -182,12 +211,112 @@ def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
         keep[1:] |= same
         keep[:-1] |= same
         every = every[keep]
-        out = {n: every[n].astype("int64") for n in _PACKED.names}
-        out["hi"], out["at"] = out["lo"] + out.pop("wide"), out["lo"] + out["at"]
-        return pd.DataFrame(out)[["key", "text", "lo", "hi", "at"]]
+        return _dealt(every, _block(every["text"], n_blocks))
+
+    packed = mapped(scanned.select("text", "low", "high"), cut, "block long, rows binary")
+    return grouped(packed.groupBy("block"), shared, "block long, rows binary")
 
-    packed = mapped(docs.select("doc_id", "text"), cut, "block long, windows binary")
-    return grouped(packed.groupBy("block"), shared, _WINDOW)
+
+def _windows(docs: DataFrame, n_blocks: int) -> DataFrame:
+    """The same of documents (doc_id, text), as rows: key, text, lo, hi, at."""
+    out = pa.schema([(c, pa.int64()) for c in ("key", "text", "lo", "hi", "at")])
+
+    def unpacked(batches):
+        for batch in batches:
+            w = _unpacked(batch.column("rows").to_pylist(), _PACKED)
+            lo = w["lo"].astype(np.int64)
+            yield _batch([w["key"], w["text"], lo, lo + w["wide"], lo + w["at"]], out)
+
+    return mapped(_shared_windows(_scanned(docs), n_blocks), unpacked, "key long, text long, lo long, hi long, at long")
+
+
+def _signatures(windows: DataFrame, first_docs: DataFrame, n_blocks: int) -> DataFrame:
+    """The signatures of all texts, packed by the blocks of their text and of themselves: of, block, rows."""
+
+    def signed(key: tuple, rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        w = {n: c.astype(np.int64) for n, c in ((n, _unpacked(rows["rows"], _PACKED)[n]) for n in _PACKED.names)}
+        found = joined_intervals(w["key"], w["text"], w["lo"], w["lo"] + w["wide"], w["lo"] + w["at"], pairs=PAIRS)
+        out = np.empty(len(found), dtype=_SIGNED)
+        out["sig"], out["text"], out["s"] = found["sig"], found["text"], found["s"]
+        out["wide"], out["at"] = found["e"] - found["s"], found["c"] - found["s"]
+        out["doc"] = found["text"].map(first.set_index("text")["doc_id"])
+        return _dealt(out, _block(out["sig"], n_blocks)).assign(of=key[0])[["of", "block", "rows"]]
+
+    by_block = (windows.groupBy("block"), first_docs.groupBy(F.pmod("text", F.lit(n_blocks))))
+    return cogrouped(*by_block, signed, "of long, block long, rows binary")
+
+
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of signature, the first of a group being its text of the smallest document, and each row's first."""
+    rows = rows[np.lexsort((rows["s"], rows["text"], rows["doc"], rows["sig"]))]
+    new = np.flatnonzero(np.diff(rows["sig"], prepend=-1))
+    return rows, np.repeat(new, np.diff(np.append(new, len(rows))))
+
+
+def _meetings(signed: DataFrame, n_blocks: int) -> DataFrame:
+    """Stretches (a, b, shift, low, high): each member of a group with the first of it, laid on their minima."""
+
+    def met(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x, first = _groups(_unpacked(rows["rows"], _SIGNED))
+        other = np.flatnonzero(first != np.arange(len(x)))
+        x, y = x[other], x[first[other]]
+        s_a, s_b = x["s"].astype(np.int64), y["s"].astype(np.int64)
+        e_a, e_b, by_minima = s_a + x["wide"], s_b + y["wide"], s_a + x["at"] - s_b - y["at"]
+        low = np.maximum(s_a, np.minimum(e_a, s_b + by_minima))
+        high = np.maximum(low, np.minimum(e_a, e_b + by_minima)) + 1
+        shift = low - np.maximum(s_b, np.minimum(e_b, low - by_minima))
+        keep = (x["text"] != y["text"]) | (np.abs(shift) >= PASSAGE + SHINGLE - 1)
+        out = np.empty(int(keep.sum()), dtype=_STRETCH)
+        for name, column in zip(_STRETCH.names, (x["text"], y["text"], shift, low, high), strict=True):
+            out[name] = column[keep]
+        return _dealt(out, (mixed((out["a"] ^ out["b"]).astype(np.uint64)) % np.uint64(n_blocks)).astype(np.int64))
+
+    def joined(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        every = _unpacked(rows["rows"], _STRETCH)
+        every = every[np.lexsort((every["shift"], every["b"], every["a"]))]
+        new = np.zeros(len(every), dtype=bool)
+        new[:1] = True
+        for name in ("a", "b", "shift"):
+            new[1:] |= every[name][1:] != every[name][:-1]
+        first = np.flatnonzero(new)
+        out = pd.DataFrame({n: every[n][first].astype("int64") for n in ("a", "b", "shift")})
+        for name, function in (("low", np.minimum), ("high", np.maximum)):
+            out[name] = function.reduceat(every[name].astype(np.int64), first) if len(first) else every[name].astype(np.int64)
+        return out
+
+    packed = grouped(signed.groupBy("block"), met, "block long, rows binary")
+    return grouped(packed.groupBy("block"), joined, "a long, b long, shift long, low long, high long")
+
+
+def _pool(signed: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
+    """(text, places): of groups with a passage that no hit covers, the members' passages, packed by text."""
+
+    def uncovered(_key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
+        x = _unpacked(rows["rows"], _SIGNED)
+        s = x["s"].astype(np.int64)
+        sigs = np.unique(x["sig"][~covered(x["text"], s, s + x["wide"], *(runs[c].to_numpy() for c in ("text", "at", "n")))])
+        return _dealt(sigs, _block(sigs, n_blocks))
+
+    def members(_key: tuple, rows: pd.DataFrame, left: pd.DataFrame) -> pd.DataFrame:
+        x, first = _groups(_unpacked(rows["rows"], _SIGNED))
+        several = np.bincount(first, minlength=len(x))[first] > 1
+        x = x[several & np.isin(x["sig"], _unpacked(left["rows"], np.dtype("<i8")))]
+        out = np.empty(len(x), dtype=_PLACES)
+        out["text"], out["s"], out["e"] = x["text"], x["s"], x["s"] + x["wide"]
+        return _dealt(out, _block(out["text"], n_blocks))
+
+    def by_text(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        every = _unpacked(rows["rows"], _PLACES)
+        every = every[np.lexsort((every["e"], every["s"], every["text"]))]
+        every = every[np.append(True, every[1:] != every[:-1])[: len(every)]]
+        cuts = [*np.flatnonzero(np.diff(every["text"], prepend=-1)).tolist(), len(every)]
+        places = np.stack([every["s"], every["e"]], axis=1)
+        return pd.DataFrame({"text": every["text"][cuts[:-1]].astype("int64"), "places": [places[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]})
+
+    by_block = (signed.groupBy("of"), _sides(hits).groupBy(F.pmod("text", F.lit(n_blocks))))
+    left = cogrouped(*by_block, uncovered, "block long, rows binary")
+    found = cogrouped(signed.groupBy("block"), left.groupBy("block"), members, "block long, rows binary")
+    return grouped(found.groupBy("block"), by_text, "text long, places binary")
 
 
 def joined_intervals(
@@ -226,15 +355,17 @@ def joined_intervals(
     return pd.concat(out, ignore_index=True)
 
 
-def _kinds(n: int, keys: np.ndarray) -> np.ndarray:
-    """How many kinds of tokens each of n passages has: ``keys`` are sorted tokens, with their place above the lowest bit."""
+def _kinds(n: int, keys: np.ndarray, texts: int = 1) -> np.ndarray:
+    """How many kinds of tokens each of n passages has: ``keys`` are sorted tokens, with their place above the lowest bit.
+
+    A token counts from the first passage that it is the first of its kind in up to the one that begins with it. Each
+    place ends one such stretch a text, so only the beginnings are counted.
+    """
     place = ((keys & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64)
-    token = keys >> np.uint64(32)
-    first, last = np.maximum(place - PASSAGE + 1, 0), np.minimum(place, n - 1)
-    # A token counts for the passages that it is the first of its kind in.
-    np.maximum(first[1:], np.where(token[1:] == token[:-1], place[:-1] + 1, 0), out=first[1:])
-    good = first <= last
-    return np.cumsum(np.bincount(first[good], minlength=n + 1) - np.bincount(last[good] + 1, minlength=n + 1))[:n]
+    first = np.maximum(place - PASSAGE + 1, 0)
+    same = (keys[1:] ^ keys[:-1]) < np.uint64(1 << 32)
+    np.maximum(first[1:], (place[:-1] + 1) * same, out=first[1:])
+    return np.cumsum(np.bincount(first, minlength=n)[:n]) - texts * np.arange(n)
 
 
 def alike_sets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -247,7 +378,7 @@ def alike_sets(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=bool)
     place = np.arange(len(x), dtype=np.uint64) << np.uint64(1)
     keys = [t.astype(np.uint64) << np.uint64(32) | place | np.uint64(k) for k, t in enumerate((x, y))]
-    union = _kinds(n, np.sort(np.concatenate(keys)))
+    union = _kinds(n, np.sort(np.concatenate(keys)), 2)
     both = _kinds(n, np.sort(keys[0])) + _kinds(n, np.sort(keys[1])) - union
     return 100 * both >= 75 * union
 
@@ -294,44 +425,36 @@ def _aligned(pairs: DataFrame) -> DataFrame:
     return out.where((F.col("a") != F.col("b")) | (F.abs(F.col("i") - F.col("j")) >= PASSAGE + SHINGLE - 1))
 
 
-def _chosen(texts: DataFrame, first_docs: DataFrame) -> DataFrame:
-    """The first document of each text that is named."""
-    return written(texts.select("text").distinct().join(first_docs, "text").select("doc_id"), "passage-texts")
+def _chosen(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The row that is read of each text that is named."""
+    return written(texts.select("text").distinct().join(firsts, "text").select("row"), "passage-texts")
 
 
-def _tokens(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """(text, tokens) of the texts of the documents ``wanted``, tokens as 32-bit numbers."""
+def _tokens(wanted: DataFrame, scanned: DataFrame) -> DataFrame:
+    """(text, tokens) of the rows ``wanted``, tokens as 32-bit numbers."""
     if wanted.count() <= BROADCAST_DOCS:
         wanted = F.broadcast(wanted)
-    schema = pa.schema([("text", pa.int64()), ("tokens", pa.binary())])
-
-    def tokens(batches):
-        for _, texts, rows in _parts(batches, 1):
-            long = [i for i, r in enumerate(rows) if len(r) >= PASSAGE]
-            yield _batch([[text_id(texts[i]) for i in long], [rows[i].astype("<u4").tobytes() for i in long]], schema)
+    return scanned.select("row", "text", F.col("low").alias("tokens")).join(wanted, "row", "left_semi").select("text", "tokens")
 
-    chosen = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    return mapped(chosen, tokens, "text long, tokens binary").dropDuplicates(["text"])
 
+def _stretches(pairs: DataFrame) -> DataFrame:
+    """Of aligned candidates (a, i, n, b, j) the stretches (a, b, shift, low, high).
 
-def _places(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of a list column of structs: the row of each struct, and the structs' fields."""
-    rows = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
-    return rows, [f.to_numpy(zero_copy_only=False) for f in column.flatten().flatten()]
+    A candidate says that the passages of ``a`` from i to i + n - 1 may be those of ``b`` from j on. Candidates of two
+    texts with one shift between them are one stretch, from the first to the last.
+    """
+    i, n = F.col("i"), F.col("n")
+    return pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(F.min(i).alias("low"), F.max(i + n).alias("high"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
-    """Of aligned candidates the runs that repeat (a, i, b, j, n).
+def _verified(stretches: DataFrame, scanned: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Of stretches the runs that repeat (a, i, b, j, n).
 
-    A candidate says that the passages of ``a`` from i to i + n - 1 may be those of ``b`` from j on. Candidates of two
-    texts with one shift between them are one stretch, from the first to the last; only that stretch of each text's
-    tokens is joined to it, and all its passages are compared.
+    Only the stretch of each text's tokens is joined to it, and all its passages are compared.
     """
-    i, n = F.col("i"), F.col("n")
-    by_shift = pairs.groupBy("a", "b", (i - F.col("j")).alias("shift")).agg(F.min(i).alias("low"), F.max(i + n).alias("high"))
-    by_shift = written(by_shift, "passage-pairs")
-    wanted = _chosen(by_shift.select(F.explode(F.array("a", "b")).alias("text")), first_docs)
-    tokens = written(_tokens(wanted, docs), "tokens")
+    by_shift = written(stretches, "passage-pairs")
+    wanted = _chosen(by_shift.select(F.explode(F.array("a", "b")).alias("text")), firsts)
+    tokens = _tokens(wanted, scanned)
 
     def stretch(first):
         length = (F.col("high") - F.col("low") + PASSAGE - 1) * 4
@@ -356,7 +479,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
     both = left.join(tokens.withColumnRenamed("text", "b"), "b").withColumn("right", stretch(F.col("low") - F.col("shift")))
     both = both.select("a", "b", "shift", "low", "high", "left", "right")
     hits = written(mapped(both, compare, "a long, i long, b long, j long, n long"), "repeats")
-    for done in (by_shift, wanted, tokens):
+    for done in (by_shift, wanted):
         discard(done)
     return hits
 
@@ -405,10 +528,15 @@ def _run_repeats(runs: DataFrame) -> DataFrame:
     return met.unionByName(own.where("j is not null"))
 
 
+def _sides(hits: DataFrame) -> DataFrame:
+    """(text, at, n) of both texts of each hit."""
+    sides = [hits.select(F.col(t).alias("text"), F.col(p).alias("at"), "n") for t, p in ("ai", "bj")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
 def _uncovered(rows: DataFrame, hits: DataFrame, n_blocks: int) -> DataFrame:
     """The rows (text, s, e and more) with a passage that no hit covers."""
-    sides = [hits.select(F.col(t).alias("text"), F.col(p).alias("at"), "n") for t, p in ("ai", "bj")]
-    by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (rows, sides[0].unionByName(sides[1]).distinct())]
+    by_block = [t.groupBy(F.pmod("text", F.lit(n_blocks))) for t in (rows, _sides(hits))]
 
     def left(_key: tuple, rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         return rows[~covered(*(rows[c].to_numpy() for c in ("text", "s", "e")), *(runs[c].to_numpy() for c in ("text", "at", "n")))]
@@ -424,13 +552,18 @@ def rarest(order: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndar
     found = []
     for k in range(0, len(passages), 8192):
         at = passages[k : k + 8192]
-        values = order[at[:, None] + np.arange(PASSAGE)]
-        bound = np.partition(values, RAREST - 1, axis=1)[:, RAREST - 1 : RAREST]
-        row, column = np.nonzero(values <= bound)
-        passage = at[row]
-        place = passage + column
-        by_place = np.lexsort((passage, place))
-        place, passage = place[by_place], passage[by_place]
+        values = sliding_window_view(order, PASSAGE)[at]
+        # Of the passages that may hold a place, in order, whether they are looked at and up to which order they take it.
+        near = int(at[0]) - PASSAGE + 1
+        bound = np.zeros(int(at[-1]) - near + PASSAGE, dtype=order.dtype)
+        taken = np.zeros(len(bound), dtype=bool)
+        bound[at - near], taken[at - near] = np.partition(values, RAREST - 1, axis=1)[:, RAREST - 1], True
+        last = np.maximum.accumulate(np.where(taken, np.arange(len(bound)), -PASSAGE))
+        held = np.flatnonzero(np.arange(len(bound)) - last < PASSAGE) - PASSAGE + 1
+        meets = sliding_window_view(bound, PASSAGE)[held] >= order[held + near + PASSAGE - 1][:, None]
+        meets &= sliding_window_view(taken, PASSAGE)[held]
+        row, column = np.divmod(np.flatnonzero(meets), PASSAGE)
+        place, passage = held[row] + near + PASSAGE - 1, held[row] + near + column
         new = np.flatnonzero(np.append(True, (np.diff(place) != 0) | (np.diff(passage) != 1)))
         found.append((place[new], passage[new], passage[np.append(new[1:], len(passage)) - 1]))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 3
@@ -446,13 +579,12 @@ def inside_runs(tokens: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return (at >= RUN_ENDS) & (np.repeat(size, size) - at > RUN_ENDS)
 
 
-def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataFrame:
+def _by_rarest(pool: DataFrame, scanned: DataFrame, firsts: DataFrame, n_blocks: int) -> DataFrame:
     """(sig, text, s, e, c): in the pool's passages from s to e, the token sig at place c is one of the rarest."""
-    places = pool.groupBy("text").agg(F.collect_set(F.struct("s", "e")).alias("places"))
-    wanted = _chosen(pool, first_docs)
-    joined = written(places.join(_tokens(wanted, docs), "text").select("text", "places", "tokens"), "left-texts")
+    wanted = _chosen(pool, firsts)
+    joined = written(pool.join(_tokens(wanted, scanned), "text").select("text", "places", "tokens"), "left-texts")
     discard(wanted)
-    counts = pa.schema([("token", pa.int64()), ("n", pa.int64())])
+    counts = pa.schema([("block", pa.int64()), ("rows", pa.binary())])
     schema = pa.schema([(c, pa.int64()) for c in ("sig", "text", "s", "e", "c")])
 
     def parts(batches: Iterator[pa.RecordBatch]):
@@ -461,7 +593,9 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
                 batch = whole.slice(k, 512)
                 rows = [np.frombuffer(t, dtype="<u4") for t in batch.column("tokens").to_pylist()]
                 begin = np.cumsum([0] + [len(r) for r in rows])
-                row, (s, e) = _places(batch.column("places"))
+                places = [np.frombuffer(p, dtype="<i4").reshape(-1, 2) for p in batch.column("places").to_pylist()]
+                row = np.repeat(np.arange(len(places)), [len(p) for p in places])
+                s, e = np.concatenate(places).astype(np.int64).T
                 inside = []
                 for end in (e + 1, e + PASSAGE):
                     steps = np.zeros(begin[-1] + 1, dtype=np.int64)
@@ -472,10 +606,20 @@ def _by_rarest(pool: DataFrame, docs: DataFrame, first_docs: DataFrame) -> DataF
 
     def counted(batches):
         for *_, tokens, _, at in parts(batches):
-            yield _batch([*np.unique(tokens[at], return_counts=True)], counts)
-
-    usual = mapped(joined, counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    usual = usual.where("n > 3").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
+            token, n = np.unique(tokens[at], return_counts=True)
+            # Tokens are hashes: ranges of them are blocks of like size.
+            block = (token.astype(np.uint64) * np.uint64(n_blocks) >> np.uint64(32)).astype(np.int64)
+            yield pa.RecordBatch.from_pandas(_dealt(np.stack([token, n.astype("<u4")], axis=1), block), counts)
+
+    def summed(_key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        every = _unpacked(rows["rows"], np.dtype("<u4")).reshape(-1, 2).astype(np.int64)
+        every = every[np.argsort(every[:, 0], kind="stable")]
+        first = np.flatnonzero(np.diff(every[:, 0], prepend=-1))
+        n = np.add.reduceat(every[:, 1], first)
+        return pd.DataFrame({"token": every[first[n > 3], 0], "n": n[n > 3]})
+
+    usual = grouped(mapped(joined, counted, "block long, rows binary").groupBy("block"), summed, "token long, n long")
+    usual = usual.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().sort_by("token")
     known, often = (usual.column(c).to_numpy().astype(np.uint64) for c in ("token", "n"))
 
     def postings(batches):
@@ -506,9 +650,9 @@ def _both(left: DataFrame, members: DataFrame) -> DataFrame:
     return _aligned(both.select(F.col("x.text").alias("a"), F.col("y.text").alias("b"), *fields))
 
 
-def _left_over(pool: DataFrame, hits: DataFrame, docs: DataFrame, first_docs: DataFrame, n_blocks: int) -> list[DataFrame]:
+def _left_over(pool: DataFrame, hits: DataFrame, scanned: DataFrame, firsts: DataFrame, n_blocks: int) -> list[DataFrame]:
     """Runs (a, i, b, j, n) of the pool's passages that repeat others of the pool, until each is covered or met all."""
-    postings = _by_rarest(pool, docs, first_docs)
+    postings = _by_rarest(pool, scanned, firsts, n_blocks)
     several = postings.groupBy("sig").agg(F.count("*").alias("members")).where("members > 1")
     every = written(postings.join(several, "sig"), "rarest-shared")
     discard(postings)
@@ -517,7 +661,7 @@ def _left_over(pool: DataFrame, hits: DataFrame, docs: DataFrame, first_docs: Da
     out, low, high = [], 0, LEADERS
     while not left.isEmpty():
         leaders = every.where((share >= low) & (share < high))
-        out.append(_verified(_both(left, leaders), docs, first_docs))
+        out.append(_verified(_stretches(_both(left, leaders)), scanned, firsts))
         after = written(_uncovered(left.where(F.col("members") > high), out[-1], n_blocks), "left-over")
         discard(left)
         left, low, high = after, high, high * MORE
@@ -533,12 +677,6 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document's own where it repeats itself only.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.int64()), ("n", pa.int64()), ("runs", pa.binary())])
-
-    def scan(batches):
-        for ids, texts, rows in _parts(batches, 1):
-            yield _batch([ids, [text_id(t or "") for t in texts], [len(r) for r in rows], [_packed_runs(r) for r in rows]], schema)
-
     def unpacked(batches):
         out = pa.schema([(c, pa.int64()) for c in ("token", "text", "s", "e", "whole")])
         for batch in batches:
@@ -547,46 +685,30 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
             texts = np.repeat(batch.column("text").to_numpy(), [len(r) for r in rows])
             yield _batch([every["token"], texts, *(every[c].astype(np.int64) for c in ("s", "e", "whole"))], out)
 
-    listed = mapped(docs, scan, "doc_id long, text long, n long, runs binary").where(F.col("n") >= PASSAGE)
-    listed = written(listed.distinct(), "passage-scan")
-    runs = listed.where("runs is not null").select("text", "runs").dropDuplicates(["text"])
+    scanned = _scanned(docs)
+    listed = written(scanned.select("doc_id", "text", "n").distinct(), "passage-documents")
+    firsts = written(scanned.groupBy("text").agg(F.min("row").alias("row")), "passage-rows")
+    runs = scanned.where("runs is not null").join(firsts, ["text", "row"], "left_semi").select("text", "runs")
     runs = written(mapped(runs, unpacked, "token long, text long, s long, e long, whole long"), "token-runs")
-    listed = listed.select("doc_id", "text", "n")
     total = (listed.agg(F.sum("n")).first()[0] or 0) * 2 * HASHES // PASSAGE
     n_blocks = max(1, min(total // BLOCK_WINDOWS, MANY_BLOCKS), total // LARGE_BLOCK)
-    windows = written(_windows(docs, n_blocks), "windows")
+    windows = written(_shared_windows(scanned, n_blocks), "windows")
 
     first_docs = listed.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
-    def signatures(_key: tuple, rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        out = joined_intervals(*(rows[c].to_numpy() for c in ("key", "text", "lo", "hi", "at")), pairs=PAIRS)
-        return out.assign(d=out["text"].map(first.set_index("text")["doc_id"]).astype("int64"))
-
-    by_block = [t.groupBy(F.pmod(F.xxhash64("text"), F.lit(n_blocks))) for t in (windows, first_docs)]
-    signed = cogrouped(*by_block, signatures, "sig long, text long, s long, e long, c long, d long")
-    signed = written(signed, "signatures")
+    signed = written(_signatures(windows, first_docs, n_blocks), "signatures")
     discard(windows)
-    # The first of a group is its text of the smallest document.
-    member = F.struct("d", "text", "s", "e", "c")
-
-    def side(name: str) -> list:
-        return [F.col("text").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("s", "e", "c"))]
-
     # Each member meets the first of its group. Passages that nothing covers then are looked up by their rarest tokens.
-    groups = signed.groupBy("sig").agg(F.min(member).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = written(signed.drop("d").join(groups, "sig"), "signatures-shared")
-    discard(signed)
-    ends = shared.select(*side("a"), F.col("p.text").alias("b"), *(F.col(f"p.{c}").alias(f"{c}_b") for c in "sec"))
-    hits = _verified(_aligned(ends), docs, first_docs).unionByName(written(_run_repeats(runs), "run-repeats"))
+    hits = _verified(_meetings(signed, n_blocks), scanned, firsts).unionByName(written(_run_repeats(runs), "run-repeats"))
     discard(runs)
-    left = written(_uncovered(shared.select("sig", "text", "s", "e"), hits, n_blocks).select("sig").distinct(), "left-groups")
-    pool = written(shared.join(left, "sig", "left_semi").select("text", "s", "e").distinct(), "left-members")
-    discard(shared)
-    discard(left)
+    pool = written(_pool(signed, hits, n_blocks), "left-members")
+    discard(signed)
     if not pool.isEmpty():
-        for more in _left_over(pool, hits, docs, first_docs, n_blocks):
+        for more in _left_over(pool, hits, scanned, firsts, n_blocks):
             hits = hits.unionByName(more)
     discard(pool)
+    discard(scanned)
+    discard(firsts)
 
     # From places to spans, and from texts to documents.
     sides = [

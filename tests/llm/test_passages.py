@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lorespring.llm import substring_dedup as sd
 from lorespring.llm.shingles import mixed
@@ -270,3 +271,21 @@ def test_a_run_that_no_other_text_has_meets_passages_almost_of_its_word(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     spans = [(r.start_word, r.end_word) for r in sd.repeated_passages(docs).collect() if r.doc_id == 0]
     assert any(a <= 20 and b == 90 for a, b in spans), spans
+
+
+def test_texts_are_read_and_cut_into_tokens_once(spark):
+    # Each step and each round read the texts of all documents again and cut those it compared into tokens.
+    rng = random.Random(3)
+    line = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    texts = [" ".join(f"v{rng.randrange(10**9)}" for _ in range(80)) + " " + " ".join(line) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    found = sd.repeated_passages(docs.withColumn("text", counted("text"))).collect()
+    assert {r.doc_id for r in found if r.start_word <= 80 and r.end_word == 140} == set(range(20))
+    assert read.value == len(texts)
