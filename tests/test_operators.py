@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorespring.functions import text as T
 from lorespring.operators import acquisition, chunking, lexical, memory, retrieval, screening, tables, vectors
+from lorespring.plans import QUERIES
 from lorespring.sources import files, generations
 from lorespring.streaming import sync
 
@@ -91,6 +92,16 @@ def test_stemmed_search_folds_endings_and_accents(spark):
     assert {r.id for r in lexical.bm25(df, q).collect()} == {3}
 
 
+@pytest.mark.parametrize("name", ["bm25_stemmed"])
+def test_search_takes_every_term_of_a_long_query(spark, tmp_path, name):
+    asked = " ".join(f"w{i}" for i in range(60))
+    documents = [(1, "nothing of it"), (2, "w59 alone"), (3, "w0 alone"), (4, "w31 w32")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, asked)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = {r.id: r.score for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert set(found) == {2, 3, 4} and found[2] == found[3] > found[4]
+
+
 def test_postings_are_counted_text_by_text(spark, monkeypatch):
     rows = [(1, "b a b"), (2, None), (3, "a"), (3, "a c"), (4, ""), (None, "z"), (None, "z z")]
     df = spark.createDataFrame(rows, "id long, text string")
