@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lorespring.operators.steps import new_folder
+from lorespring.operators.steps import new_folder, written
 from lorespring.plans.registry import query, read
 from lorespring.streaming import uploads
 
@@ -28,10 +28,17 @@ def uploads_in_pieces(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text is not null").select(
         "doc_id", F.expr("doc_id div 5").alias("upload_id"), (F.col("doc_id") % 5).cast("int").alias("file_index"), "text"
     )
-    whole = docs.groupBy("upload_id").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where("n = 5").drop("n")
-    docs = docs.join(whole, "upload_id")
+    last_chunk = F.greatest(F.expr(f"(length(text) - 1) div {PIECE_CHARS}"), F.lit(0)).cast("int")
+    copies = F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1)
+    # A piece's number counts those of the files before it and the header; of a file there are a start, chunks and an end.
+    sizes = [F.max(F.when(F.col("file_index") == j, last_chunk + 3)) for j in range(4)]
+    before = F.array(*[sum(sizes[:i], F.lit(1)) for i in range(5)])
+    whole = docs.groupBy("upload_id").agg(
+        F.count("*").alias("n"), F.max("doc_id").alias("last"), before.alias("before"), F.sum(F.octet_length("text") * copies).alias("sent")
+    )
+    whole = written(whole.where("n = 5").drop("n"), "whole-uploads")
     chunks = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.expr(f"(length(text) - 1) div {PIECE_CHARS}"), F.lit(0)).cast("int")),
+        F.sequence(F.lit(0), last_chunk),
         lambda i: F.encode(F.substring(F.col("text"), (i * PIECE_CHARS + 1).cast("int"), F.lit(PIECE_CHARS)), "utf-8"),
     )
     none, no_name = F.lit(None).cast("binary"), F.lit(None).cast("string")
@@ -41,26 +48,22 @@ def uploads_in_pieces(spark, sf_dir):
     parts = F.concat(
         F.array(part("start", name, none, no_name)), F.transform(chunks, lambda c: part("chunk", no_name, c, no_name)), F.array(part("end", no_name, none, sha))
     )
-    laid = docs.select("upload_id", "doc_id", "last", "file_index", F.posexplode(parts).alias("at", "p"))
-    # A piece's number counts those of the files before it and the header.
-    sizes = docs.groupBy("upload_id").pivot("file_index", [0, 1, 2, 3, 4]).agg(F.first(F.size(chunks) + 2))
-    before = [sum((F.col(str(j)) for j in range(i)), F.lit(1)) for i in range(5)]
-    before = F.element_at(F.array(*before), F.col("file_index") + 1)
+    docs = docs.join(whole, "upload_id").withColumn("before", F.element_at("before", F.col("file_index") + 1))
+    laid = docs.select("upload_id", "doc_id", "last", "file_index", "before", F.posexplode(parts).alias("at", "p"))
     clock = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
-    pieces = laid.join(sizes, "upload_id").select(
-        "upload_id", "doc_id", "last", (before + F.col("at")).cast("int").alias("seq"), "p.kind", "file_index", "p.name", "p.data", "p.sha256",
+    pieces = laid.select(
+        "upload_id", "doc_id", "last", (F.col("before") + F.col("at")).cast("int").alias("seq"), "p.kind", "file_index", "p.name", "p.data", "p.sha256",
         clock(F.col("upload_id") % 60).alias("at"),
     )
     lost = (F.col("upload_id") % 7 == 3) & (F.col("doc_id") == F.col("last")) & (F.col("kind") == "start")
-    repeated = pieces.where(F.col("doc_id") % 3 == 0)
-    pieces = pieces.where(~lost).unionByName(repeated.where(~lost)).drop("doc_id", "last")
+    pieces = pieces.where(~lost).withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).drop("doc_id", "last", "copy")
     empty = lambda c, t: F.lit(None).cast(t).alias(c)
     headers = whole.select(
         "upload_id", F.lit(0).alias("seq"), F.lit("header").alias("kind"), F.lit(5).alias("file_index"), empty("name", "string"), empty("data", "binary"),
         empty("sha256", "string"), clock(F.col("upload_id") % 60).alias("at"),
     )
     source = new_folder(spark, "pieces")
-    sent = docs.agg(F.sum(F.octet_length("text") * F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1))).first()[0] or 0
+    sent = whole.agg(F.sum("sent")).first()[0] or 0
     files = max(1, -(-sent // (BATCHES * FILE_BYTES)))
     pieces.unionByName(headers).repartition(BATCHES * files, "upload_id", "seq").write.parquet(source)
     target, checkpoint = new_folder(spark, "uploads"), new_folder(spark, "uploads-state")

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lorespring.operators import constraints, jobs, lexical, tables
@@ -278,6 +279,48 @@ def test_uploads_in_pieces(spark, tmp_path):
     }
 
 
+class Kept:
+    """State of one upload in memory, which counts its calls."""
+
+    def __init__(self, calls, value=None):
+        self.calls, self.value, self.of = calls, value, {}
+
+    def __getattr__(self, name):
+        acts = {
+            "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: (setattr(self, "value", None), self.of.clear()),
+            "getValue": lambda k: self.of.get(k), "updateValue": lambda k, v: self.of.update({k: v}), "removeKey": lambda k: self.of.pop(k, None),
+            "exists": lambda: self.value is not None, "containsKey": lambda k: k in self.of, "listTimers": lambda: iter(list(self.of)),
+            "registerTimer": lambda t: self.of.update({t: True}), "deleteTimer": lambda t: self.of.pop(t, None),
+            "getValueState": lambda *_: Kept(self.calls), "getMapState": lambda *_: Kept(self.calls),
+        }
+        return lambda *a: (self.calls.append(name), acts[name](*a))[1]
+
+
+@pytest.mark.parametrize("apart,held", [(64 << 10, 8 << 20), (3, 8 << 20), (64 << 10, 5), (3, 5)])
+def test_calls_to_state_do_not_grow_with_the_pieces(monkeypatch, apart, held):
+    monkeypatch.setattr(uploads, "APART", apart)
+    monkeypatch.setattr(uploads, "HELD", held)
+    rng, calls = random.Random(4), []
+    files = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 700, 3, 90)]
+    columns = [f.split()[0] for f in uploads.PIECE.split(", ")]
+    pieces = [Row(*columns)(*p) for p in pieces_of(9, files, damaged={2})]
+    pieces = pieces + pieces[5:60]
+    rng.shuffle(pieces)
+    assembly = uploads.Assembly(uploads.Limits())
+    assembly.init(Kept(calls))
+    out, cut = [], len(pieces) // 3
+    for batch in (pieces[:cut], pieces[cut : 2 * cut], pieces[2 * cut :]):
+        calls.clear()
+        out += assembly.handleInputRows((9,), iter(batch), None)
+        assert len(calls) <= 14 or min(apart, held) < 10
+    assert [(r.file_index, r.status, r.content) for r in out] == [
+        (0, "ACCEPTED", files[0]), (1, "ACCEPTED", files[1]), (2, "REJECTED", None), (3, "ACCEPTED", files[3]), (None, "PARTIAL", None)
+    ]
+    assert not any(m.of for m in (assembly.early, assembly.large, assembly.chunks))
+    assert list(assembly.handle.of) == [int(START.timestamp() * 1000)]
+    assert not list(assembly.handleExpiredTimer((9,), None, None)) and assembly.progress.value is None
+
+
 def test_small_pages_share_their_jobs(spark, tmp_path):
     labels = spark.range(400).select(F.col("id").alias("label"), F.col("id").alias("vector_id"))
     vectors = labels.where("vector_id % 3 > 0").select("vector_id", F.array(F.col("vector_id").cast("float")).alias("vector"))
