@@ -92,7 +92,7 @@ def test_stemmed_search_folds_endings_and_accents(spark):
     assert {r.id for r in lexical.bm25(df, q).collect()} == {3}
 
 
-@pytest.mark.parametrize("name", ["bm25_stemmed"])
+@pytest.mark.parametrize("name", ["bm25_stemmed", "bm25_top_k"])
 def test_search_takes_every_term_of_a_long_query(spark, tmp_path, name):
     asked = " ".join(f"w{i}" for i in range(60))
     documents = [(1, "nothing of it"), (2, "w59 alone"), (3, "w0 alone"), (4, "w31 w32")]
